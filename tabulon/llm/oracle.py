@@ -57,6 +57,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), e AS (
+  SELECT *, length(text) + length(role) + 12 + 11 + 1
+    + length(regexp_replace(text, '[^\x10]+', '', 'g')) + length(regexp_replace(role, '[^\x10]+', '', 'g'))
+    + len(regexp_extract_all(text, '<\|(im_start|im_end|startoftext|endoftext|system|user|assistant|end)\|>|<s>|</s>|<<SYS>>|<</SYS>>|<bos>|<eos>|<start_of_turn>|<end_of_turn>|\[INST\]|\[/INST\]')) AS f
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(f) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op9_quality": OP9}
+    return {"op1_decontaminate": OP1, "op5_chat": OP5, "op9_quality": OP9}
