@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, simhash
+from . import bpe, chat, decontaminate, quality, simhash
 from .common import read
 
 
@@ -23,6 +23,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(read(spark, sf_dir, "documents"), decoded=True)
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -61,4 +71,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_chat": op5_chat, "op7_simhash": op7_simhash, "op9_quality": op9_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op7_simhash": op7_simhash, "op9_quality": op9_quality}
