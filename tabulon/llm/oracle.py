@@ -75,6 +75,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+# base 32 of a SHA-1: 20 bytes are 32 groups of five bits
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), x AS (SELECT DISTINCT h FROM p
+), bits AS (
+  SELECT h, string_agg(lpad(bin(CAST(strpos('0123456789abcdef', substr(h, k, 1)) - 1 AS INTEGER)), 4, '0'), '' ORDER BY k) AS b
+  FROM (SELECT h, unnest(range(1, 41)) AS k FROM x) GROUP BY h
+), d AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(16 * CAST(substr(b, 5 * k + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * k + 2, 1) AS INTEGER)
+    + 4 * CAST(substr(b, 5 * k + 3, 1) AS INTEGER) + 2 * CAST(substr(b, 5 * k + 4, 1) AS INTEGER) + CAST(substr(b, 5 * k + 5, 1) AS INTEGER) AS INTEGER), 1), '' ORDER BY k) AS digest
+  FROM (SELECT h, b, unnest(range(0, 32)) AS k FROM bits) GROUP BY h
+), m AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN m USING (h) JOIN d USING (h)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op5_chat": OP5, "op9_quality": OP9}
+    return {"op1_decontaminate": OP1, "op5_chat": OP5, "op8_warc": OP8, "op9_quality": OP9}

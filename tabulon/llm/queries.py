@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, simhash
+from . import bpe, chat, decontaminate, quality, simhash, warc
 from .common import read
 
 
@@ -56,6 +56,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(read(spark, sf_dir, "pages"))
+    number = lambda fields: F.try_element_at(fields, F.lit("page-id")).cast("bigint")
+    return captures.select(
+        number(F.col("metadata.fields")).alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        number(F.col("original")).alias("refers_to"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(read(spark, sf_dir, "documents"))
     return entries.select(
@@ -71,4 +83,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op7_simhash": op7_simhash, "op9_quality": op9_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality}
