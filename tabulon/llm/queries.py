@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, simhash, warc
+from . import bpe, chat, decontaminate, quality, simhash, toxicity, warc
 from .common import read
 
 
@@ -51,6 +51,17 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (~toxicity.training_rows(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,4 +94,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality}
