@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, simhash, toxicity, warc
+from . import bpe, chat, decontaminate, pii, quality, simhash, toxicity, warc
 from .common import read
 
+#: A key for the query only; a production job takes its own from a secret store.
+PII_KEY = "query key"
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -93,5 +96,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_and_replace(read(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
