@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, simhash, toxicity, warc
+from . import bpe, chat, decontaminate, language_model, pii, quality, simhash, toxicity, warc
 from .common import read
 
 #: A key for the query only; a production job takes its own from a secret store.
@@ -26,6 +26,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(read(spark, sf_dir, "documents"), decoded=True)
     return found.select(
@@ -101,4 +107,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op3_language_model": op3_language_model, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
