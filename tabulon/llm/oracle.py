@@ -30,6 +30,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+# a window is the least run of whole lines with 50 words, from a line forward or
+# to a line backward; lines of windows that occurred before are deleted
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls,
+    list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM documents
+), c AS (
+  SELECT doc_id, ls, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)) AS c FROM d
+), w AS (
+  SELECT doc_id, ls, c, i,
+    list_position(list_transform(c, lambda x: x >= c[i] + 50), true) - 1 AS z,
+    len(list_filter(c, lambda x: x <= c[i + 1] - 50)) AS a
+  FROM (SELECT doc_id, ls, c, unnest(range(1, len(c))) AS i FROM c)
+), s AS (
+  SELECT DISTINCT doc_id, a, z, array_to_string(ls[a:z], chr(10)) AS key FROM (
+    SELECT doc_id, ls, i AS a, z FROM w WHERE z IS NOT NULL AND z > 0 UNION ALL SELECT doc_id, ls, a, i AS z FROM w WHERE a > 0
+  )
+), l AS (
+  SELECT doc_id, a, z FROM (SELECT *, min((doc_id, a)) OVER (PARTITION BY key) AS first FROM s) WHERE (doc_id, a) > first
+), g AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS p FROM l
+), k AS (
+  SELECT d.doc_id, len(ls) AS n_lines, list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: ls[i]) AS kept
+  FROM d LEFT JOIN (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id) USING (doc_id)
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - len(kept) AS BIGINT) AS n_lines_dropped,
+  CAST(len(regexp_extract_all(array_to_string(kept, chr(10)), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words_left,
+  sha256(array_to_string(kept, chr(10))) AS text_sha256
+FROM k
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -95,4 +125,4 @@ FROM p JOIN m USING (h) JOIN d USING (h)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op5_chat": OP5, "op8_warc": OP8, "op9_quality": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_chat": OP5, "op8_warc": OP8, "op9_quality": OP9}

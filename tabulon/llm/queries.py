@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language_model, pii, quality, simhash, toxicity, warc
-from .common import read
+from . import bpe, chat, decontaminate, language_model, linededup, pii, quality, simhash, toxicity, warc
+from .common import blank_words, read
 
 #: A key for the query only; a production job takes its own from a secret store.
 PII_KEY = "query key"
@@ -26,6 +26,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeated_lines(docs).select(
+        "doc_id",
+        "n_lines",
+        "n_lines_dropped",
+        F.size(blank_words(F.col("text"))).cast("bigint").alias("n_words_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
@@ -107,4 +118,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_language_model": op3_language_model, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_language_model": op3_language_model, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
