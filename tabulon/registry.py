@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from . import plans
+
+    plans.load()
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import plans
+
+    plans.load()
+    return dict(plans.SQL)
