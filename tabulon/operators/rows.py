@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stable
+
 
 def _ordered(keys) -> list[Column]:
     """Ascending keys; ``-key`` descends; missing last both ways."""
@@ -19,24 +21,30 @@ def head(df: DataFrame, n: int, order_by=None) -> DataFrame:
     return (sort(df, *order_by) if order_by else df).limit(n)
 
 
-def number_rows(df: DataFrame, order_by, new: str = "_n") -> DataFrame:
-    """A row number over all rows without a one-task window.
+def running_total(df: DataFrame, order_by, value: Column, new: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to each, without a one-task window.
 
-    Rows are sorted by range; each partition counts its rows, the few counts
-    become offsets, and a window numbers the rows of a partition.
+    Rows are dealt by range and written once; each partition's sum becomes an
+    offset (one number a partition goes to the driver), and a window adds up
+    within the partitions.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _ordered(order_by)
-    parts = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).persist()
-    counts = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
+    parts = stable(df.withColumn("_value", value).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    sums = sorted((r["_part"], r["s"]) for r in parts.groupBy("_part").agg(F.sum("_value").alias("s")).collect())
     offsets, total = {}, 0
-    for part, count in counts:
-        offsets[part], total = total, total + count
+    for part, s in sums:
+        offsets[part], total = total, total + (s or 0)
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
     if not offsets:
-        return df.withColumn(new, F.lit(None).cast("bigint"))
+        return parts.withColumn(new, own).drop("_part", "_value")
     shift = F.try_element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("_part"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return parts.withColumn(new, (own + shift).cast("bigint")).drop("_part")
+    return parts.withColumn(new, own + shift).drop("_part", "_value")
+
+
+def number_rows(df: DataFrame, order_by, new: str = "_n") -> DataFrame:
+    """A row number over all rows, from 1."""
+    return running_total(df, order_by, F.lit(1).cast("bigint"), new)
 
 
 def in_range(df: DataFrame, order_by, first: int, last: int | None = None, where: Column | None = None) -> DataFrame:
