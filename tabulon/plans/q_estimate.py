@@ -1 +1,168 @@
-"""To come."""
+"""Estimates and diagnostics on the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..estimate import linear, mle, post
+from ..estimate.fit import predict
+from . import query, rnd
+
+c = F.col
+XS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _coef(t, fit, **kw):
+    return fit.coefficients(t.spark, **kw)
+
+
+def _signed(t):
+    return t.lineitem.select(*XS, "l_extendedprice", "l_suppkey", "l_linenumber", (c("l_returnflag") == "R").cast("int").alias("returned"))
+
+
+def _counts(t):
+    """Orders with their number of lines, and the log price."""
+    n = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.avg("l_discount").alias("disc"))
+    return t.orders.join(n, "o_orderkey").select("o_orderkey", "n_lines", "disc", F.ln("o_totalprice").alias("lprice"), "o_totalprice")
+
+
+_SIMPLE = "SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem"
+
+
+@query("j1_ols_simple", f"SELECT round(b, 5) AS slope, round(a, 3) AS intercept, round(r2, 8) AS r2 FROM ({_SIMPLE})")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"])
+    row = (fit["l_quantity"], fit["_cons"], float(fit.stats["r2"]))
+    return t.spark.createDataFrame([row], "slope double, intercept double, r2 double").select(rnd("slope", 5).alias("slope"), rnd("intercept", 3).alias("intercept"), rnd("r2", 8).alias("r2"))
+
+
+@query("j1_ols")
+def _(t):
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, factors=["l_returnflag"]))
+
+
+@query("j2_ols_hc1")
+def _(t):
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov="hc1"))
+
+
+@query("j3_ols_cluster")
+def _(t):
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov=("cluster", "l_suppkey")))
+
+
+@query("j4_wls", "SELECT round((sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)), 4) AS slope FROM (SELECT l_quantity AS w, l_discount AS x, l_extendedprice AS y FROM lineitem)")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_discount"], weight="l_quantity", wtype="aweight")
+    return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 4).alias("slope"))
+
+
+@query("j5_logit")
+def _(t):
+    return _coef(t, mle.logit(_signed(t), "returned", XS), exponentiate=True)
+
+
+@query("j6_probit")
+def _(t):
+    return _coef(t, mle.probit(_signed(t), "returned", XS))
+
+
+@query("j7_poisson")
+def _(t):
+    return _coef(t, mle.poisson(_counts(t), "n_lines", ["lprice", "disc"], exposure="o_totalprice"))
+
+
+@query("j8_weighted_glm")
+def _(t):
+    return _coef(t, mle.logit(_signed(t), "returned", ["l_discount", "l_tax"], weight="l_quantity", wtype="fweight"))
+
+
+@query("j9_nbreg")
+def _(t):
+    return _coef(t, mle.nbreg(_counts(t), "n_lines", ["lprice"]))
+
+
+@query("j10_tobit")
+def _(t):
+    return _coef(t, mle.tobit(t.customer.select(F.greatest("c_acctbal", F.lit(0.0)).alias("bal"), "c_nationkey"), "bal", ["c_nationkey"], ll=0.0))
+
+
+@query("j11_iv2sls", "SELECT round(covar_samp(l_tax, l_extendedprice) / covar_samp(l_tax, l_discount), 2) AS slope FROM lineitem")
+def _(t):
+    fit = linear.iv2sls(t.lineitem, "l_extendedprice", [], ["l_discount"], ["l_tax"])
+    return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 2).alias("slope"))
+
+
+@query("j12_design", "SELECT 'Furniture' AS dropped, 0 AS n WHERE false UNION ALL SELECT min(c_mktsegment), count(DISTINCT c_mktsegment) - 1 FROM customer")
+def _(t):
+    from ..estimate.design import terms_of
+
+    terms = terms_of(t.customer, [], ["c_mktsegment"])
+    base = t.customer.agg(F.min("c_mktsegment").alias("dropped"))
+    return base.withColumn("n", F.lit(len(terms) - 1).cast("bigint"))
+
+
+@query("k1_predict", f"SELECT l_orderkey, round(a + b * l_quantity, 2) AS yhat, round(l_extendedprice - a - b * l_quantity, 2) AS e FROM lineitem, ({_SIMPLE})")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"])
+    out = predict(predict(t.lineitem, fit, "yhat"), fit, "e", "residuals")
+    return out.select("l_orderkey", rnd("yhat", 2).alias("yhat"), rnd("e", 2).alias("e"))
+
+
+@query("k2_contrasts")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", XS)
+    return _coef(t, fit, contrasts={"discount = tax": {"l_discount": 1, "l_tax": -1}, "discount + 2 tax": {"l_discount": 1, "l_tax": 2}})
+
+
+@query("k4_margins")
+def _(t):
+    df = _signed(t)
+    return post.margins(df, mle.logit(df, "returned", XS), dydx=XS)
+
+
+@query("k5_vif", "SELECT 'l_discount' AS variable, round(1 / (1 - power(corr(l_discount, l_tax), 2)), 8) AS vif FROM lineitem UNION ALL SELECT 'l_tax', round(1 / (1 - power(corr(l_discount, l_tax), 2)), 8) FROM lineitem")
+def _(t):
+    return post.vif(t.lineitem, ["l_discount", "l_tax"]).withColumn("vif", rnd("vif", 8))
+
+
+def _fit(t):
+    return linear.ols(t.lineitem, "l_extendedprice", XS)
+
+
+@query("k6_hettest", "SELECT round(count(*) * regr_r2(e * e, l_quantity), 4) AS chi2, 1.0 AS df FROM (SELECT l_quantity, l_extendedprice - a - b * l_quantity AS e FROM lineitem, (" + _SIMPLE + "))")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"])
+    return post.hettest(t.lineitem, fit).select(rnd("chi2").alias("chi2"), "df")
+
+
+@query("k7_white")
+def _(t):
+    return post.white(t.lineitem, _fit(t))
+
+
+_ORD = "SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders"
+
+
+@query("k8_bgodfrey")
+def _(t):
+    fit = linear.ols(t.orders, "o_totalprice", ["o_custkey"])
+    return post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 2)
+
+
+@query("k9_ovtest")
+def _(t):
+    return post.reset(t.lineitem, _fit(t))
+
+
+@query("k10_dwatson", f"SELECT round(sum(power(e - l, 2)) / sum(e * e), 8) AS dw FROM (SELECT e, lag(e) OVER (ORDER BY o_orderkey) AS l FROM (SELECT o_orderkey, o_totalprice - a - b * o_custkey AS e FROM orders, ({_ORD})))")
+def _(t):
+    fit = linear.ols(t.orders, "o_totalprice", ["o_custkey"])
+    return post.durbin_watson(t.orders, fit, ["o_orderkey"]).select(rnd("dw", 8).alias("dw"))
+
+
+@query("k11_sample_summary", " UNION ALL ".join(f"SELECT '{v}' AS variable, count({v}) AS n, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS sd, CAST(min({v}) AS DOUBLE) AS min, CAST(max({v}) AS DOUBLE) AS max FROM orders" for v in ("o_totalprice", "o_custkey")))
+def _(t):
+    fit = linear.ols(t.orders, "o_totalprice", ["o_custkey"])
+    out = post.sample_summary(t.orders, fit)
+    return out.withColumns({"mean": rnd("mean"), "sd": rnd("sd")})

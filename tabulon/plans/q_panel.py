@@ -1 +1,113 @@
-"""To come."""
+"""Panels and differences in differences on views of orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..estimate import did, panel, post
+from . import query, rnd
+
+c = F.col
+
+
+def cust_year(t):
+    """Orders by customer and year, an unbalanced panel."""
+    y = t.orders.groupBy(c("o_custkey").alias("cust"), F.year("o_orderdate").alias("year"))
+    return y.agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n"))
+
+
+def staggered(t):
+    """Nations by years 1995-2000, completed with zeros, with treatment cohorts
+    1997-1999 by nation and a known effect of 0.5."""
+    cust = t.customer.select("c_custkey", "c_nationkey")
+    sums = t.orders.join(cust, c("o_custkey") == c("c_custkey")).groupBy(c("c_nationkey").alias("unit"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("s"))
+    grid = t.nation.select(c("n_nationkey").alias("unit"), F.explode(F.sequence(F.lit(1995), F.lit(2000))).alias("year"))
+    first = F.when(c("unit") % 4 == 0, 0).otherwise(c("unit") % 4 + 1996)
+    rows = grid.join(sums, ["unit", "year"], "left").withColumn("first_treat", first)
+    rows = rows.withColumn("treated", ((c("first_treat") > 0) & (c("year") >= c("first_treat"))).cast("int"))
+    return rows.withColumn("y", F.ln(1 + F.coalesce("s", F.lit(0.0))) + 0.5 * c("treated")).withColumn("ever", (c("first_treat") > 0).cast("int")).drop("s")
+
+
+_CY = "(SELECT o_custkey AS cust, year(o_orderdate) AS year, sum(o_totalprice) AS spent, count(*) AS n FROM orders GROUP BY ALL)"
+_ST = "(SELECT *, ln(1 + coalesce(s, 0)) + 0.5 * treated AS y, CAST(first_treat > 0 AS INTEGER) AS ever FROM (SELECT *, CAST(first_treat > 0 AND year >= first_treat AS INTEGER) AS treated FROM (SELECT g.unit, g.year, s, CASE WHEN g.unit % 4 = 0 THEN 0 ELSE g.unit % 4 + 1996 END AS first_treat FROM (SELECT n_nationkey AS unit, unnest(range(1995, 2001)) AS year FROM nation) g LEFT JOIN (SELECT c_nationkey AS unit, year(o_orderdate) AS year, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) x ON g.unit = x.unit AND g.year = x.year)))"
+_DD = "(SELECT y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS yy, treated - avg(treated) OVER (PARTITION BY unit) - avg(treated) OVER (PARTITION BY year) + avg(treated) OVER () AS dd FROM {0})".format(_ST)
+
+
+@query("l1_xtset", f"SELECT count(*) AS n_panels, CAST(sum(t) AS BIGINT) AS n_rows, min(t) AS t_min, max(t) AS t_max, round(avg(t), 6) AS t_mean, min(t) = (SELECT count(DISTINCT year) FROM {_CY}) AS balanced FROM (SELECT cust, count(*) AS t FROM {_CY} GROUP BY 1)")
+def _(t):
+    return panel.xtset(cust_year(t), "cust", "year").withColumn("t_mean", rnd("t_mean", 6))
+
+
+@query("l2_xtreg_fe", f"SELECT round(sum((n - mn) * (spent - ms)) / sum((n - mn) * (n - mn)), 2) AS slope FROM (SELECT *, avg(n) OVER (PARTITION BY cust) AS mn, avg(spent) OVER (PARTITION BY cust) AS ms FROM {_CY})")
+def _(t):
+    fit = panel.xtreg_fe(cust_year(t), "spent", ["n"], "cust")
+    return t.spark.createDataFrame([(fit["n"],)], "slope double").select(rnd("slope", 2).alias("slope"))
+
+
+@query("l3_xtreg_re")
+def _(t):
+    return panel.xtreg_re(cust_year(t), "spent", ["n"], "cust").coefficients(t.spark)
+
+
+@query("l4_twfe", f"SELECT round(sum(dd * yy) / sum(dd * dd), 7) AS att FROM {_DD}")
+def _(t):
+    fit = did.twfe(staggered(t), "y", "treated", "unit", "year")
+    return t.spark.createDataFrame([(fit["treated"],)], "att double").select(rnd("att", 7).alias("att"))
+
+
+@query("l5_did2x2", f"SELECT round((avg(y) FILTER (ever = 1 AND year >= 1998) - avg(y) FILTER (ever = 1 AND year < 1998)) - (avg(y) FILTER (ever = 0 AND year >= 1998) - avg(y) FILTER (ever = 0 AND year < 1998)), 7) AS b FROM {_ST}")
+def _(t):
+    df = staggered(t)
+    return did.did2x2(df, "y", "ever", did.post_indicator(df, "year", [1998, 1999, 2000])).select(rnd("b", 7).alias("b"))
+
+
+@query("l6_first_treatment", f"SELECT unit, year, CAST(coalesce(min(CASE WHEN treated = 1 THEN year END) OVER (PARTITION BY unit), 0) AS INTEGER) AS first_treat, CAST(max(treated) OVER (PARTITION BY unit) AS INTEGER) AS ever_treated FROM {_ST}")
+def _(t):
+    out = did.first_treatment(staggered(t).drop("first_treat"), "treated", "unit", "year")
+    return out.select("unit", "year", c("first_treat").cast("int").alias("first_treat"), "ever_treated")
+
+
+_GT = f"""WITH s AS (SELECT * FROM {_ST}), p AS (SELECT g.first_treat AS g, a.unit, a.year AS t, a.y - b.y AS d, a.first_treat AS own FROM (SELECT DISTINCT first_treat FROM s WHERE first_treat > 0) g JOIN s a ON a.first_treat IN (0, g.first_treat) JOIN s b ON b.unit = a.unit AND b.year = g.first_treat - 1),
+c AS (SELECT g, t, avg(d) FILTER (own > 0) - avg(d) FILTER (own = 0) AS att, count(*) FILTER (own > 0) AS n FROM p GROUP BY g, t)"""
+
+
+@query("l7_callaway_santanna", _GT + " SELECT CAST(t - g AS INTEGER) AS key, round(sum(att * n) / sum(n), 7) AS att, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+def _(t):
+    out = did.callaway_santanna(staggered(t), "y", "unit", "year", "first_treat", "event_study")
+    return out.select(c("key").cast("int").alias("key"), rnd("att", 7).alias("att"), "n")
+
+
+@query("l8_sun_abraham")
+def _(t):
+    return did.sun_abraham(staggered(t), "y", "unit", "year", "first_treat")
+
+
+@query("l9_imputation")
+def _(t):
+    return did.imputation(staggered(t), "y", "treated", "unit", "year")
+
+
+@query("l10_gardner")
+def _(t):
+    return did.gardner(staggered(t), "y", "treated", "unit", "year").coefficients(t.spark)
+
+
+@query("l11_stacked")
+def _(t):
+    return did.stacked(staggered(t), "y", "unit", "year", "first_treat", (-2, 1)).coefficients(t.spark)
+
+
+@query("l12_event_study", f"SELECT CAST(year AS INTEGER) AS period, round(gap - max(gap) FILTER (year = 1996) OVER (), 7) AS effect FROM (SELECT year, avg(y) FILTER (ever = 1) - avg(y) FILTER (ever = 0) AS gap FROM {_ST} GROUP BY year)")
+def _(t):
+    return did.event_study(staggered(t), "y", "ever", "year", 1996).select(c("period").cast("int").alias("period"), rnd("effect", 7).alias("effect"))
+
+
+@query("l13_bacon", f"SELECT round(sum(dd * yy) / sum(dd * dd), 7) AS total, 1.0 AS weights FROM {_DD}")
+def _(t):
+    out = did.bacon(staggered(t), "y", "unit", "year", "first_treat")
+    return out.agg(rnd(F.sum(c("estimate") * c("weight")), 7).alias("total"), rnd(F.sum("weight"), 9).alias("weights"))
+
+
+@query("k12_xtserial")
+def _(t):
+    return post.xtserial(cust_year(t), "spent", ["n"], "cust", "year")
