@@ -1 +1,62 @@
-"""To come."""
+"""The tables behind charts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import charts as M
+from . import query, rnd
+
+c = F.col
+
+
+@query("m1_histogram", "WITH r AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 20 AS w, count(*) AS n FROM customer), k AS (SELECT least(CAST(floor((c_acctbal - lo) / w) AS INTEGER), 19) AS bin, count(*) AS n FROM customer, r GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, coalesce(k.n, 0) AS n, round(coalesce(k.n, 0) / (r.n * w), 9) AS density FROM r, (SELECT unnest(range(0, 20)) AS b) g LEFT JOIN k ON k.bin = b")
+def _(t):
+    return M.histogram(t.customer, "c_acctbal", 20).select("bin", "n", rnd("density", 9).alias("density"))
+
+
+@query("m2_kdensity", "WITH r AS (SELECT count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi, stddev_samp(p_retailprice) AS sd FROM part), g AS (SELECT i, lo - sd + i * (hi - lo + 2 * sd) / 299 AS x, power(n, -0.2) * sd AS h, n FROM r, (SELECT unnest(range(0, 300)) AS i)) SELECT round(x, 4) AS x, round(sum(exp(-power((p_retailprice - x) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())), 9) AS density FROM part, g GROUP BY x")
+def _(t):
+    return M.kdensity(t.part, "p_retailprice").select(rnd("x").alias("x"), rnd("density", 9).alias("density"))
+
+
+@query("m3_scatter", "WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem) SELECT CAST(least(floor((l_quantity - x0) * 10 / (x1 - x0)), 9) AS INTEGER) AS cx, CAST(least(floor((l_discount - y0) * 10 / (y1 - y0)), 9) AS INTEGER) AS cy, count(*) AS n, round(avg(l_quantity), 6) AS x FROM lineitem, r GROUP BY ALL")
+def _(t):
+    return M.scatter(t.lineitem, "l_discount", "l_quantity", cells=10).select("cx", "cy", "n", rnd("x", 6).alias("x"))
+
+
+@query("m3_linear_fit", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    return M.linear_fit(t.lineitem, "l_extendedprice", "l_quantity", ["l_returnflag"]).select("l_returnflag", rnd("slope").alias("slope"), rnd("intercept", 2).alias("intercept"), "n")
+
+
+@query("m4_bar", "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def _(t):
+    return M.bar(t.orders, "o_totalprice", ["o_orderpriority"]).withColumn("mean", rnd("mean"))
+
+
+@query("m5_box", "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outside FROM events JOIN q USING (event_type) GROUP BY ALL")
+def _(t):
+    out = M.box(t.events, "value", ["event_type"])
+    return out.withColumns({k: rnd(k, 6) for k in ("q1", "median", "q3")})
+
+
+@query("m6_line", "SELECT o_orderstatus, year(o_orderdate) AS year, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY ALL")
+def _(t):
+    df = t.orders.withColumn("year", F.year("o_orderdate").cast("bigint"))
+    return M.line(df, "o_totalprice", "year", ["o_orderstatus"]).withColumn("o_totalprice", rnd("o_totalprice"))
+
+
+@query("m7_fit_band", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(1.96 * sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / count(*)), 2) AS band FROM lineitem")
+def _(t):
+    return M.fit_band(t.lineitem, "l_extendedprice", "l_quantity").select(rnd("slope").alias("slope"), rnd("intercept", 2).alias("intercept"), rnd("band", 2).alias("band"))
+
+
+@query("m7_quadratic")
+def _(t):
+    return M.quadratic_fit(t.lineitem, "l_extendedprice", "l_quantity")
+
+
+@query("m7_area", "SELECT l_quantity, round(s, 2) AS l_tax, round(sum(s) OVER (ORDER BY l_quantity), 2) AS total FROM (SELECT l_quantity, sum(l_tax) AS s FROM lineitem GROUP BY 1)")
+def _(t):
+    return M.area(t.lineitem, "l_tax", "l_quantity").select("l_quantity", rnd("l_tax", 2).alias("l_tax"), rnd("total", 2).alias("total"))
