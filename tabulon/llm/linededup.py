@@ -134,7 +134,8 @@ def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans): line spans (first, last) of later copies; ``th`` is the
     text's digest.  Documents without any are not listed."""
-    rows = materialise(_stretches(_lines(docs, id_col, text_col), min_words), "stretches")
+    lines = materialise(_lines(docs, id_col, text_col), "lines")
+    rows = materialise(_stretches(lines, min_words), "stretches")
     windows = materialise(_windows(rows, min_words), "windows")
     longest = windows.agg(F.max(F.col("z") - F.col("a") + 1)).first()[0] or 1
     levels = longest.bit_length() - 1
