@@ -127,15 +127,13 @@ def _found_by_join(rows: DataFrame, windows: DataFrame) -> DataFrame:
     key = [F.xxhash64("_row").alias("_k1"), F.xxhash64("_text", "_row").alias("_k2")]
     lengths = [r[0] for r in windows.select("n_words").distinct().collect()]  # at most n numbers
     w = rows.select(*key, normal_words(F.col("_text")).alias("w"))
-    each = F.concat(
-        *(
-            F.transform(
-                _starts(F.col("w"), n),
-                lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(_gram(F.col("w"), i, n)).alias("h")),
-            )
-            for n in lengths
+
+    def hashed(n: int) -> Column:
+        return F.transform(
+            _starts(F.col("w"), n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(_gram(F.col("w"), i, n)).alias("h"))
         )
-    ) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
+
+    each = F.concat(*(hashed(n) for n in lengths)) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
     table = windows.select(F.xxhash64("gram").alias("h"), "gram", "item")
     hits = (
         w.select("_k1", "_k2", F.explode(each).alias("x"))
@@ -148,7 +146,7 @@ def _found_by_join(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
     def result(w: Column) -> Column:
         return let(
-            F.filter(F.coalesce(F.col("c"), F.array()), lambda h: _gram(w, h["at"], h["n"]) == h["gram"]),
+            F.filter(F.coalesce(F.col("c"), F.array().cast(hits.schema["c"].dataType)), lambda h: _gram(w, h["at"], h["n"]) == h["gram"]),
             lambda hits: F.struct(
                 F.size(w).cast("bigint").alias("n_words"),
                 _covered(hits).alias("covered"),

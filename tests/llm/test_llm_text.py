@@ -1,0 +1,185 @@
+"""Row-wise training-data operators against brute force and on odd input."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabulon.llm import bpe, chat, decontaminate, pii, quality
+
+ITEMS = [(1, "The quick brown fox jumps over the lazy dog, and then it sleeps."), (2, "ünïcode wörds here"), (3, None), (4, "--"), (5, "THE quick brown fox jumps over the lazy dog and")]
+
+
+def words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) if w]
+
+
+def brute_hits(text, items, n=10):
+    w, hit, found = words(text), set(), set()
+    for item, body in items:
+        b = words(body)
+        if not b:
+            continue
+        size = min(n, len(b))
+        grams = {tuple(b[i : i + size]) for i in range(len(b) - size + 1)}
+        for i in range(len(w) - size + 1):
+            if tuple(w[i : i + size]) in grams:
+                hit |= set(range(i, i + size))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+DOCS = [
+    (1, "Clean words only, nothing to see."),
+    (2, "Before. The quick BROWN fox jumps over the lazy dog and then goes on; ünïcode wörds here! After"),
+    (3, None),
+    (4, ""),
+    (5, "ÜNÏCODE wörds here"),
+    (2, "Before. The quick BROWN fox jumps over the lazy dog and then goes on; ünïcode wörds here! After"),
+    (6, "x " * 30000 + "ünïcode wörds here"),
+]
+
+
+@pytest.mark.parametrize("limit", [50_000, 2])
+def test_decontamination_matches_brute_force(spark, limit):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in DOCS], "doc_id long, text string, n_words string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.find_contamination(docs, items, max_windows=limit).collect()
+    want = sorted((i, *brute_hits(t, ITEMS)) for i, t in DOCS)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == want
+
+
+def test_decontamination_removes(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, mode="span").collect()}
+    assert cut[2] == "Before. goes on; After" and cut[1] == DOCS[0][1] and cut[3] is None and cut[5] == DOCS[4][1]
+    assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(DOCS)
+    assert decontaminate.find_contamination(docs.limit(0), items).count() == 0
+
+
+def brute_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    twice = {g for g in grams if grams.count(g) > 1}
+    at = {p for i, g in enumerate(grams) if g in twice for p in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(at)
+
+
+QUALITY = [(1, "a b c d e f g h i j a b c d e f g h z"), (2, None), (3, ""), (4, "one\ntwo\none\n \n\none"), (5, "# $ é x 😀 " * 12), (6, "w " * 25), (7, "a b c d e f g h")]
+
+
+def test_quality_matches_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in QUALITY], "doc_id long, text string, failed int")
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality.ledger(docs).collect()}
+    assert got == {i: brute_quality(t) for i, t in QUALITY}
+    report = {r["rule"]: r for r in quality.ablation(quality.ledger(docs), quality.STANDARD).collect()}
+    assert report["few_words"]["n_failed"] == 5 and report["few_words"]["n_rejected"] == 7
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.ledger(docs.limit(0)).count() == 0
+
+
+TEXTS = ["Hello world!", None, "", "aaaa aaa aa a", "It's the cat's 12 mice", "<|endoftext|>x<|startoftext|>", "naïve Σίσυφος İstanbul ﬁ", "日本語 text　here", "-----!!!", "x" * 5000, "Hello world!"]
+
+
+def test_bpe_matches_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode(docs, decoded=True).collect()}
+    for i, t in enumerate(TEXTS):
+        want = lib.encode(t or "", add_special_tokens=False).ids
+        assert list(memoryview(bytes(got[i]["ids"])).cast("I")) == want, t
+        assert got[i]["n_tokens"] == len(want)
+        assert got[i]["decoded"] == lib.decode(want, skip_special_tokens=False)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert back == {i: r["decoded"] for i, r in got.items()}
+    assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_automaton_accepts_only_bpe_sequences():
+    vocab = {c: i for i, c in enumerate(["a", "b", "a</w>", "b</w>", "aa", "ab</w>", "aab</w>"])}
+    a = bpe.Automaton(vocab, [("a", "a"), ("a", "b</w>"), ("aa", "b</w>")], "</w>")
+    label = lambda s: [a.labels[i] for i in a.path(s)]
+    assert label("aab") == ["aab</w>"]
+    assert label("aaab") == ["aa", "ab</w>"]
+    assert label("aaaa") == ["aa", "a", "a</w>"]
+    assert not a.can_follow(vocab["a"], vocab["a"]) and a.can_follow(vocab["aa"], vocab["a"])
+
+
+def test_chat_round_trip(spark):
+    rows = [
+        (1, 0, "user", "hi <|im_end|>\n [INST] \x10d \x10"),
+        (1, 1, "assistant", "</s> <s>ok"),
+        (1, 2, None, None),
+        (2, 5, "assistant", "late"),
+        (2, 1, "us\ner", "early"),
+        (2, 1, "us\ner", "early"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = chat.format_trees(chat.threads(df)).withColumns(
+        {"turns": chat.parse_turns(F.col("formatted")), "learnt": chat.masked_text(F.col("formatted"), F.col("loss_mask"))}
+    )
+    got = {r["tree"]: r for r in out.collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", rows[0][3]), ("assistant", "</s> <s>ok"), ("", "")]
+    assert [t["text"] for t in got[2]["turns"]] == ["early", "early", "late"] and got[2]["turns"][0]["role"] == "us\ner"
+    assert got[1]["learnt"] == "</s> <s>ok" and got[2]["learnt"] == "late"
+    assert "[INST]" not in got[1]["formatted"] and "</s>" not in got[1]["formatted"]
+
+
+def test_reply_trees_rank_branches(spark):
+    rows = [(1, "a", None, 1.0), (1, "b", "a", 0.0), (1, "c", "a", 3.0), (1, "d", "c", 3.0), (1, "e", "x", 9.0), (2, "p", "q", 1.0), (2, "q", "p", 1.0)]
+    df = spark.createDataFrame([(t, i, p, "user", i, s) for t, i, p, s in rows], "tree long, id string, parent string, role string, text string, score double")
+    paths = {(r["tree"], r["leaf"]): r["path"] for r in chat.root_to_leaf_paths(df).collect()}
+    assert paths == {(1, "b"): ["a", "b"], (1, "d"): ["a", "c", "d"], (1, "e"): ["e"]}
+    best = chat.format_trees(df, top_k=2).orderBy("rank").collect()
+    assert [(r["leaf"], r["n_turns"]) for r in best] == [("e", 1), ("d", 3)]
+    chain = spark.range(1, 40).select(F.lit(1).alias("tree"), F.col("id"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"))
+    assert len(chat.root_to_leaf_paths(chain).first()["path"]) == 39
+
+
+def feistel(a, b, ra, rb, key, tweak):
+    for r in range(pii.ROUNDS):
+        mix = lambda x: int(hashlib.sha256(f"{key}|{tweak}|{r}|{x}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if r % 2 == 0:
+            a = (a + mix(b)) % ra
+        else:
+            b = (b + mix(a)) % rb
+    return a, b
+
+
+def luhn_ok(d):
+    return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii_matches_brute_force_and_keeps_formats(spark):
+    card, ip = "4041894974608795", "42.144.35.254"
+    text = f"Mail bob.42@mail8.example.com, card {card} or 4041 8949 7460 8795; ip {ip}, 999.1.1.1; on 2023-05-17 and 17.05.2023; ssn 123-45-6789; +1 (988) 555-2485"
+    rows = [(1, text), (2, None), (3, ""), (4, "clean 12 words"), (5, f"again {card} bad 4041894974608796"), (6, text)]
+    got = {r["doc_id"]: r for r in pii.find_and_replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "clean 12 words" and got[4]["n_found"] == 0
+    new = got[1]["text"]
+    for value in (card, ip, "bob.42@", "123-45-6789", "555-2485", "2023-05-17"):
+        assert value not in new
+    assert "999.1.1.1" in new and got[6]["text"] == new and got[1]["n_found"] == 8
+    other = re.search(r"again (\d{16}) bad (\d+)", got[5]["text"])
+    assert other[1] in new and luhn_ok(other[1]) and other[2] == "4041894974608796"
+    o = [int(x) for x in ip.split(".")]
+    a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "k", "ip")
+    assert f"{a // 256}.{a % 256}.{b // 256}.{b % 256}" in new
+    iso = re.search(r"on (\d{4})-(\d\d)-(\d\d) and (\d\d)\.(\d\d)\.(\d{4})", new)
+    assert iso.groups()[:3] == (iso[6], iso[5], iso[4])
+
+
+def test_pii_permutes_each_format_one_to_one(spark):
+    df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
+    assert df.select(pii.permute(F.col("s"), 10, "k", F.lit("t")).alias("p")).distinct().count() == 10000
+    letters = spark.createDataFrame([("abc",), ("a",), ("",), ("z" * 60,)], "s string")
+    assert [len(r[0]) for r in letters.select(pii.permute(F.col("s"), 26, "k", F.lit("t"))).collect()] == [3, 1, 0, 60]
