@@ -42,6 +42,8 @@ MAX_LEXICON = 500
 MAX_FEATURES = 20_000
 LEAST_DOCS = 4
 N_LIST_VOTERS = 10
+#: How many documents a labelled one stands for when the label model is fitted.
+LABEL_WEIGHT = 10
 WORD = re.compile(r"[^\W\d_]+")
 WORDS_KEPT = 500_000
 
@@ -150,8 +152,8 @@ class LabelModel:
 
     def _class_weights(self, share: np.ndarray) -> np.ndarray:
         own = self.weight * share
-        own[0] += self.clean
-        own[1:] += self.toxic * share[1:] / share[1:].sum(axis=0)
+        own[0] += LABEL_WEIGHT * self.clean
+        own[1:] += LABEL_WEIGHT * self.toxic * share[1:] / share[1:].sum(axis=0)
         return own
 
     def _given(self, j: int) -> np.ndarray:
