@@ -177,6 +177,8 @@ def drop_repeated_lines(
     found = materialise(repeated_lines(docs, min_words, id_col, text_col).toDF("_id", "_th", "_spans"), "spans")
     text = F.col(f"`{text_col}`")
     own = docs.withColumn("_th", F.xxhash64(text))
+    # both sides grow with the corpus: never a broadcast, at no size
+    found = found.hint("merge")
     joined = own.join(found, own[id_col].eqNullSafe(found["_id"]) & (own["_th"] == found["_th"]), "left")
     joined = joined.select(*(own[c] for c in docs.columns), "_spans")
     result = F.when(
