@@ -123,9 +123,13 @@ def _(t):
     return _round(S.correlate(t.lineitem, *_NUM), "r", digits=8)
 
 
-@query("d19_pwcorr")
+# 59,998 degrees of freedom and more: the 5 % point of t is that of the normal
+_R = "(SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r FROM lineitem)"
+
+
+@query("d19_pwcorr", " UNION ALL ".join(f"SELECT a, b, n, round(r, 8) AS r, abs(r) * sqrt((n - 2) / (1 - r * r)) > 1.95996 AS star FROM {_R.format(a=a, b=b)}" for a, b in _PAIRS if a != b))
 def _(t):
-    return S.pwcorr(t.lineitem, *_NUM)
+    return _round(S.pwcorr(t.lineitem, *_NUM), "r", digits=8).drop("p")
 
 
 _T1 = "count({v}) AS n, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS sd, round((avg({v}) - {m}) / (stddev_samp({v}) / sqrt(count({v}))), 6) AS t, count({v}) - 1 AS df"
@@ -149,9 +153,18 @@ def _(t):
     return _round(_round(S.ttest_two(t.lineitem, "l_extendedprice", "l_linestatus"), "difference", "df"), "t", digits=6).drop("p")
 
 
-@query("d23_centile")
+def _centile_sql(p: str) -> str:
+    """The order statistics at the binomial quantiles of 2.5 % and 97.5 %."""
+    rank = lambda q: f"(SELECT min(k) FROM b WHERE cdf >= {q})"
+    value = lambda r: f"(SELECT c_acctbal FROM o WHERE i = least(greatest({r}, 0), n.n - 1))"
+    return f"""SELECT * FROM (WITH n AS (SELECT count(*) AS n FROM customer), o AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) - 1 AS i FROM customer),
+    b AS (SELECT k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p}))) OVER (ORDER BY k) AS cdf FROM (SELECT n, CAST(unnest(range(0, n + 1)) AS DOUBLE) AS k FROM n))
+    SELECT {p} AS p, round({_mid('customer', 'c_acctbal', p)}, 4) AS q, {value(rank(0.025))} AS low, {value(rank(0.975) + ' + 1')} AS high FROM n)"""
+
+
+@query("d23_centile", " UNION ALL ".join(_centile_sql(p) for p in ("0.25", "0.5", "0.75")))
 def _(t):
-    return Q.centile(t.customer, "c_acctbal", [25, 50, 75])
+    return _round(Q.centile(t.customer, "c_acctbal", [25, 50, 75]), "q")
 
 
 @query("d24_pctile", " UNION ALL ".join(f"SELECT {p} AS p, round({_mid('customer', 'c_acctbal', p)}, 4) AS q" for p in ("0.2", "0.4", "0.6", "0.8")))

@@ -10,13 +10,9 @@ from . import query, rnd
 c = F.col
 
 
-def _english(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", "text")
-
-
 @query("n1_luhn")
 def _(t):
-    return N.luhn(_english(t), "doc_id", "text")
+    return N.luhn(t.documents, "doc_id", "text")
 
 
 @query("n1_sumbasic")
@@ -41,8 +37,8 @@ def _(t):
 
 @query("n3_classify")
 def _(t):
-    labels = t.benchmark.filter("item_id < 10").select(c("item_id").cast("string").alias("label"), c("text").alias("description"))
-    return N.classify(_english(t), "doc_id", "text", labels)
+    labels = t.benchmark.select(c("item_id").cast("string").alias("label"), c("text").alias("description"))
+    return N.classify(t.documents, "doc_id", "text", labels)
 
 
 _WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ɏЀ-ӿ]+')) AS w FROM documents"
