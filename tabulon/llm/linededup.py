@@ -170,32 +170,31 @@ def drop_repeated_lines(
     docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False
 ) -> DataFrame:
     """``docs`` without the lines of later copies, and ``n_lines`` and
-    ``n_lines_dropped``; ``drop_empty`` leaves out documents that lost all."""
-    taken = {"_th", "_spans", "_id", "n_lines", "n_lines_dropped"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in the way")
-    found = materialise(repeated_lines(docs, min_words, id_col, text_col).toDF("_id", "_th", "_spans"), "spans")
-    text = F.col(f"`{text_col}`")
-    own = docs.withColumn("_th", F.xxhash64(text))
+    ``n_lines_dropped``, which replace columns of these names; ``drop_empty``
+    leaves out documents that lost all lines."""
+    found = materialise(repeated_lines(docs, min_words, id_col, text_col).toDF("id", "th", "spans"), "spans")
     # both sides grow with the corpus: never a broadcast, at no size
     found = found.hint("merge")
-    joined = own.join(found, own[id_col].eqNullSafe(found["_id"]) & (own["_th"] == found["_th"]), "left")
-    joined = joined.select(*(own[c] for c in docs.columns), "_spans")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("own_th"))
+    joined = own.join(found, own["doc"].eqNullSafe(found["id"]) & (own["own_th"] == found["th"]), "left").select("row", "spans")
+    text = F.col(f"row.`{text_col}`")
     result = F.when(
-        F.col("_spans").isNotNull(),
+        F.col("spans").isNotNull(),
         let(
             F.split(text, "\n"),
             lambda x: let(
-                _kept(x, F.col("_spans")),
+                _kept(x, F.col("spans")),
                 lambda y: F.struct(F.array_join(y, "\n").alias("text"), F.size(x).alias("n"), F.size(y).alias("left")),
             ),
         ),
     ).otherwise(F.struct(text.alias("text"), F.size(F.split(text, "\n")).alias("n"), F.size(F.split(text, "\n")).alias("left")))
-    out = joined.withColumn("_r", result)
+    out = joined.withColumn("result", result)
     if drop_empty:
-        out = out.filter(F.col("_spans").isNull() | (F.col("_r.left") > 0))
+        out = out.filter(F.col("spans").isNull() | (F.col("result.left") > 0))
+    new = ("n_lines", "n_lines_dropped")
     return out.select(
-        *(F.col("_r.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.when(text.isNull(), 0).otherwise(F.col("_r.n")).cast("bigint").alias("n_lines"),
-        F.when(text.isNull(), 0).otherwise(F.col("_r.n") - F.col("_r.left")).cast("bigint").alias("n_lines_dropped"),
+        *((F.col("result.text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in new),
+        F.when(text.isNull(), 0).otherwise(F.col("result.n")).cast("bigint").alias(new[0]),
+        F.when(text.isNull(), 0).otherwise(F.col("result.n") - F.col("result.left")).cast("bigint").alias(new[1]),
     )

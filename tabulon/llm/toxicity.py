@@ -14,7 +14,7 @@
 
 Labels, language, source and id are never inputs of a score.  Defined results: a
 null text is an empty one and gets the score of the bias; repeated rows get
-equal scores; labels that repeat an id count as toxic if any does, null labels
+equal scores; a null id counts as training; labels that repeat an id count as toxic if any does, null labels
 are left out; without any labelled toxic row every score is 0; an empty table
 gives an empty result; other columns are not read.
 """
@@ -58,7 +58,7 @@ def features_of(word: str) -> list[str]:
 
 
 def training_rows(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 4 != 2
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id") -> DataFrame:

@@ -66,6 +66,12 @@ def test_line_dedup_matches_brute_force(spark, least):
     found = {r["doc_id"]: r["text"] for r in got.collect()}
     assert found.pop(120) is None and found == brute_lines(rows, least)
     assert linededup.drop_repeated_lines(df.limit(0)).count() == 0
+    clash = df.withColumns({"n_lines": F.lit("x"), "spans": F.lit(None), "row": F.lit(1), "th": F.lit(2)})
+    again = linededup.drop_repeated_lines(clash, least)
+    assert {r["doc_id"]: r["text"] for r in again.collect() if r["text"] is not None} == found
+    assert dict(again.dtypes)["n_lines"] == "bigint" and "row" in again.columns
+    nameless = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert linededup.drop_repeated_lines(nameless, least).count() == df.count()
 
 
 def near(rows):
@@ -178,6 +184,8 @@ def test_toxicity_on_held_out_rows(spark):
     right = sum((got[i] >= 0.3) == bool(y) for i, y in held)
     assert right / len(held) > 0.97 and 0 <= got[1000] < 0.3 and got[1001] == got[1000]
     none = toxicity.fit(docs, lab.filter("toxic = 0"))
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") > 10, F.col("doc_id")))
+    assert toxicity.score(nameless, toxicity.fit(nameless, lab)).count() == docs.count()
     assert none is None and {x["score"] for x in toxicity.score(docs, none).collect()} == {0.0}
 
 
