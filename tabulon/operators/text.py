@@ -38,9 +38,9 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k, sentence), k from 0; where no sentence starts with a capital,
     punctuation alone divides."""
     t = F.regexp_replace(text_col, r"^\s+|\s+$", "")
-    strict = F.split(t, SENTENCE_END)
-    parts = F.when(F.size(strict) > 1, strict).otherwise(F.split(t, r"(?<=[.!?])\s+"))
-    clean = F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    # a lambda variable holds the first split, which is then computed once
+    strict = F.transform(F.array(F.split(t, SENTENCE_END)), lambda s: F.when(F.size(s) > 1, s).otherwise(F.split(t, r"(?<=[.!?])\s+")))[0]
+    clean = F.filter(F.transform(strict, F.trim), lambda s: s != "")
     return df.select(F.col(id_col), F.posexplode(clean).alias("k", "sentence"))
 
 
@@ -64,8 +64,7 @@ def luhn(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str =
     sentence scores its best cluster, significant words squared over its span."""
     s = sentences(df, id_col, text_col)
     w = words(s, "sentence", language)
-    often = w.groupBy(id_col, "w").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select(id_col, "w")
-    sig = w.join(often, [id_col, "w"], "left_semi")
+    sig = w.withColumn("c", F.count("*").over(Window.partitionBy(id_col, "w"))).filter(F.col("c") >= least)
     o = Window.partitionBy(id_col, "k").orderBy("i")
     cut = F.when(F.col("i") - F.lag("i").over(o) <= gap, 0).otherwise(1)
     clusters = sig.withColumn("_new", cut).withColumn("_c", F.sum("_new").over(o))
