@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from fnmatch import fnmatchcase
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import holds
+from .rows import number_rows
 
 TYPES = {"byte": "tinyint", "int": "smallint", "long": "int", "float": "float", "double": "double", "str": "string"}
 
@@ -118,8 +119,8 @@ def tostring(df: DataFrame, *cols: str, fmt: str | None = None) -> DataFrame:
 
 def encode(df: DataFrame, col: str, new: str) -> DataFrame:
     """Codes 1…K of the sorted values, from a table of the distinct values."""
-    codes = df.select(col).dropna().distinct()
-    codes = codes.select(F.col(col).alias("_v"), F.row_number().over(Window.orderBy(col)).alias(new))
+    codes = number_rows(df.select(F.col(col).alias("_v")).dropna().distinct(), ["_v"], new)
+    codes = codes.withColumn(new, F.col(new).cast("int"))
     return df.join(codes, df[col] == codes["_v"], "left").drop("_v")
 
 

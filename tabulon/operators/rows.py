@@ -32,14 +32,15 @@ def running_total(df: DataFrame, order_by, value: Column, new: str) -> DataFrame
     keys = _ordered(order_by)
     parts = stable(df.withColumn("_value", value).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
     sums = sorted((r["_part"], r["s"]) for r in parts.groupBy("_part").agg(F.sum("_value").alias("s")).collect())
-    offsets, total = {}, 0
+    zero = 0.0 if any(isinstance(s, float) for _, s in sums) else 0
+    offsets, total = {}, zero
     for part, s in sums:
-        offsets[part], total = total, total + (s or 0)
+        offsets[part], total = total, total + (s or zero)
     own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    if not offsets:
-        return parts.withColumn(new, own).drop("_part", "_value")
-    shift = F.try_element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("_part"))
-    return parts.withColumn(new, own + shift).drop("_part", "_value")
+    kind = parts.groupBy("_part").agg(F.sum("_value").alias("_shift")).schema
+    shifts = df.sparkSession.createDataFrame(list(offsets.items()), kind)
+    out = parts.withColumn("_own", own).join(F.broadcast(shifts), "_part", "left")  # a row a partition
+    return out.withColumn(new, F.col("_own") + F.coalesce("_shift", F.lit(0))).drop("_part", "_value", "_own", "_shift")
 
 
 def number_rows(df: DataFrame, order_by, new: str = "_n") -> DataFrame:
