@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WORDS_KEPT = 300_000
-ARCS_KEPT = 1_000_000
+#: Bounds of what an idle worker holds between stages: some 20 MB each.
+WORDS_KEPT = 100_000
+ARCS_KEPT = 150_000
 ROWS_OUT = 256
 
 
@@ -69,7 +70,8 @@ class Automaton:
             self.labels[i] = label
         self.rank, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.lost: dict[tuple[int, int], int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.width = n
         made = set(vocab.values()) - {vocab[a + b] for a, b in merges}
         for r, (x, y) in enumerate(merges):
             self._gadget(r, vocab[x], vocab[y], vocab[x + y], made)
@@ -103,11 +105,12 @@ class Automaton:
                 return True
 
     def can_follow(self, u: int, v: int) -> bool:
-        found = self.known.get((u, v))
+        key = u * self.width + v
+        found = self.known.get(key)
         if found is None:
             if len(self.known) >= ARCS_KEPT:
                 self.known.clear()
-            found = self.known[u, v] = self._reads(u, v, 1 << 60)
+            found = self.known[key] = self._reads(u, v, 1 << 60)
         return found
 
     def path(self, symbols: str) -> list[int]:
