@@ -1,17 +1,24 @@
 """Text: extractive summaries, classes, sentiment, entities, embeddings.
 
 Sentences and words are rows; every score is a join or an aggregate, so that
-long documents and large corpora divide over tasks.
+long documents and large corpora divide over tasks.  The greedy and the ranked
+summaries compare the sentences of one document only, so they are made row by row
+from Arrow batches, in memory that does not grow with the square of a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, HashingTF, IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Stop words by language.
 STOP_WORDS = {
@@ -37,11 +44,14 @@ SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÀ-ɏЀ-ӿ])"
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k, sentence), k from 0; where no sentence starts with a capital,
     punctuation alone divides."""
+    return df.select(F.col(id_col), F.posexplode(_split(text_col)).alias("k", "sentence"))
+
+
+def _split(text_col: str) -> Column:
     t = F.regexp_replace(text_col, r"^\s+|\s+$", "")
     # a lambda variable holds the first split, which is then computed once
     strict = F.transform(F.array(F.split(t, SENTENCE_END)), lambda s: F.when(F.size(s) > 1, s).otherwise(F.split(t, r"(?<=[.!?])\s+")))[0]
-    clean = F.filter(F.transform(strict, F.trim), lambda s: s != "")
-    return df.select(F.col(id_col), F.posexplode(clean).alias("k", "sentence"))
+    return F.filter(F.transform(strict, F.trim), lambda s: s != "")
 
 
 def words(rows: DataFrame, text_col: str, language: str | None = "english") -> DataFrame:
@@ -73,84 +83,156 @@ def luhn(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str =
     return _top(score, s, id_col, n)
 
 
+def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str, pick: Callable) -> DataFrame:
+    """(id, summary) of every row that has a sentence: ``pick(k, w, size, n)``
+    gets the sentence number and the word code of each word, the number of
+    sentences and how many to take.  One row never needs another, so nothing is
+    shuffled."""
+    stop = STOP_WORDS[language].split()
+    found = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(f"{LETTERS}+"), 0), lambda w: ~w.isin(stop))
+    rows = df.select(F.col(id_col), _split(text_col).alias("_s")).select(F.col(id_col), "_s", F.transform("_s", found).alias("_w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sents, toks = batch.column(1), batch.column(2)
+            at = sents.offsets.to_numpy()
+            code = pc.dictionary_encode(toks.values.values).indices.to_numpy()
+            row, start = toks.offsets.to_numpy(), toks.values.offsets.to_numpy()
+            keep, out = [], []
+            for r in range(batch.num_rows):
+                size = int(at[r + 1] - at[r])
+                if not size:
+                    continue
+                here = start[row[r] : row[r] + size + 1]
+                k = np.repeat(np.arange(size), np.diff(here))
+                best = range(size) if size <= n else sorted(pick(k, code[here[0] : here[-1]], size, n))
+                keep.append(r)
+                out.append(" ".join(sents.values[int(at[r] + i)].as_py() for i in best))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string())], names=[id_col, "summary"])
+
+    kind = StructType([df.select(id_col).schema[0], StructField("summary", StringType())])
+    return rows.mapInArrow(run, kind)
+
+
 def sumbasic(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english") -> DataFrame:
     """SumBasic (2007): mean word probability; after each pick the probabilities
-    of its words are squared."""
-    s = sentences(df, id_col, text_col)
-    w = words(s, "sentence", language)
-    total = w.groupBy(id_col).agg(F.count("*").alias("_n"))
-    p = w.groupBy(id_col, "w").agg(F.count("*").alias("c")).join(total, id_col).select(id_col, "w", (F.col("c") / F.col("_n")).alias("p"))
-    chosen = None
-    for _ in range(n):
-        score = w.join(p, [id_col, "w"]).groupBy(id_col, "k").agg(F.round(F.avg("p"), 12).alias("score"))
-        left = score if chosen is None else score.join(chosen, [id_col, "k"], "left_anti")
-        pick = left.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("k"))).alias("b")).select(id_col, F.col("b.k").alias("k"))
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-        used = w.join(pick, [id_col, "k"], "left_semi").select(id_col, "w").distinct().withColumn("_u", F.lit(True))
-        p = p.join(used, [id_col, "w"], "left").select(id_col, "w", F.when(F.col("_u"), F.col("p") * F.col("p")).otherwise(F.col("p")).alias("p"))
-    best = s.join(chosen, [id_col, "k"], "left_semi")
-    return best.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    of its words are squared.  Ties go to the earlier sentence; sentences without
+    words come last."""
+
+    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+        _, w, count = np.unique(w, return_inverse=True, return_counts=True)
+        p, long = count / max(len(w), 1), np.bincount(k, minlength=size)
+        chosen: list[int] = []
+        for _ in range(n):
+            score = np.round(np.bincount(k, p[w], size) / np.maximum(long, 1), 12)
+            score[long == 0] = -1
+            score[chosen] = -2
+            chosen.append(int(np.argmax(score)))
+            used = np.unique(w[k == chosen[-1]])
+            p[used] = p[used] * p[used]
+        return chosen
+
+    return _summaries(df, id_col, text_col, n, language, pick)
 
 
 def kl_sum(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english") -> DataFrame:
     """KL-Sum (2009): greedily the sentence that brings the summary's words
     nearest to the document's, by the divergence of document from summary over the
-    summary's words."""
-    s = sentences(df, id_col, text_col)
-    w = words(s, "sentence", language).groupBy(id_col, "k", "w").agg(F.count("*").alias("c"))
-    doc = w.groupBy(id_col, "w").agg(F.sum("c").alias("n_doc"))
-    tot = doc.groupBy(id_col).agg(F.sum("n_doc").alias("n_all"))
-    q = doc.join(tot, id_col).select(id_col, "w", (F.col("n_doc") / F.col("n_all")).alias("q"))
-    chosen = None
-    for _ in range(n):
-        if chosen is None:
-            cand = w
-        else:
-            have = w.join(chosen, [id_col, "k"], "left_semi").select(id_col, "w", F.col("c").alias("h"))
-            rest = w.join(chosen, [id_col, "k"], "left_anti")
-            keys = rest.select(id_col, "k").distinct()
-            cand = rest.unionByName(keys.join(have, id_col).select(id_col, "k", "w", F.col("h").alias("c")))
-        c = cand.groupBy(id_col, "k", "w").agg(F.sum("c").alias("c"))
-        size = c.groupBy(id_col, "k").agg(F.sum("c").alias("n_sum"))
-        p = F.col("c") / F.col("n_sum")
-        div = c.join(size, [id_col, "k"]).join(q, [id_col, "w"]).groupBy(id_col, "k").agg(F.round(F.sum(p * F.ln(p / F.col("q"))), 12).alias("kl"))
-        pick = div.groupBy(id_col).agg(F.min(F.struct("kl", "k")).alias("b")).select(id_col, F.col("b.k").alias("k"))
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-    best = s.join(chosen, [id_col, "k"], "left_semi")
-    return best.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    summary's words.  Ties go to the earlier sentence; sentences without words
+    come last."""
+
+    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+        _, w, count = np.unique(w, return_inverse=True, return_counts=True)
+        q, long, held = np.log(count / max(len(w), 1)), np.bincount(k, minlength=size), np.zeros(len(count))
+        ks, ws, c = _cells(k, w, len(count))
+        part = lambda x, q: x * (np.log(np.maximum(x, 1)) - q)
+        chosen: list[int] = []
+        for _ in range(n):
+            # sum p ln(p / q) with p = x / total, where only a sentence's own words change x
+            total = held.sum() + long
+            change = np.bincount(ks, part(held[ws] + c, q[ws]) - part(held[ws], q[ws]), size)
+            kl = np.round((part(held, q).sum() + change) / np.maximum(total, 1) - np.log(np.maximum(total, 1)), 12)
+            kl[long == 0] = np.finfo(float).max
+            kl[chosen] = np.inf
+            chosen.append(int(np.argmin(kl)))
+            mine = ks == chosen[-1]
+            held[ws[mine]] += c[mine]
+        return chosen
+
+    return _summaries(df, id_col, text_col, n, language, pick)
+
+
+def _cells(k: np.ndarray, w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, word, count) of distinct pairs, in this order."""
+    key, c = np.unique(k * np.int64(n_words) + w, return_counts=True)
+    return *np.divmod(key, max(n_words, 1)), c
+
+
+#: Numbers of a similarity matrix held at once; a longer document's matrix is made anew, by strips, in each round.
+HELD, STRIP = 1 << 22, 1 << 20
 
 
 def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str = "lexrank", language: str = "english", rounds: int = 20, threshold: float = 0.1, damping: float = 0.85) -> DataFrame:
     """LexRank (cosine of TF-IDF over ``threshold``) or TextRank (shared words over
     log lengths), 2004: power iteration on the sentence graph of each document."""
-    from ..storage import stable
-
-    s = stable(sentences(df, id_col, text_col))
-    w = stable(words(s, "sentence", language).groupBy(id_col, "k", "w").agg(F.count("*").alias("tf")))
-    if method == "lexrank":
-        many = s.groupBy(id_col).agg(F.count("*").alias("_N"))
-        idf = w.groupBy(id_col, "w").agg(F.count("*").alias("df")).join(many, id_col).select(id_col, "w", (F.ln(F.col("_N") / F.col("df")) + 1).alias("idf"))
-        v = w.join(idf, [id_col, "w"]).select(id_col, "k", "w", (F.col("tf") * F.col("idf")).alias("x"))
-        norm = v.groupBy(id_col, "k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
-        u = v.join(norm, [id_col, "k"]).select(id_col, "k", "w", (F.col("x") / F.col("_n")).alias("x"))
-        a, b = u.toDF(id_col, "k", "w", "x"), u.toDF(id_col, "l", "w", "z")
-        sim = a.join(b, [id_col, "w"]).filter("k <> l").groupBy(id_col, "k", "l").agg(F.sum(F.col("x") * F.col("z")).alias("e")).filter(F.col("e") > threshold).withColumn("e", F.lit(1.0))
-    else:
-        size = w.groupBy(id_col, "k").agg(F.count("*").alias("m"))
-        a, b = w.select(id_col, "k", "w"), w.select(id_col, F.col("k").alias("l"), "w")
-        shared = a.join(b, [id_col, "w"]).filter("k <> l").groupBy(id_col, "k", "l").agg(F.count("*").alias("c"))
-        shared = shared.join(size, [id_col, "k"]).join(size.toDF(id_col, "l", "m2"), [id_col, "l"])
-        length = F.ln(F.col("m").cast("double")) + F.ln(F.col("m2").cast("double"))
-        sim = shared.filter((F.col("m") > 1) | (F.col("m2") > 1)).select(id_col, "k", "l", (F.col("c") / length).alias("e"))
-    out = sim.groupBy(id_col, "k").agg(F.sum("e").alias("t"))
-    flow = stable(sim.join(out, [id_col, "k"]).select(id_col, "k", "l", (F.col("e") / F.col("t")).alias("p")))
-    rank = s.select(id_col, "k", F.lit(1.0).alias("score"))
-    for r in range(rounds):
-        got = rank.join(flow, [id_col, "k"]).groupBy(id_col, F.col("l").alias("k")).agg(F.sum(F.col("score") * F.col("p")).alias("g"))
-        rank = s.select(id_col, "k").join(got, [id_col, "k"], "left").select(id_col, "k", (F.lit(1 - damping) + damping * F.coalesce("g", F.lit(0.0))).alias("score"))
-        if r % 5 == 4:
-            rank = stable(rank)
-    return _top(rank, s, id_col, n)
+
+    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+        _, w = np.unique(w, return_inverse=True)
+        n_words = int(w.max()) + 1 if len(w) else 0
+        ks, ws, tf = _cells(k, w, n_words)
+        idf = np.log(size / np.bincount(ws, minlength=n_words)) + 1
+        # sentences of the same words have the same edges and so the same rank: one node each, that counts often
+        cells = np.searchsorted(ks, np.arange(size + 1))
+        known: dict[tuple[bytes, bytes], int] = {}
+        node = np.array([known.setdefault((ws[i:j].tobytes(), tf[i:j].tobytes()), len(known)) for i, j in zip(cells, cells[1:], strict=False)])
+        nodes, often = len(known), np.bincount(node)
+        lead = np.zeros(size, bool)
+        lead[np.unique(node, return_index=True)[1]] = True
+        of = lead[ks]
+        ks, ws, tf = node[ks[of]], ws[of], tf[of]
+        many = np.bincount(ws, minlength=n_words)
+        own = np.bincount(ks, minlength=nodes)
+        logs = np.log(np.maximum(own, 1))
+        x = np.ones(len(ks))
+        if method == "lexrank":
+            x = tf * idf[ws]
+            x = x / np.sqrt(np.bincount(ks, x * x, nodes))[ks]
+        order = np.argsort(ws, kind="stable")  # the sentences of a word lie together
+        first = np.cumsum(many) - many
+        # a strip has at most STRIP pairs of sentences and pairs by word, or is one sentence
+        cells = np.searchsorted(ks, np.arange(nodes + 1))
+        work = np.concatenate([[0], np.cumsum(many[ws])])[cells] + np.arange(nodes + 1) * nodes
+
+        def strip(lo: int, hi: int) -> np.ndarray:
+            i = np.arange(cells[lo], cells[hi])
+            times = many[ws[i]]
+            a = np.repeat(i, times)
+            b = order[np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[ws[i]], times)]
+            e = np.bincount((ks[a] - lo) * nodes + ks[b], x[a] * x[b], (hi - lo) * nodes).reshape(hi - lo, nodes)
+            if method == "lexrank":
+                e = (e > threshold).astype(float)
+            else:
+                both = logs[lo:hi, None] + logs
+                e = np.divide(e, both, out=np.zeros(e.shape), where=both > 0)
+            others = np.broadcast_to(often, e.shape).copy()
+            others[np.arange(hi - lo), np.arange(lo, hi)] -= 1
+            return e * others
+
+        cuts = [0]
+        while cuts[-1] < nodes:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(work, work[cuts[-1]] + STRIP, "right")) - 1))
+        strips = list(zip(cuts, cuts[1:], strict=False))
+        made = [strip(*s) for s in strips] if nodes * nodes <= HELD else None
+        get = lambda j: made[j] if made is not None else strip(*strips[j])
+        out = np.concatenate([get(j).sum(axis=1) for j in range(len(strips))])
+        share = np.divide(1.0, out, out=np.zeros(nodes), where=out > 0)
+        rank = np.ones(nodes)
+        for _ in range(rounds):
+            flow = rank * share
+            rank = (1 - damping) + damping * np.concatenate([get(j) @ flow for j in range(len(strips))])
+        return np.argsort(-np.round(rank[node], 9), kind="stable")[:n].tolist()
+
+    return _summaries(df, id_col, text_col, n, language, pick)
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, threshold: float = 0.0) -> DataFrame:

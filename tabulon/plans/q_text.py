@@ -17,22 +17,22 @@ def _(t):
 
 @query("n1_sumbasic")
 def _(t):
-    return N.sumbasic(t.benchmark, "item_id", "text", 2)
+    return N.sumbasic(t.documents, "doc_id", "text", 2)
 
 
 @query("n1_kl_sum")
 def _(t):
-    return N.kl_sum(t.benchmark, "item_id", "text", 2)
+    return N.kl_sum(t.documents, "doc_id", "text", 2)
 
 
 @query("n2_lexrank")
 def _(t):
-    return N.rank_summary(t.benchmark, "item_id", "text", 2, "lexrank")
+    return N.rank_summary(t.documents, "doc_id", "text", 2, "lexrank")
 
 
 @query("n2_textrank")
 def _(t):
-    return N.rank_summary(t.benchmark, "item_id", "text", 2, "textrank")
+    return N.rank_summary(t.documents, "doc_id", "text", 2, "textrank")
 
 
 @query("n3_classify")
