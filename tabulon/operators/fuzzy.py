@@ -1,8 +1,11 @@
 """Fuzzy merging of string columns, blocked by n-grams.
 
 Only distinct strings that share an n-gram are compared, by an equi-join on the
-n-gram; similar strings share one.  Strings made of one common pattern share
-their n-grams with all others: use a longer ``n`` for such columns.
+n-gram.  By TF-IDF others have similarity 0.  By edit distance the length of the
+n-gram follows from the threshold: at most d edits leave one of d + 1 pieces of
+the longer string whole, so every pair at or over the threshold shares an n-gram
+of the least length of such a piece.  Strings made of one common pattern share
+their n-grams with all others.
 """
 
 from __future__ import annotations
@@ -38,18 +41,46 @@ def tfidf_pairs(left: DataFrame, right: DataFrame, col: str, n: int = 3) -> Data
     return ua.join(ub, "g").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
 
 
-def edit_pairs(left: DataFrame, right: DataFrame, col: str, n: int = 3) -> DataFrame:
-    """(a, b, similarity): 1 - edit distance / the longer length."""
-    a, b = _grams(left, col, n).withColumnRenamed("s", "a"), _grams(right, col, n).withColumnRenamed("s", "b")
-    pairs = a.join(b, "g").select("a", "b").distinct()
-    longer = F.greatest(F.char_length("a"), F.char_length("b"))
-    return pairs.withColumn("similarity", 1 - F.levenshtein("a", "b") / longer)
+def _pieces(s: Column, threshold: float) -> Column:
+    """Distinct substrings of ``s``, of each length that the longer string of a
+    pair at or over a threshold of more than 0 may ask for."""
+    n = F.char_length(s)
+
+    def piece(longer: Column) -> Column:
+        edits = F.floor(longer * (1 - threshold + 1e-9))
+        return F.floor(longer / (edits + 1)).cast("int")
+
+    if threshold > 0.5:
+        sizes = F.array_distinct(F.transform(F.sequence(n, F.floor(n / threshold + 1e-6).cast("int")), piece))
+    else:
+        sizes = F.array(F.least(n, F.lit(1)))
+
+    def cut(size: Column) -> Column:
+        starts = F.when(size <= n, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(s, i, size))
+
+    return F.array_distinct(F.flatten(F.transform(sizes, cut)))
+
+
+def edit_pairs(left: DataFrame, right: DataFrame, col: str, threshold: float = 0.8) -> DataFrame:
+    """(a, b, similarity): 1 - edit distance / the longer length, of every pair at
+    or over the threshold (to 9 places) and of some others."""
+    a, b = (df.select(F.col(col).alias(name)).dropna().distinct() for df, name in ((left, "a"), (right, "b")))
+    shorter, longer = (f(F.char_length("a"), F.char_length("b")) for f in (F.least, F.greatest))
+    if threshold > 0:
+        cut = lambda df, name: df.select(name, F.explode(_pieces(F.col(name), threshold)).alias("g"))
+        near = cut(a, "a").join(cut(b, "b"), "g").filter(longer - shorter <= longer * (1 - threshold + 1e-9))
+        pairs = near.select("a", "b").distinct()
+    else:
+        pairs = a.crossJoin(b)
+    alike = F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 - F.levenshtein("a", "b") / longer)
+    return pairs.withColumn("similarity", alike)
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, col: str, threshold: float = 0.8, method: str = "tfidf") -> DataFrame:
     """(a, matched, similarity): the best partner of each left string at or over
     the threshold; ties go to the lesser string."""
-    pairs = (tfidf_pairs if method == "tfidf" else edit_pairs)(left, right, col)
+    pairs = tfidf_pairs(left, right, col) if method == "tfidf" else edit_pairs(left, right, col, threshold)
     best = pairs.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= threshold)
     found = best.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("k"), F.col("b"))).alias("m"))
     return found.select("a", F.col("m.b").alias("matched"), (-F.col("m.k")).alias("similarity"))
