@@ -9,7 +9,8 @@ never meet.  The two halves of a value may have different radices; the domain is
 exactly their product and no cycle walking is needed.
 
 Everything is string and higher-order functions inside the row: no shuffle.
-Documents without a digit pair or an at sign are passed through.
+Documents without a digit pair, digits around a point, an at sign or the mark of a
+secret are passed through.
 
 Defined results: a null text stays null and has no findings; candidates that do
 not validate stay as they are; repeated rows give repeated results; an empty
@@ -280,7 +281,7 @@ def replaced(text: Column, key: str) -> Column:
     none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     matches = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
     some = let(F.transform(matches, lambda m: _replacement(m, key)), lambda f: F.when(F.size(f) > 0, rebuild(f)).otherwise(none))
-    return F.when(text.rlike(r"[0-9]{2}|@|AKIA|(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]"), some).otherwise(none)
+    return F.when(text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@|AKIA|(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]"), some).otherwise(none)
 
 
 def find_and_replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
