@@ -12,8 +12,9 @@ Everything is string and higher-order functions inside the row: no shuffle.
 Documents without a digit pair, digits around a point, an at sign or the mark of a
 secret are passed through.
 
-Defined results: a null text stays null and has no findings; candidates that do
-not validate stay as they are; repeated rows give repeated results; an empty
+Defined results: a null text stays null and has no findings; of candidates that do
+not validate whole the longest runs of their groups that do are replaced, the rest
+stays as it is; repeated rows give repeated results; an empty
 table gives an empty result; ``pseudonymise`` keeps all columns of its input.
 """
 
@@ -30,7 +31,22 @@ DAYS = (250, 292)
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
 
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Countries by the length of their IBAN.
+_LANDS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SD SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, lands: str) -> str:
+    rest = (n - 4) % 4
+    return rf"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# The length of the country first; what has another length or country, as far as it goes.
+_IBAN = "|".join([*(_of_length(*x) for x in sorted(_LANDS.items(), reverse=True)), r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"])
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -252,18 +268,54 @@ def _secret(m: Column, key: str) -> Column:
     return let(F.substr(m, F.char_length(head) + 1, F.char_length(m)), lambda x: F.concat(head, _mixed(x, key, F.lit("secret"))))
 
 
-def _replacement(m: Column, key: str) -> Column:
-    """struct(kind, text) of a candidate; kind is null where it does not validate."""
+def _form(m: Column, key: str) -> Column:
+    """struct(kind, new) of a value with a format of its own; null where none validates."""
     forms = (("email", _EMAIL, _email), ("ip", _IP, _ip), ("date", _DATE, _date), ("ssn", _SSN, _ssn))
     forms += (("iban", _IBAN, _iban), ("card", _CARD, _card), ("phone", _PHONE, _phone))
     out = None
     for kind, pattern, make in forms:
         body = F.struct(F.lit(kind).alias("kind"), make(m, key).alias("new"))
         out = F.when(m.rlike(_full(pattern)), body) if out is None else out.when(m.rlike(_full(pattern)), body)
-    out = out.otherwise(F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new")))
+    return out
+
+
+def _parts(m: Column, key: str) -> Column:
+    """struct(kinds, text) of a candidate that does not validate whole: from each
+    group of it on, the longest run of groups that does."""
+    end = r"[ .-]+$"
+
+    def runs(t: Column, i: Column) -> Column:
+        def run(j: Column) -> Column:
+            piece = lambda raw: let(F.regexp_replace(raw, end, ""), lambda p: F.struct(j.alias("j"), _form(p, key).alias("x"), F.substr(raw, F.char_length(p) + 1, F.char_length(raw)).alias("tail")))
+            return let(F.array_join(F.slice(t, i, j - i + 1), ""), piece)
+
+        return F.get(F.filter(F.transform(F.sequence(F.size(t), i, F.lit(-1)), run), lambda r: r["x"]["new"].isNotNull()), F.lit(0))
+
+    def state(free: Column, text: Column, kinds: Column) -> Column:
+        return F.struct(free.cast("int").alias("free"), text.alias("text"), kinds.alias("kinds"))
+
+    def step(t: Column):
+        def of(s: Column, i: Column) -> Column:
+            some = lambda r: state(r["j"] + 1, F.concat(s["text"], r["x"]["new"], r["tail"]), F.concat(s["kinds"], F.array(r["x"]["kind"])))
+            none = state(i + 1, F.concat(s["text"], F.get(t, i - 1)), s["kinds"])
+            return F.when(i < s["free"], s).otherwise(let(runs(t, i), lambda r: F.when(r.isNotNull(), some(r)).otherwise(none)))
+
+        return of
+
+    start = state(F.lit(1), F.lit(""), F.array().cast("array<string>"))
+    groups = F.regexp_extract_all(m, F.lit("[^ .-]+[ .-]*|[ .-]+"), F.lit(0))
+    return let(let(groups, lambda t: F.aggregate(F.sequence(F.lit(1), F.size(t)), start, step(t))), lambda s: F.struct(s["kinds"].alias("kinds"), s["text"].alias("text")))
+
+
+def _replacement(m: Column, key: str) -> Column:
+    """struct(kinds, text) of a candidate; no kinds where nothing in it validates."""
+    shaped = m.rlike(_full("|".join((_EMAIL, _IP, _DATE, _SSN, _IBAN, _CARD, _PHONE))))
+    secret = F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))
+    whole = lambda x: F.struct(F.array(x["kind"]).alias("kinds"), x["new"].alias("text"))
+    same = F.struct(F.array().cast("array<string>").alias("kinds"), m.alias("text"))
     return let(
-        out,
-        lambda x: F.struct(F.when(x["new"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["new"], m).alias("text")),
+        F.when(shaped, _form(m, key)).otherwise(secret),
+        lambda x: F.when(x["new"].isNotNull(), whole(x)).when(m.rlike("[ .-]"), _parts(m, key)).otherwise(same),
     )
 
 
@@ -276,7 +328,7 @@ def replaced(text: Column, key: str) -> Column:
             pieces,
             lambda p: F.concat(p[0], F.array_join(F.transform(found, lambda x, i: F.concat(x["text"], F.get(p, i + 1))), "")),
         )
-        return F.struct(joined.alias("text"), F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds"))
+        return F.struct(joined.alias("text"), F.flatten(F.transform(found, lambda x: x["kinds"])).alias("kinds"))
 
     none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     matches = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
