@@ -19,8 +19,8 @@ most ``RADIUS`` bits; a component is what links connect.
 
 Defined results: a null text is an empty one; texts without words have
 fingerprint zero and link like any other; repeated rows each get a row; a null
-id never names a component unless all its members lack an id; an empty table
-gives an empty result.  Other columns are not read.
+id never names a component unless all its members lack an id; a very long text is
+hashed whole, its bits counted by strips; an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ SHINGLE = 3
 SEED = 42
 TILE = 2048
 SMALL = 64
+STRIP = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,22 +59,25 @@ def fingerprint(text: str | None) -> int:
         starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    counts = bits.sum(axis=0, dtype=np.int64)
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), STRIP):  # 64 bytes a shingle: strips bound them for long texts
+        bits = np.unpackbits(np.array(hashes[k : k + STRIP], dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(id, fp[, th]) of every row; ``th`` is a digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["id", "fp", "th"][: 2 + digest])
 
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), *([F.xxhash64(text).alias("th")] if digest else []))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, fp bigint" + ", th bigint" * digest).withColumnRenamed("id", id_col)
 
 
 def transpose_bits(words: np.ndarray) -> np.ndarray:
@@ -238,27 +242,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, th) of every document and (fp, root) of every fingerprint; ``th``
+    is the text's digest."""
+    fps = materialise(fingerprints(docs, id_col, text_col, digest=True), "fingerprints")
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, distinct.count()))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return fps, materialise(named.select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every document."""
-    fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
-    roots = components(links(distinct, distinct.count()))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = materialise(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
+    fps, roots = _classes(docs, id_col, text_col)
+    # one row a fingerprint before the join, so that a group of copies is one row of it
+    least = fps.groupBy("fp").agg(F.min(id_col).alias("rep")).join(roots, "fp")
+    ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = materialise(roots.join(ids, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id.
+    """``docs`` with one document of each component, that of the least id and,
+    where an id repeats with different texts, the least digest of these.
 
-    Rows that repeat an id are one document.  Rows without an id cannot name a
-    component and all stay.
+    Rows that repeat id and text are one document.  Rows without an id cannot name
+    a component and all stay.
     """
     named = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    found = near_duplicates(named, id_col, text_col)
-    keep = found.filter(F.col(f"`{id_col}`") == F.col("component_id")).select("component_id").distinct()
-    kept = named.join(keep, named[id_col] == keep["component_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    fps, roots = _classes(named, id_col, text_col)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("id"), "th")).alias("x")).join(roots, "fp")
+    keep = materialise(first.groupBy("root").agg(F.min("x").alias("x")).select("x.id", "x.th"), "kept")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = named.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
+    kept = own.join(keep, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    out = kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return out.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
