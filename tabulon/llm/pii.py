@@ -14,12 +14,16 @@ secret are passed through.
 
 Defined results: a null text stays null and has no findings; of candidates that do
 not validate whole the longest runs of their groups that do are replaced, the rest
-stays as it is; repeated rows give repeated results; an empty
-table gives an empty result; ``pseudonymise`` keeps all columns of its input.
+stays as it is; a value named as a password, token or key is replaced whether or
+not it validates; repeated rows give repeated results; texts of any length are
+read whole, in memory that follows the text; an empty table gives an empty result;
+``pseudonymise`` keeps all columns of its input, ``find_and_replace`` reads two.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +56,19 @@ _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
 _CARD = r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}"
-_SECRET = r"AKIA[0-9A-Z]{16}"
-_NAMED = r"(?<=\b(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{12,128}"
+#: Marks that vendors put before their keys; they stay.
+_VENDOR = r"AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk-"
+_SECRET = r"(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36,251}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}"
+_NAMES = r"\b(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
+_NAMED = rf"(?<={_NAMES})[A-Za-z0-9_/+-]{{12,128}}|(?<=\bBearer )[A-Za-z0-9._~+/-]{{16,512}}"
+_PEM = r"(?<=-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----)[A-Za-z0-9+/=\s]{32,8192}"
 _EDGE = r"(?<![A-Za-z0-9])(?:{})(?![A-Za-z0-9])"
 CANDIDATE = "|".join(
-    [_EMAIL, _EDGE.format(_IBAN), r"(?<![0-9.])" + _IP + r"(?![0-9]|\.[0-9])", _EDGE.format("|".join((_DATE, _SSN, _CARD)))]
-    + [r"(?<![A-Za-z0-9])(?:" + _PHONE + r")(?![A-Za-z0-9])", _EDGE.format(_SECRET), _NAMED]
+    [_PEM, _EMAIL, _NAMED, _EDGE.format(_IBAN), r"(?<![0-9.])" + _IP + r"(?![0-9]|\.[0-9])", _EDGE.format("|".join((_DATE, _SSN, _CARD)))]
+    + [r"(?<![A-Za-z0-9])(?:" + _PHONE + r")(?![A-Za-z0-9])", _EDGE.format(_SECRET)]
 )
+#: What a text without any candidate does not hold.
+GATE = r"[0-9]{2}|[0-9]\.[0-9]|@|\b(?:" + _VENDOR + r")|Bearer |PRIVATE KEY-----|(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]"
 
 
 def _full(pattern: str) -> str:
@@ -263,8 +273,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    aws = m.rlike("^AKIA[0-9A-Z]{16}$")
-    head = F.when(aws, "AKIA").otherwise("")
+    head = F.when(m.rlike(_full(_SECRET)), F.regexp_extract(m, f"^(?:{_VENDOR})", 0)).otherwise("")
     return let(F.substr(m, F.char_length(head) + 1, F.char_length(m)), lambda x: F.concat(head, _mixed(x, key, F.lit("secret"))))
 
 
@@ -307,33 +316,49 @@ def _parts(m: Column, key: str) -> Column:
     return let(let(groups, lambda t: F.aggregate(F.sequence(F.lit(1), F.size(t)), start, step(t))), lambda s: F.struct(s["kinds"].alias("kinds"), s["text"].alias("text")))
 
 
-def _replacement(m: Column, key: str) -> Column:
-    """struct(kinds, text) of a candidate; no kinds where nothing in it validates."""
+def _replacement(m: Column, named: Column, key: str) -> Column:
+    """struct(kinds, text) of a candidate; no kinds where nothing in it validates.
+
+    A value with the shape of a number that does not validate is a secret where a
+    name for one stands before it (``named``)."""
     shaped = m.rlike(_full("|".join((_EMAIL, _IP, _DATE, _SSN, _IBAN, _CARD, _PHONE))))
     secret = F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))
     whole = lambda x: F.struct(F.array(x["kind"]).alias("kinds"), x["new"].alias("text"))
     same = F.struct(F.array().cast("array<string>").alias("kinds"), m.alias("text"))
     return let(
         F.when(shaped, _form(m, key)).otherwise(secret),
-        lambda x: F.when(x["new"].isNotNull(), whole(x)).when(m.rlike("[ .-]"), _parts(m, key)).otherwise(same),
+        lambda x: F.when(x["new"].isNotNull(), whole(x)).when(named, whole(secret)).when(m.rlike("[ .-]"), _parts(m, key)).otherwise(same),
     )
 
 
 def replaced(text: Column, key: str) -> Column:
-    """struct(text, kinds): the pseudonymised text and the kinds found, in order."""
+    """struct(text, kinds): the pseudonymised text and the kinds found, in order.
 
-    def rebuild(found: Column) -> Column:
-        pieces = F.split(text, CANDIDATE, -1)
-        joined = let(
-            pieces,
-            lambda p: F.concat(p[0], F.array_join(F.transform(found, lambda x, i: F.concat(x["text"], F.get(p, i + 1))), "")),
-        )
-        return F.struct(joined.alias("text"), F.flatten(F.transform(found, lambda x: x["kinds"])).alias("kinds"))
+    Plans and event logs show what ``round_key`` derives from ``key``, not ``key``.
+    """
+    derived = round_key(key)
+
+    def rebuild(pieces: Column) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
+        found = F.transform(matches, lambda m, i: _replacement(m, F.get(pieces, i).rlike(_NAMES + "$"), derived))
+
+        def joined(found: Column) -> Column:
+            parts = F.transform(found, lambda x, i: F.concat(x["text"], F.get(pieces, i + 1)))
+            kinds = F.flatten(F.transform(found, lambda x: x["kinds"]))
+            return F.struct(F.concat(F.get(pieces, F.lit(0)), F.array_join(parts, "")).alias("text"), kinds.alias("kinds"))
+
+        return let(found, joined)
 
     none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    matches = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
-    some = let(F.transform(matches, lambda m: _replacement(m, key)), lambda f: F.when(F.size(f) > 0, rebuild(f)).otherwise(none))
-    return F.when(text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@|AKIA|(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]"), some).otherwise(none)
+    some = let(F.split(text, CANDIDATE, -1), lambda p: F.when(F.size(p) > 1, rebuild(p)).otherwise(none))
+    return F.when(text.rlike(GATE), some).otherwise(none)
+
+
+def round_key(key: str) -> str:
+    """The key of the networks: one-way, so that who reads a plan does not learn
+    ``key``.  It still undoes these pseudonyms, so plans are to be kept as private
+    as the mapping itself."""
+    return hashlib.sha256(b"feistel round key/" + key.encode()).hexdigest()
 
 
 def find_and_replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
