@@ -17,12 +17,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a fresh local
-    folder is set as the checkpoint folder.
+    Where a session on one machine names none, as in tests, a fresh local folder
+    is set as the checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
