@@ -1,16 +1,16 @@
 """Benchmark decontamination with a broadcast set of normalised n-grams.
 
-The windows (``n`` consecutive words) of the benchmark items are gathered into a
-hash set of proven size: above ``max_windows`` windows it is not broadcast and a
+The windows (``n`` consecutive words) of the benchmark items are a hash set of
+proven size, which every task gets with the plan; above ``max_windows`` windows a
 shuffled join finds the candidates instead.  A scan of a document
 
 1. looks up every ``step``-th short anchor of words; a document without any
    anchor cannot hold a window and is done;
-2. looks up the hash of every window;
-3. verifies each hit by comparing the words themselves.
+2. looks up every window; the set compares words, so that a hit is one, and the
+   join compares hashes and then verifies the words.
 
-All of this happens inside the document's row, so nothing is shuffled and hot
-passages or sources cannot gather in one task.
+With the set all of this happens inside the document's row: nothing is shuffled
+and hot passages or sources cannot gather in one task.
 
 Defined results: a null text has no words; a null or wordless item has no
 window; an item shorter than ``n`` words is one window; items with equal windows
@@ -26,12 +26,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, materialise
 
 #: What separates words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_AND_REST = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 MAX_WINDOWS = 50_000
+SALTS = 8
 
 
 def normal_words(text: Column) -> Column:
@@ -117,49 +118,61 @@ def _found_by_set(rows: DataFrame, text: Column, windows: list) -> Column:
     return let(normal_words(text), result)
 
 
+def _meeting(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` (_id, h, …) joined with the smaller ``right`` (h, …): each copy of
+    ``right`` meets a part of the documents, so that a passage in a third of them is
+    ``SALTS`` keys."""
+    dealt = left.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["h", "_s"], how).drop("_s")
+
+
 def _found_by_join(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """As ``_found_by_set`` for a benchmark too large to broadcast.
+    """As ``_found_by_set`` for a benchmark too large to stand in the plan.
 
-    ``rows`` has (_row, _text).  Candidates come from an equi-join on the
-    windows' hashes, are put together a document, and are verified against its
-    words when they come back to it.
+    ``rows`` has (_row, _text) and is written once with a number for each row.
+    Every ``step``-th anchor of a document is looked up by a join; only documents
+    with one send the hashes of their windows, which are verified by their words
+    when they come back to the document.
     """
-    key = [F.xxhash64("_row").alias("_k1"), F.xxhash64("_text", "_row").alias("_k2")]
-    lengths = [r[0] for r in windows.select("n_words").distinct().collect()]  # at most n numbers
-    w = rows.select(*key, normal_words(F.col("_text")).alias("w"))
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    lengths = sorted(r[0] for r in windows.select("n_words").distinct().collect())  # at most n numbers
+    k = (lengths[0] + 1) // 2
+    step = lengths[0] - k + 1
+    w = rows.select("_id", normal_words(F.col("_text")).alias("w"))
+    hashes = lambda words, n, step: F.transform(_starts(words, n, step), lambda i: F.xxhash64(_gram(words, i, n)))
+    anchors = windows.select(F.explode(hashes(F.split("gram", " "), k, 1)).alias("h")).distinct()
+    asked = w.select("_id", F.explode(F.array_distinct(hashes(F.col("w"), k, step))).alias("h"))
+    near = materialise(_meeting(asked, anchors, "left_semi").select("_id").distinct(), "candidates")
 
     def hashed(n: int) -> Column:
         return F.transform(
             _starts(F.col("w"), n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(_gram(F.col("w"), i, n)).alias("h"))
         )
 
-    each = F.concat(*(hashed(n) for n in lengths)) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
-    table = windows.select(F.xxhash64("gram").alias("h"), "gram", "item")
-    hits = (
-        w.select("_k1", "_k2", F.explode(each).alias("x"))
-        .select("_k1", "_k2", "x.at", "x.n", "x.h")
-        .join(table, "h")
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_set(F.struct("at", "n", "gram", "item")).alias("c"))
+    each = w.join(near, "_id", "left_semi").select("_id", F.explode(F.concat(*(hashed(n) for n in lengths))).alias("x"))
+    grams = windows.select(F.xxhash64("gram").alias("h"), "gram").distinct()
+    met = _meeting(each.select("_id", "x.at", "x.n", "x.h"), grams)
+    hits = met.groupBy("_id").agg(F.collect_set(F.struct("at", "n", "gram")).alias("c"))
+    same = lambda w: F.filter("c", lambda h: _gram(w, h["at"], h["n"]) == h["gram"])
+    verified = rows.select("_id", "_text").join(hits, "_id").select("_id", let(normal_words(F.col("_text")), same).alias("hits"))
+    verified = materialise(verified, "hits")
+    named = verified.select("_id", F.explode(F.array_distinct(F.transform("hits", lambda h: h["gram"]))).alias("gram"))
+    items = _meeting(named.withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "own"), windows.select(F.xxhash64("gram").alias("h"), "gram", "item"))
+    items = items.filter("own = gram").groupBy("_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    joined = rows.join(verified, "_id", "left").join(items, "_id", "left")
+    found = F.struct(
+        F.size(normal_words(F.col("_text"))).cast("bigint").alias("n_words"),
+        F.coalesce(_covered(F.col("hits")), F.array().cast("array<int>")).alias("covered"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    joined = rows.withColumns({"_k1": key[0], "_k2": key[1]}).join(hits, ["_k1", "_k2"], "left")
-
-    def result(w: Column) -> Column:
-        return let(
-            F.filter(F.coalesce(F.col("c"), F.array().cast(hits.schema["c"].dataType)), lambda h: _gram(w, h["at"], h["n"]) == h["gram"]),
-            lambda hits: F.struct(
-                F.size(w).cast("bigint").alias("n_words"),
-                _covered(hits).alias("covered"),
-                F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item"]))).alias("items"),
-            ),
-        )
-
-    return joined.select("_row", "_text", let(normal_words(F.col("_text")), result).alias("_f"))
+    return joined.select("_row", "_text", found.alias("_f"))
 
 
 def _with_found(docs: DataFrame, items: DataFrame, n: int, text_col: str, max_windows: int) -> DataFrame:
     """(_row, _text, _f) with the row of ``docs`` as a struct beside its findings."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    own = [c for c, kind in docs.dtypes if kind != "void"]  # columns without a type cannot be written
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     windows = benchmark_windows(items, n)
     few = windows.limit(max_windows + 1).collect()  # bounded by the limit
     if len(few) > max_windows:
@@ -202,9 +215,11 @@ def decontaminate(
     if mode not in ("document", "span"):
         raise ValueError(f"mode is document or span, not {mode}")
     found = _with_found(docs, items, n, text_col, max_windows)
+    void = {c for c, kind in docs.dtypes if kind == "void"}
     names = docs.columns
+    of = lambda c: F.lit(None) if c in void else F.col(f"_row.`{c}`")
     if mode == "document":
-        return found.filter(F.size("_f.covered") == 0).select(*(F.col(f"_row.`{c}`").alias(c) for c in names))
+        return found.filter(F.size("_f.covered") == 0).select(*(of(c).alias(c) for c in names))
     cut = let(
         F.regexp_extract_all("_text", F.lit(WORD_AND_REST), 0),
         lambda pieces: F.concat(
@@ -219,4 +234,4 @@ def decontaminate(
         ),
     )
     text = F.when(F.size("_f.covered") == 0, F.col("_text")).otherwise(cut)
-    return found.select(*((text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in names))
+    return found.select(*((text if c == text_col else of(c)).alias(c) for c in names))
