@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CHUNK_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 HELD_OUT, EM_FOLD, REST = 0, 1, 2
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Resolution of the histogram of held-out estimates: cells a factor of two.
@@ -304,8 +305,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunk_rows = materialise(chunks(docs, id_col, text_col), "chunks")
+    tokens = chunk_rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    # a bucket gets the keys of so many tokens, however large the corpus is
+    buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     reply_rows = materialise(replies(chunk_rows, buckets), "replies")
     totals = {r["fold"]: r["n"] for r in chunk_rows.groupBy("fold").agg(F.sum("n_tokens").alias("n")).collect()}
     n_rest, n_train = totals.get(REST, 0), totals.get(REST, 0) + totals.get(EM_FOLD, 0)
