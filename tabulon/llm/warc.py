@@ -12,9 +12,10 @@ metadata record; request and metadata name the response in WARC-Concurrent-To.
 capture.
 
 Defined results: a null html is an empty payload; a null id or address is
-kept as null; rows that repeat both id and payload are one capture; of captures
-with equal payloads that with the largest id is the response (null ids come
-last); line ends in an address are percent-encoded; an empty table gives an
+kept as null; every row is a capture with records of its own, also where rows
+repeat; of captures with equal payloads the first of those with the largest id,
+then address, is the response (nulls come last); a very long page is one record,
+held whole by the task that writes or reads it; line ends in an address are percent-encoded; an empty table gives an
 empty archive and no rows; other columns are not written.
 """
 
@@ -37,6 +38,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Groups of equal payloads up to which they are broadcast rather than shuffled.
 MAX_BROADCAST_GROUPS = 100_000
 RECORDS_OUT = 128
+SALTS = 8
 
 RECORD_FIELDS = (
     "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, "
@@ -52,7 +54,8 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _record_id(kind: str, *of: Column) -> Column:
-    h = F.md5(F.concat_ws("/", F.lit(kind), *(F.coalesce(c.cast("string"), F.lit("")) for c in of)))
+    known = (F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in of)  # null is not the empty text
+    h = F.md5(F.concat_ws("/", F.lit(kind), *known))
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in cuts)), F.lit(">"))
 
@@ -87,14 +90,22 @@ def write_archive(
     own = pages.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")
     ).withColumn("digest", base32_sha1("html"))
-    groups = own.groupBy("digest").agg(F.max("id").alias("first"), F.min("id").alias("least"), F.count_if(F.isnull("id")).alias("none"))
-    groups = groups.filter("first <> least OR none > 0 AND first IS NOT NULL").select("digest", "first")
-    repeats = materialise(groups, "repeats")
+    last = F.max(F.struct("id", "url"))
+    groups = own.groupBy("digest").agg(last.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    repeats = materialise(groups.select("digest", F.struct("first.id", "first.url").alias("first")), "repeats")
     if repeats.count() <= MAX_BROADCAST_GROUPS:
         repeats = F.broadcast(repeats)
-    rows = own.join(repeats, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rid = lambda kind, i="id": _record_id(kind, F.col(i), F.col("digest"))
+    joined = own.join(repeats, "digest", "left")
+    leads = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    # rows with one id, address and payload are counted and written as often
+    same = joined.filter("first IS NOT NULL").withColumn("html", F.when(leads, F.col("html")))
+    same = same.groupBy("id", "url", "digest", "first").agg(F.max("html").alias("html"), F.count("*").alias("n"))
+    same = same.select("id", "url", "digest", "first", "html", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    alone = joined.filter("first IS NULL").withColumn("k", F.lit(0).cast("bigint"))
+    rows = alone.unionByName(same)
+    revisit = F.col("first").isNotNull() & ~(leads & (F.col("k") == 0))
+    rid = lambda kind: _record_id(kind, F.col("id"), F.col("url"), F.col("digest"), F.col("k"))
+    refers_to = _record_id("response", F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(0))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     address = ("WARC-Target-URI", url)
     partner = ("WARC-Concurrent-To", F.col("rid"))
@@ -110,7 +121,7 @@ def write_archive(
             [
                 address,
                 ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-                ("WARC-Refers-To", F.when(F.col("revisit"), rid("response", "first"))),
+                ("WARC-Refers-To", F.when(F.col("revisit"), refers_to)),
                 ("WARC-Profile", F.when(F.col("revisit"), REVISIT_PROFILE)),
                 ("Content-Type", F.lit("application/http; msgtype=response")),
             ],
@@ -231,8 +242,14 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     originals = captures.filter("record_type = 'response'").select(
         F.col("capture_id").alias("refers_to"), F.col("payload_bytes").alias("_n"), F.col("metadata.fields").alias("original")
     )
-    out = captures.join(originals, "refers_to", "left")
-    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "_n")).drop("_n")
+    revisits = captures.filter("refers_to IS NOT NULL")
+    asked = originals.join(revisits.select("refers_to").distinct(), "refers_to", "left_semi")
+    # a page that a third of all captures repeat is as many keys as there are salts
+    dealt = revisits.withColumn("_s", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int"))
+    copies = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = dealt.join(copies, ["refers_to", "_s"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "_n"))
+    rest = captures.filter("refers_to IS NULL").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
+    return rest.unionByName(met.select(*rest.columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
