@@ -153,8 +153,10 @@ def test_weights_follow_the_held_out_counts():
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nx", "<p>one</p>"), (2, None, None), (3, "http://b", ""), (5, "http://c", "<p>one</p>"), (4, "u", "WARC/1.1\r\n\r\n\r\né"), (5, "http://c", "<p>one</p>")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int")
-    out = {r["metadata"]["fields"]["page-id"]: r for r in warc.round_trip(df).collect()}
-    assert set(out) == {"1", "2", "3", "4", "5"}
+    got = sorted(warc.round_trip(df).collect(), key=lambda r: r["record_type"], reverse=True)
+    assert sorted(r["metadata"]["fields"]["page-id"] for r in got) == ["1", "2", "3", "4", "5", "5"]  # a record a row
+    assert [r["record_type"] for r in got if r["metadata"]["fields"]["page-id"] == "5"] == ["revisit", "response"]
+    out = {r["metadata"]["fields"]["page-id"]: r for r in got}
     sha = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
     for i, _, html in rows:
         r = out[str(i)]
@@ -164,6 +166,10 @@ def test_warc_round_trip(spark):
     assert out["2"]["record_type"] == "revisit" and out["2"]["original"]["page-id"] == "3"
     assert out["4"]["record_type"] == out["5"]["record_type"] == "response"
     assert warc.round_trip(df.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, u, "") for u in ("a", "a", "b", None)], "page_id long, url string, html string")
+    kept = warc.round_trip(nameless).collect()
+    assert sorted(str(r["response"]["target_uri"]) for r in kept) == ["None", "a", "a", "b"]
+    assert [r["response"]["target_uri"] for r in kept if r["record_type"] == "response"] == ["b"]
 
 
 def test_toxicity_on_held_out_rows(spark):
