@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of later copies; those with no line left go."""
-    out = linededup.drop_repeated_lines(docs, drop_empty=True)
-    return out.select(*(F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    out = linededup.drop_repeated_lines(docs, drop_empty=True, counts=False)
+    return out.select(*(F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`").alias(c) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
