@@ -1,22 +1,21 @@
 """Text: extractive summaries, classes, sentiment, entities, embeddings.
 
-Sentences and words are rows; every score is a join or an aggregate, so that
-long documents and large corpora divide over tasks.  The greedy and the ranked
-summaries compare the sentences of one document only, so they are made row by row
-from Arrow batches, in memory that does not grow with the square of a document.
+Words are rows and every score is a join or an aggregate, so that long documents
+and large corpora divide over tasks.  Summaries compare the sentences of one
+document only, so they are made row by row from Arrow batches, in memory that does
+not grow with the square of a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, HashingTF, IDF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,66 +36,53 @@ STOP_WORDS = {
     "spanish": "y o el la los las un una es era son ser en sobre para con de del al a él ella nosotros vosotros ellos ellas no",
     "indonesian": "dan atau yang adalah ini itu di ke pada untuk dengan dari dalam tidak akan sudah telah ada saya kamu dia kami mereka",
 }
-LETTERS = r"[A-Za-zÀ-ɏЀ-ӿ]"
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÀ-ɏЀ-ӿ])"
+WORD = r"\p{L}+"
+#: A sentence ends at closing punctuation before white space and a capital, a digit
+#: or an opening mark; in a text without any capital, at punctuation before white space.
+BREAK = r"(?<=[.!?\u2026])\s+(?=[\p{Lu}\p{Lt}\p{Nd}\"'(\u00bf\u00a1])"
+PLAIN_BREAK = r"(?<=[.!?\u2026])\s+"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``; a lambda variable holds the value, which is computed once a row."""
+    return F.transform(F.array(value), body)[0]
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, sentence), k from 0; where no sentence starts with a capital,
-    punctuation alone divides."""
+    """(id, k, sentence), k from 0."""
     return df.select(F.col(id_col), F.posexplode(_split(text_col)).alias("k", "sentence"))
 
 
 def _split(text_col: str) -> Column:
-    t = F.regexp_replace(text_col, r"^\s+|\s+$", "")
-    # a lambda variable holds the first split, which is then computed once
-    strict = F.transform(F.array(F.split(t, SENTENCE_END)), lambda s: F.when(F.size(s) > 1, s).otherwise(F.split(t, r"(?<=[.!?])\s+")))[0]
-    return F.filter(F.transform(strict, F.trim), lambda s: s != "")
+    parts = F.when(F.col(text_col).rlike(r"\p{Lu}"), F.split(text_col, BREAK)).otherwise(F.split(text_col, PLAIN_BREAK))
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def words(rows: DataFrame, text_col: str, language: str | None = "english") -> DataFrame:
     """One row a word (column ``w``, place ``i``), without stop words."""
-    found = F.regexp_extract_all(F.lower(text_col), F.lit(f"{LETTERS}+"), 0)
+    found = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0)
     out = rows.select(*(c for c in rows.columns if c != text_col), F.posexplode(found).alias("i", "w"))
     return out.filter(~F.col("w").isin(STOP_WORDS[language].split())) if language else out
 
 
-def _top(scores: DataFrame, sents: DataFrame, id_col: str, n: int) -> DataFrame:
-    """(id, summary): the n best sentences in their order; ties by place."""
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "k")
-    all_ = sents.join(scores, [id_col, "k"], "left").fillna(0.0, ["score"]).withColumn("score", F.round("score", 9))
-    best = all_.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    return best.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-
-
-def luhn(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english", least: int = 2, gap: int = 4) -> DataFrame:
-    """Luhn (1958): significant words occur ``least`` times in the document; a
-    sentence scores its best cluster, significant words squared over its span."""
-    s = sentences(df, id_col, text_col)
-    w = words(s, "sentence", language)
-    sig = w.withColumn("c", F.count("*").over(Window.partitionBy(id_col, "w"))).filter(F.col("c") >= least)
-    o = Window.partitionBy(id_col, "k").orderBy("i")
-    cut = F.when(F.col("i") - F.lag("i").over(o) <= gap, 0).otherwise(1)
-    clusters = sig.withColumn("_new", cut).withColumn("_c", F.sum("_new").over(o))
-    span = F.max("i") - F.min("i") + 1
-    score = clusters.groupBy(id_col, "k", "_c").agg((F.count("*") * F.count("*") / span).alias("x")).groupBy(id_col, "k").agg(F.max("x").alias("score"))
-    return _top(score, s, id_col, n)
-
-
-def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str, pick: Callable) -> DataFrame:
-    """(id, summary) of every row that has a sentence: ``pick(k, w, size, n)``
-    gets the sentence number and the word code of each word, the number of
-    sentences and how many to take.  One row never needs another, so nothing is
-    shuffled."""
+def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str, pick: Callable, maxlen: int | None = None) -> DataFrame:
+    """(id, summary) of every row that has a sentence: ``pick(k, w, at, size, n)``
+    gets for each word that is no stop word the number of its sentence, its code and
+    its place in the sentence, then the number of sentences and how many to take.
+    ``maxlen`` asks for about so many characters, 40 a sentence.  One row never needs
+    another, so nothing is shuffled."""
+    n = n if maxlen is None else max(1, round(maxlen / 40))
     stop = STOP_WORDS[language].split()
-    found = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(f"{LETTERS}+"), 0), lambda w: ~w.isin(stop))
+    found = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(WORD), 0), lambda w: F.when(w.isin(stop), "").otherwise(w))
     rows = df.select(F.col(id_col), _split(text_col).alias("_s")).select(F.col(id_col), "_s", F.transform("_s", found).alias("_w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sents, toks = batch.column(1), batch.column(2)
             at = sents.offsets.to_numpy()
-            code = pc.dictionary_encode(toks.values.values).indices.to_numpy()
+            flat = toks.values.values
+            code = pc.dictionary_encode(flat).indices.to_numpy()
+            real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
             row, start = toks.offsets.to_numpy(), toks.values.offsets.to_numpy()
             keep, out = [], []
             for r in range(batch.num_rows):
@@ -104,8 +90,10 @@ def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str,
                 if not size:
                     continue
                 here = start[row[r] : row[r] + size + 1]
+                own = real[here[0] : here[-1]]
                 k = np.repeat(np.arange(size), np.diff(here))
-                best = range(size) if size <= n else sorted(pick(k, code[here[0] : here[-1]], size, n))
+                place = (np.arange(here[0], here[-1]) - here[k])[own]
+                best = range(size) if size <= n else sorted(pick(k[own], code[here[0] : here[-1]][own], place, size, n))
                 keep.append(r)
                 out.append(" ".join(sents.values[int(at[r] + i)].as_py() for i in best))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string())], names=[id_col, "summary"])
@@ -114,12 +102,34 @@ def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str,
     return rows.mapInArrow(run, kind)
 
 
-def sumbasic(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english") -> DataFrame:
+def luhn(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english", least: int = 2, gap: int = 4, maxlen: int | None = None) -> DataFrame:
+    """Luhn (1958): significant words occur ``least`` times in the document; a
+    sentence scores its best cluster, significant words squared over its span.
+    Ties go to the earlier sentence."""
+
+    def pick(k: np.ndarray, w: np.ndarray, at: np.ndarray, size: int, n: int) -> list[int]:
+        _, w, count = np.unique(w, return_inverse=True, return_counts=True)
+        sig = count[w] >= least
+        k, at = k[sig], at[sig]
+        score = np.zeros(size)
+        if len(k):
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (at[1:] - at[:-1] > gap)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(k)) - 1
+            many = last - first + 1
+            np.maximum.at(score, k[first], many * many / (at[last] - at[first] + 1))
+        return np.argsort(-np.round(score, 9), kind="stable")[:n].tolist()
+
+    return _summaries(df, id_col, text_col, n, language, pick, maxlen)
+
+
+def sumbasic(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english", maxlen: int | None = None) -> DataFrame:
     """SumBasic (2007): mean word probability; after each pick the probabilities
     of its words are squared.  Ties go to the earlier sentence; sentences without
     words come last."""
 
-    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+    def pick(k: np.ndarray, w: np.ndarray, at: np.ndarray, size: int, n: int) -> list[int]:
         _, w, count = np.unique(w, return_inverse=True, return_counts=True)
         p, long = count / max(len(w), 1), np.bincount(k, minlength=size)
         chosen: list[int] = []
@@ -132,16 +142,16 @@ def sumbasic(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: st
             p[used] = p[used] * p[used]
         return chosen
 
-    return _summaries(df, id_col, text_col, n, language, pick)
+    return _summaries(df, id_col, text_col, n, language, pick, maxlen)
 
 
-def kl_sum(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english") -> DataFrame:
+def kl_sum(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str = "english", maxlen: int | None = None) -> DataFrame:
     """KL-Sum (2009): greedily the sentence that brings the summary's words
     nearest to the document's, by the divergence of document from summary over the
     summary's words.  Ties go to the earlier sentence; sentences without words
     come last."""
 
-    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+    def pick(k: np.ndarray, w: np.ndarray, at: np.ndarray, size: int, n: int) -> list[int]:
         _, w, count = np.unique(w, return_inverse=True, return_counts=True)
         q, long, held = np.log(count / max(len(w), 1)), np.bincount(k, minlength=size), np.zeros(len(count))
         ks, ws, c = _cells(k, w, len(count))
@@ -159,7 +169,7 @@ def kl_sum(df: DataFrame, id_col: str, text_col: str, n: int = 3, language: str
             held[ws[mine]] += c[mine]
         return chosen
 
-    return _summaries(df, id_col, text_col, n, language, pick)
+    return _summaries(df, id_col, text_col, n, language, pick, maxlen)
 
 
 def _cells(k: np.ndarray, w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,11 +182,11 @@ def _cells(k: np.ndarray, w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.n
 HELD, STRIP = 1 << 22, 1 << 20
 
 
-def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str = "lexrank", language: str = "english", rounds: int = 20, threshold: float = 0.1, damping: float = 0.85) -> DataFrame:
+def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str = "lexrank", language: str = "english", rounds: int = 20, threshold: float = 0.1, damping: float = 0.85, maxlen: int | None = None) -> DataFrame:
     """LexRank (cosine of TF-IDF over ``threshold``) or TextRank (shared words over
     log lengths), 2004: power iteration on the sentence graph of each document."""
 
-    def pick(k: np.ndarray, w: np.ndarray, size: int, n: int) -> list[int]:
+    def pick(k: np.ndarray, w: np.ndarray, at: np.ndarray, size: int, n: int) -> list[int]:
         _, w = np.unique(w, return_inverse=True)
         n_words = int(w.max()) + 1 if len(w) else 0
         ks, ws, tf = _cells(k, w, n_words)
@@ -232,13 +242,13 @@ def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method:
             rank = (1 - damping) + damping * np.concatenate([get(j) @ flow for j in range(len(strips))])
         return np.argsort(-np.round(rank[node], 9), kind="stable")[:n].tolist()
 
-    return _summaries(df, id_col, text_col, n, language, pick)
+    return _summaries(df, id_col, text_col, n, language, pick, maxlen)
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(id, v_class, v_score): the label (label, description) with the greatest
     TF-IDF cosine; label tables are small and broadcast by their size."""
-    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"{LETTERS}+"), 0)
+    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
     docs = df.select(F.col(id_col), F.explode(toks(text_col)).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf"))
     n = df.select(id_col).distinct().count()
     idf = docs.groupBy("w").agg((F.ln((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf"))
@@ -264,13 +274,13 @@ def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, cut
 def entities(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame, most_words: int = 3) -> DataFrame:
     """(id, entities, n): "phrase/GROUP, …" in order, by (phrase, group) of up to
     ``most_words`` words, lower case."""
-    w = F.regexp_extract_all(F.lower(text_col), F.lit(f"{LETTERS}+"), 0)
+    found = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0)
 
-    def grams(size: int) -> Column:
+    def grams(w: Column, size: int) -> Column:
         starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(size).alias("n"), F.array_join(F.slice(w, i, size), " ").alias("phrase")))
 
-    all_ = reduce(lambda a, b: F.concat(a, b), (grams(k) for k in range(1, most_words + 1)))
+    all_ = _let(found, lambda w: F.concat(*(grams(w, k) for k in range(1, most_words + 1))))
     rows = df.select(F.col(id_col), F.explode(all_).alias("x")).select(id_col, "x.*")
     hit = rows.join(gazetteer, "phrase").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "n", "phrase", "group"))).alias("x"))
     text = F.array_join(F.transform("x", lambda e: F.concat(e["phrase"], F.lit("/"), e["group"])), ", ")
@@ -279,7 +289,7 @@ def entities(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame, mo
 
 def embed(df: DataFrame, id_col: str, text_col: str, stub: str = "emb", dims: int = 16, features: int = 1024) -> DataFrame:
     """stub_1 … stub_N: hashed TF-IDF, reduced by principal components."""
-    toks = df.select(F.col(id_col), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(f"{LETTERS}+"), 0).alias("_w"))
+    toks = df.select(F.col(id_col), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), 0).alias("_w"))
     tf = HashingTF(numFeatures=features, inputCol="_w", outputCol="_tf").transform(toks)
     x = IDF(inputCol="_tf", outputCol="_x").fit(tf).transform(tf)
     v = PCA(k=dims, inputCol="_x", outputCol="_p").fit(x).transform(x).select(id_col, vector_to_array("_p").alias("_v"))

@@ -41,7 +41,7 @@ def _(t):
     return N.classify(t.documents, "doc_id", "text", labels)
 
 
-_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ɏЀ-ӿ]+')) AS w FROM documents"
+_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents"
 
 
 @query("n4_sentiment", f"WITH w AS ({_WORDS}), s AS (SELECT doc_id, avg(CASE w WHEN 'the' THEN 1.0 WHEN 'that' THEN 0.5 WHEN 'of' THEN -1.0 END) AS score FROM w WHERE w IN ('the', 'that', 'of') GROUP BY 1) SELECT doc_id, CASE WHEN round(coalesce(score, 0), 9) > 0.05 THEN 'positive' WHEN round(coalesce(score, 0), 9) < -0.05 THEN 'negative' ELSE 'neutral' END AS label, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN s USING (doc_id)")
@@ -50,7 +50,7 @@ def _(t):
     return N.sentiment(t.documents, "doc_id", "text", lexicon).withColumn("score", rnd("score", 6))
 
 
-@query("n5_entities", f"WITH w AS (SELECT doc_id, i, ws[i] AS a, ws[i] || ' ' || ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-zÀ-ɏЀ-ӿ]+') AS ws FROM documents))), h AS (SELECT doc_id, i, 1 AS n, 'the/WORD' AS e FROM w WHERE a = 'the' UNION ALL SELECT doc_id, i, 2, 'of the/PAIR' FROM w WHERE b = 'of the'), g AS (SELECT doc_id, string_agg(e, ', ' ORDER BY i, n) AS entities, count(*) AS n FROM h GROUP BY 1) SELECT doc_id, coalesce(entities, '') AS entities, coalesce(n, 0) AS n FROM documents LEFT JOIN g USING (doc_id)")
+@query("n5_entities", f"WITH w AS (SELECT doc_id, i, ws[i] AS a, ws[i] || ' ' || ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents))), h AS (SELECT doc_id, i, 1 AS n, 'the/WORD' AS e FROM w WHERE a = 'the' UNION ALL SELECT doc_id, i, 2, 'of the/PAIR' FROM w WHERE b = 'of the'), g AS (SELECT doc_id, string_agg(e, ', ' ORDER BY i, n) AS entities, count(*) AS n FROM h GROUP BY 1) SELECT doc_id, coalesce(entities, '') AS entities, coalesce(n, 0) AS n FROM documents LEFT JOIN g USING (doc_id)")
 def _(t):
     names = t.spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(g).alias("group")) for p, g in (("the", "WORD"), ("of the", "PAIR"))))))
     return N.entities(t.documents, "doc_id", "text", names, 2)
