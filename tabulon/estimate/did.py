@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import _joined
 from ..storage import stable
+from .design import Term
 from .fit import COEF, Fit
 from .linear import ols
-from .panel import twoway
+from .panel import two_way_solve, twoway
 
 
 def first_treatment(df: DataFrame, d: str, unit: str, time: str) -> DataFrame:
@@ -60,115 +61,245 @@ def did2x2(df: DataFrame, y: str, treated: str, post: Column, covariates: list[s
 
 def _cohorts(df: DataFrame, first: str) -> list:
     own = df.select(F.coalesce(F.col(first), F.lit(0)).alias("g")).distinct().orderBy("g")
-    return [r["g"] for r in own.collect() if r["g"]]
+    return [r["g"] for r in _small(own) if r["g"]]
 
 
-def att_gt(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
-    """(g, t, att, se, n): long differences from the period before treatment,
-    against never-treated units (Callaway and Sant'Anna, without covariates)."""
-    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(first), F.lit(0)).alias("g")).dropna()
-    spark = df.sparkSession
-    bases = spark.createDataFrame([(g, g - 1) for g in _cohorts(own, "g")] or [(0, 0)], "cohort int, base int")
+#: Cells (cohort x period) of a panel up to which their table is broadcast and read.
+MAX_CELLS = 100_000
+EFFECT = "key int, att double, se double, stat double, p double, low double, high double, n bigint"
+
+
+def _small(df: DataFrame, most: int = MAX_CELLS) -> list:
+    """All rows of a table of cohorts, periods or cells; an error where they are not few."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cohorts, periods or cells")
+    return rows
+
+
+def _panel(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str]) -> DataFrame:
+    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(first), F.lit(0)).alias("g"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(covariates)))
+    return own.dropna()
+
+
+def _differences(own: DataFrame, k: int) -> DataFrame:
+    """(u, cohort, t, g, d, x0 …): long differences from the period before treatment,
+    of each cohort and of the never treated; ``x`` are the covariates before it."""
+    bases = own.sparkSession.createDataFrame([(g, g - 1) for g in _cohorts(own, "g")] or [(0, 0)], "cohort int, base int")
     # each unit's base outcome, for its own cohort or, if never treated, for all
     pre = own.join(F.broadcast(bases), own["t"] == F.col("base")).filter((F.col("g") == F.col("cohort")) | (F.col("g") == 0))
-    pre = pre.select("u", "cohort", F.col("y").alias("y0"))
-    d = own.join(pre, "u").withColumn("d", F.col("y") - F.col("y0"))
-    cell = d.groupBy("cohort", "t").agg(
-        *(f(F.when(F.col("g") != 0, F.col("d")) if k else F.when(F.col("g") == 0, F.col("d"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop)))
-    )
-    se = F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))
-    return cell.filter("n1 > 0 AND n0 > 0").select(F.col("cohort").alias("g"), "t", (F.col("m1") - F.col("m0")).alias("att"), se.alias("se"), F.col("n1").alias("n"))
+    pre = pre.select("u", "cohort", F.col("y").alias("y0"), *(f"x{j}" for j in range(k)))
+    return own.select("u", "t", "y", "g").join(pre, "u").withColumn("d", F.col("y") - F.col("y0"))
+
+
+def _cells(d: DataFrame, k: int) -> dict[tuple[int, int], dict]:
+    """For each (cohort, t): the effect, the numbers of both groups, the coefficients
+    of the never treated and what their influence is scaled by.
+
+    The outcome regression of the never treated on a constant and the covariates
+    predicts the treated; without covariates it is their mean.
+    """
+    x = [F.lit(1.0), *(F.col(f"x{j}") for j in range(k))]
+    treated = F.col("g") != 0
+    of = lambda e, on: F.sum(F.when(on, e))
+    aggs = [F.count_if(treated), F.count_if(~treated), of(F.col("d"), treated)]
+    aggs += [of(c, treated) for c in x] + [of(c * F.col("d"), ~treated) for c in x] + [of(a * b, ~treated) for a in x for b in x]
+    out = {}
+    m = len(x)
+    for r in _small(d.groupBy("cohort", "t").agg(*aggs)):
+        n1, n0 = r[2], r[3]
+        if not n1 or not n0:
+            continue
+        v = np.array(r[4:], float)
+        mean, xd, xx = v[1 : 1 + m] / n1, v[1 + m : 1 + 2 * m], v[1 + 2 * m :].reshape(m, m)
+        inverse = np.linalg.pinv(xx, hermitian=True)
+        beta = inverse @ xd
+        out[r[0], r[1]] = {"n1": n1, "n0": n0, "att": v[0] / n1 - mean @ beta, "beta": beta, "scale": inverse @ mean}
+    return out
+
+
+def _influence(d: DataFrame, cells: dict, keys: dict[tuple[int, int], list[tuple[int, float]]], k: int) -> dict[int, float]:
+    """Standard errors of the weighted sums of cells named by ``keys``; influence is
+    added up a unit, so that correlation over cells and periods counts."""
+    rows = [
+        (g, t, key, float(w), float(c["att"]), int(c["n1"]), [float(b) for b in c["beta"]], [float(s) for s in c["scale"]])
+        for (g, t), c in cells.items()
+        for key, w in keys.get((g, t), [])
+    ]
+    if not rows:
+        return {}
+    table = d.sparkSession.createDataFrame(rows, "cohort int, t int, key int, w double, att double, n1 bigint, beta array<double>, scale array<double>")
+    x = [F.lit(1.0), *(F.col(f"x{j}") for j in range(k))]
+    dot = lambda name: sum((F.get(name, F.lit(j)) * c for j, c in enumerate(x)), F.lit(0.0))
+    rest = F.col("d") - dot("beta")
+    inf = F.when(F.col("g") != 0, (rest - F.col("att")) / F.col("n1")).otherwise(-dot("scale") * rest)
+    own = d.withColumn("t", F.col("t").cast("int")).join(F.broadcast(table), ["cohort", "t"])  # MAX_CELLS bounds it
+    per = own.groupBy("u", "key").agg(F.sum(F.col("w") * inf).alias("f"))
+    return {r["key"]: math.sqrt(r["v"]) for r in per.groupBy("key").agg(F.sum(F.col("f") * F.col("f")).alias("v")).collect()}
+
+
+def _effect_row(key: int, att: float, se: float | None, n: int, level: float = 95) -> tuple:
+    row = Fit("did", "", [], np.array([att]), np.zeros((1, 1)), n)._row("", att, (se or 0.0) ** 2, level)
+    return (int(key), *row[1:], int(n))
+
+
+def att_gt(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str] = ()) -> DataFrame:
+    """(g, t, att, se, n): differences from the period before treatment, against
+    never-treated units (Callaway and Sant'Anna), with covariates by regression."""
+    k = len(covariates)
+    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k))
+    cells = _cells(d, k)
+    order = sorted(cells)
+    ses = _influence(d, cells, {c: [(i, 1.0)] for i, c in enumerate(order)}, k)
+    rows = [(int(g), int(t), float(cells[g, t]["att"]), ses.get(i), int(cells[g, t]["n1"])) for i, (g, t) in enumerate(order)]
+    return df.sparkSession.createDataFrame(rows, "g int, t int, att double, se double, n bigint")
+
+
+def callaway_santanna(df: DataFrame, y: str, unit: str, time: str, first: str, aggregate: str = "simple", covariates: list[str] = (), level: float = 95) -> DataFrame:
+    """(key, att, se, stat, p, low, high, n): simple, group or event_study aggregates
+    of ATT(g, t), by the numbers of treated units."""
+    k = len(covariates)
+    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k))
+    cells = _cells(d, k)
+    name = {"simple": lambda g, t: 0, "group": lambda g, t: g, "event_study": lambda g, t: t - g}[aggregate]
+    used = {c: name(*c) for c in cells if aggregate == "event_study" or c[1] >= c[0]}
+    total: dict[int, int] = {}
+    for c, key in used.items():
+        total[key] = total.get(key, 0) + cells[c]["n1"]
+    keys = {c: [(key, cells[c]["n1"] / total[key])] for c, key in used.items()}
+    ses = _influence(d, cells, keys, k)
+    att = {key: sum(cells[c]["att"] * keys[c][0][1] for c in used if used[c] == key) for key in total}
+    return df.sparkSession.createDataFrame([_effect_row(key, att[key], ses.get(key), total[key], level) for key in sorted(total)], EFFECT)
+
 
+def simple_att_se(df: DataFrame, y: str, unit: str, time: str, first: str) -> float:
+    """The standard error of the simple aggregate."""
+    return callaway_santanna(df, y, unit, time, first).first()["se"]
 
-def callaway_santanna(df: DataFrame, y: str, unit: str, time: str, first: str, aggregate: str = "simple") -> DataFrame:
-    """(key, att, n): simple, group or event_study aggregates of ATT(g, t)."""
-    cells = att_gt(df, y, unit, time, first)
-    treated = cells.filter("t >= g") if aggregate != "event_study" else cells
-    key = {"simple": F.lit(0), "group": F.col("g"), "event_study": F.col("t") - F.col("g")}[aggregate]
-    out = treated.groupBy(key.alias("key")).agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("att"), F.sum("n").alias("n"))
-    return out if aggregate != "event_study" else out.orderBy("key")
 
+def _relative(df: DataFrame, time: str, first: str) -> Column:
+    """Periods since treatment, null for the never treated."""
+    g = F.coalesce(F.col(first), F.lit(0))
+    return F.when(g != 0, F.col(time) - g)
 
-def simple_att_se(df: DataFrame, y: str, unit: str, time: str, first: str) -> float:
-    """The standard error of the simple aggregate: influence functions are summed
-    a unit, so that correlation over cells and times counts."""
-    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(first), F.lit(0)).alias("g")).dropna()
-    cells = att_gt(df, y, unit, time, first).filter("t >= g")
-    means = []
-    bases = [(g, g - 1) for g in _cohorts(own, "g")]
-    b = own.sparkSession.createDataFrame(bases or [(0, 0)], "cohort int, base int")
-    pre = own.join(F.broadcast(b), own["t"] == F.col("base")).filter((F.col("g") == F.col("cohort")) | (F.col("g") == 0)).select("u", "cohort", F.col("y").alias("y0"))
-    d = own.join(pre, "u").filter("t >= cohort").withColumn("d", F.col("y") - F.col("y0"))
-    means = d.groupBy("cohort", "t", F.col("g") == 0).agg(F.avg("d").alias("m"), F.count("*").alias("k")).toDF("cohort", "t", "never", "m", "k")
-    size = cells.groupBy(F.col("g").alias("cohort"), "t").agg(F.max("n").alias("n"))
-    total = size.agg(F.sum("n")).first()[0]
-    own = d.withColumn("never", F.col("g") == 0).join(F.broadcast(means), ["cohort", "t", "never"]).join(F.broadcast(size), ["cohort", "t"])
-    sign = F.when(F.col("never"), -1.0).otherwise(1.0)
-    inf = sign * (F.col("d") - F.col("m")) / F.col("k") * F.col("n") / float(total)
-    return math.sqrt(own.groupBy("u").agg(F.sum(inf).alias("f")).agg(F.sum(F.col("f") * F.col("f"))).first()[0])
-
-
-def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
-    """(e, att): cohort x relative-time effects of one two-way regression, mixed
-    with cohort shares; relative time -1 is the base."""
+
+def _weighted_effects(spark, fit: Fit, shares: dict[str, tuple[int, int]], level: float = 95) -> DataFrame:
+    """(key, att, …): coefficients mixed within a key by their numbers of rows."""
+    groups: dict[int, list[tuple[str, int]]] = {}
+    for c, (e, n) in shares.items():
+        groups.setdefault(e, []).append((c, n))
+    rows = []
+    for e, parts in sorted(groups.items()):
+        n = sum(m for _, m in parts)
+        w = np.zeros(len(fit.b))
+        for c, m in parts:
+            w[fit.names.index(c)] = m / n
+        rows.append(_effect_row(e, float(w @ fit.b), float(np.sqrt(max(w @ fit.v @ w, 0.0))), n, level))
+    return spark.createDataFrame(rows, EFFECT)
+
+
+def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str] = (), vcov="cluster", level: float = 95) -> DataFrame:
+    """(e, att, se, stat, p, low, high, n): cohort x relative-time effects of one
+    two-way regression, mixed with cohort shares; relative time -1 is the base.
+    Errors are clustered by unit unless ``vcov`` is "classical"."""
     own = df.withColumn("_g", F.coalesce(F.col(first), F.lit(0)))
-    cells = own.filter("_g <> 0").select("_g", (F.col(time) - F.col("_g")).alias("e")).groupBy("_g", "e").count().orderBy("_g", "e").collect()
+    cells = _small(own.filter("_g <> 0").select("_g", (F.col(time) - F.col("_g")).alias("e")).groupBy("_g", "e").count().orderBy("_g", "e"))
     names = {}
     for r in cells:
         if r["e"] != -1:
             names[f"_c{len(names)}"] = (r["_g"], r["e"], r["count"])
     own = own.withColumns({c: ((F.col("_g") == g) & (F.col(time) - F.col("_g") == e)).cast("double") for c, (g, e, _) in names.items()})
-    fit = twoway(own, y, list(names), unit, time)
-    out: dict[int, list[float]] = {}
-    for c, (_, e, n) in names.items():
-        s = out.setdefault(e, [0.0, 0.0])
-        s[0] += fit[c] * n
-        s[1] += n
-    return df.sparkSession.createDataFrame([(int(e), a / n) for e, (a, n) in sorted(out.items())], "e int, att double")
-
-
-def _untreated_effects(own: DataFrame, rounds: int = 400, tol: float = 1e-11) -> DataFrame:
-    """(u, t, y, d, y0): two-way effects fitted on untreated rows by alternating
-    means, as small tables of units and times."""
+    fit = twoway(own, y, [*names, *covariates], unit, time, vcov)
+    return _weighted_effects(df.sparkSession, fit, {c: (int(e), int(n)) for c, (_, e, n) in names.items()}, level).withColumnRenamed("key", "e")
+
+
+def _untreated_effects(own: DataFrame) -> DataFrame:
+    """(u, t, y, d, …, y0): two-way effects fitted on untreated rows."""
     free = own.filter("d = 0")
-    times = stable(free.groupBy("t").agg(F.lit(0.0).alias("b")))
-    for k in range(rounds):
-        units = free.join(F.broadcast(times), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
-        new = free.join(units, "u").groupBy("t").agg(F.avg(F.col("y") - F.col("a")).alias("b"))
-        new = stable(new)
-        move = new.join(times.withColumnRenamed("b", "c"), "t").agg(F.max(F.col("b") - F.col("c")) - F.min(F.col("b") - F.col("c"))).first()[0]
-        times = new
-        if (move or 0.0) < tol:
-            break
-    units = free.join(F.broadcast(times), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
-    return own.join(units, "u").join(F.broadcast(times), "t").withColumn("y0", F.col("a") + F.col("b"))
-
-
-def imputation(df: DataFrame, y: str, d: str, unit: str, time: str) -> DataFrame:
-    """(att, n): Borusyak, Jaravel and Spiess: outcomes less imputed untreated ones."""
-    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.col(d).cast("int").alias("d")).dropna()
-    return _untreated_effects(stable(own)).filter("d = 1").agg(F.avg(F.col("y") - F.col("y0")).alias("att"), F.count("*").alias("n"))
-
-
-def gardner(df: DataFrame, y: str, d: str, unit: str, time: str) -> Fit:
-    """Two stages: effects from untreated rows, then residuals on treatment,
-    clustered by unit."""
-    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.col(d).cast("int").alias("d")).dropna()
-    rest = _untreated_effects(stable(own)).withColumn("_r", F.col("y") - F.col("y0"))
-    fit = ols(rest, "_r", ["d"], vcov=("cluster", "u"), constant=False)
+    sums = lambda c: free.groupBy(c).agg(F.sum("y").alias("s0"))
+    units, times = two_way_solve(free, sums("u"), sums("t"), 1)
+    return own.join(units, "u").join(F.broadcast(times), "t").withColumn("y0", F.col("a0") + F.col("b0")).drop("a0", "b0")
+
+
+def _treated_panel(df: DataFrame, y: str, d: str, unit: str, time: str, covariates: list[str]) -> DataFrame:
+    """(u, t, y, d, g): rows with ``y`` less the covariates' part, which comes from the
+    two-way regression of the untreated rows."""
+    own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.col(d).cast("int").alias("d"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(covariates))).dropna()
+    first = own.groupBy("u").agg(F.coalesce(F.min(F.when(F.col("d") == 1, F.col("t"))), F.lit(0)).alias("g"))
+    own = stable(own.join(first, "u"))
+    if covariates:
+        fit = twoway(own.filter("d = 0"), "y", [f"x{j}" for j in range(len(covariates))], "u", "t")
+        own = own.withColumn("y", F.col("y") - sum((F.col(f"x{j}") * float(b) for j, b in enumerate(fit.b)), F.lit(0.0)))
+    return stable(own.select("u", "t", "y", "d", "g"))
+
+
+def imputation(df: DataFrame, y: str, d: str, unit: str, time: str, aggregate: str = "simple", covariates: list[str] = (), level: float = 95) -> DataFrame:
+    """(key, att, se, stat, p, low, high, n): Borusyak, Jaravel and Spiess: outcomes
+    less imputed untreated ones; simple, group or event_study.
+
+    The estimate is a weighted sum of outcomes; the weights of untreated rows solve
+    the same two-way equations.  Errors add up weights times residuals a unit, those
+    of treated rows about their cohort's mean at the time.  With covariates their
+    coefficients count as known.
+    """
+    own = _treated_panel(df, y, d, unit, time, list(covariates))
+    full = stable(_untreated_effects(own))
+    key = {"simple": F.lit(0), "group": F.col("g"), "event_study": F.col("t") - F.col("g")}[aggregate].cast("int")
+    rest = full.withColumns({"r": F.col("y") - F.col("y0"), "key": key})
+    keys = _small(rest.filter("d = 1").groupBy("key").agg(F.avg("r").alias("att"), F.count("*").alias("n")).orderBy("key"))
+    about = rest.filter("d = 1").groupBy("g", "t").agg(F.avg("r").alias("m"))
+    centred = rest.join(about, ["g", "t"], "left").withColumn("e", F.when(F.col("d") == 1, F.col("r") - F.col("m")).otherwise(F.col("r")))
+    centred = stable(centred.select("u", "t", "d", "key", "e"))
+    # the weights of all keys are solved for together
+    w = [F.when((F.col("d") == 1) & (F.col("key") == k["key"]), F.lit(1.0 / k["n"])).otherwise(0.0) for k in keys]
+    need = lambda c: centred.groupBy(c).agg(*(F.sum(x).alias(f"s{j}") for j, x in enumerate(w)))
+    a, b = two_way_solve(full.filter("d = 0"), need("u"), need("t"), len(keys))
+    v = [F.when(F.col("d") == 0, -(F.col(f"a{j}") + F.col(f"b{j}"))).otherwise(x) for j, x in enumerate(w)]
+    per = centred.join(a, "u").join(F.broadcast(b), "t").groupBy("u").agg(*(F.sum(x * F.col("e")).alias(f"f{j}") for j, x in enumerate(v)))
+    var = per.agg(*(F.sum(F.col(f"f{j}") * F.col(f"f{j}")) for j in range(len(keys)))).first()
+    rows = [_effect_row(k["key"], k["att"], math.sqrt(x or 0.0), k["n"], level) for k, x in zip(keys, var, strict=True)]
+    return df.sparkSession.createDataFrame(rows, EFFECT)
+
+
+def _by_relative_time(rows: DataFrame, e: Column) -> tuple[DataFrame, list[Term]]:
+    """``rows`` with a dummy for each period since treatment, and their terms."""
+    rows = stable(rows.withColumn("_e", e))
+    found = [r["_e"] for r in _small(rows.select("_e").dropna().distinct().orderBy("_e"))]
+    names = {f"_e{k}": v for k, v in enumerate(found)}
+    rows = rows.withColumns({c: F.coalesce((F.col("_e") == v).cast("double"), F.lit(0.0)) for c, v in names.items()})
+    return rows, [Term(f"e{v:+d}", c) for c, v in names.items()]
+
+
+def gardner(df: DataFrame, y: str, d: str, unit: str, time: str, aggregate: str = "simple", covariates: list[str] = ()) -> Fit:
+    """Two stages: effects from untreated rows, then residuals on treatment, or on the
+    periods since treatment with "event_study"; errors clustered by unit."""
+    rest = _untreated_effects(_treated_panel(df, y, d, unit, time, list(covariates))).withColumn("_r", F.col("y") - F.col("y0"))
+    if aggregate == "event_study":
+        rest, terms = _by_relative_time(rest, F.when(F.col("d") == 1, F.col("t") - F.col("g")).cast("int"))
+        fit = ols(rest, "_r", [t.col for t in terms], vcov=("cluster", "u"), constant=False, terms=terms)
+    else:
+        fit = ols(rest, "_r", ["d"], vcov=("cluster", "u"), constant=False)
     fit.kind = "gardner"
     return fit
 
 
-def stacked(df: DataFrame, y: str, unit: str, time: str, first: str, window: tuple[int, int] = (-3, 3)) -> Fit:
+def stacked(df: DataFrame, y: str, unit: str, time: str, first: str, window: tuple[int, int] = (-3, 3), aggregate: str = "simple", vcov="classical") -> Fit:
     """One sub-experiment a cohort with controls untreated in the whole window,
-    stacked, with stack x unit and stack x time effects."""
+    stacked, with stack x unit and stack x time effects; with "event_study" one
+    effect a relative period, -1 being the base.  ``vcov`` "cluster" goes by unit."""
     own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(first), F.lit(0)).alias("g")).dropna()
-    cohorts = own.sparkSession.createDataFrame([(int(g),) for g in _cohorts(own, "g")] or [(0,)], "stack int")
+    cohorts = own.sparkSession.createDataFrame([(int(g),) for g in _cohorts(own, "g")] or [(0,)], "stack int")  # few, by _cohorts
     e = F.col("t") - F.col("stack")
     rows = own.join(F.broadcast(cohorts), (F.col("g") == F.col("stack")) | (F.col("g") == 0) | (F.col("g") > F.col("stack") + window[1]))
-    rows = rows.filter(e.between(*window)).withColumns({"d": ((F.col("g") == F.col("stack")) & (e >= 0)).cast("double"), "su": F.struct("stack", "u").cast("string"), "st": F.struct("stack", "t").cast("string")})
-    fit = twoway(stable(rows), "y", ["d"], "su", "st")
+    treated = F.col("g") == F.col("stack")
+    rows = rows.filter(e.between(*window)).withColumns({"d": (treated & (e >= 0)).cast("double"), "su": F.struct("stack", "u").cast("string"), "st": F.struct("stack", "t").cast("string")})
+    vcov = ("cluster", "u") if vcov == "cluster" else vcov
+    if aggregate == "event_study":
+        rows, terms = _by_relative_time(rows, F.when(treated & (e != -1), e).cast("int"))
+        fit = twoway(rows, "y", [t.col for t in terms], "su", "st", vcov)
+        fit.terms = terms
+    else:
+        fit = twoway(stable(rows), "y", ["d"], "su", "st", vcov)
     fit.kind = "stacked"
     return fit
 
@@ -190,7 +321,7 @@ def bacon(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
     sum to one and the weighted estimates to the two-way estimate."""
     own = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(first), F.lit(0)).alias("g"))
     m, size = {}, {}
-    for r in own.groupBy("g", "t").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect():  # cohorts x periods
+    for r in _small(own.groupBy("g", "t").agg(F.avg("y").alias("m"), F.count("*").alias("n"))):  # cohorts x periods
         m[r["g"], r["t"]], size[r["g"]] = r["m"], r["n"]
     times = sorted({t for _, t in m})
     total = sum(size.values())
@@ -232,16 +363,17 @@ def did(df: DataFrame, y: str, d: str, unit: str, time: str, method: str, first:
     if method == "did":
         own = first_treatment(df, d, unit, time) if "ever_treated" not in df.columns else df
         return did2x2(own, y, "ever_treated", post_indicator(own, time, options.get("post_periods"), options.get("reference_period")), options.get("covariates", ()))
+    aggregate, covariates = options.get("aggregate", "simple"), options.get("covariates", ())
     if method == "cs":
-        return callaway_santanna(df, y, unit, time, first, options.get("aggregate", "simple"))
+        return callaway_santanna(df, y, unit, time, first, aggregate, covariates)
     if method == "sa":
-        return sun_abraham(df, y, unit, time, first)
+        return sun_abraham(df, y, unit, time, first, covariates)
     if method == "bjs":
-        return imputation(df, y, d, unit, time)
+        return imputation(df, y, d, unit, time, aggregate, covariates)
     if method == "gardner":
-        return gardner(df, y, d, unit, time).coefficients(spark)
+        return gardner(df, y, d, unit, time, aggregate, covariates).coefficients(spark)
     if method == "stacked":
-        return stacked(df, y, unit, time, first).coefficients(spark)
+        return stacked(df, y, unit, time, first, aggregate=aggregate).coefficients(spark)
     if method == "eventstudy":
         own = first_treatment(df, d, unit, time) if "ever_treated" not in df.columns else df
         return event_study(own, y, "ever_treated", time, options["reference_period"])

@@ -42,7 +42,9 @@ def ols(
         vcov = "hc1"
     extras = [vcov[1]] if isinstance(vcov, tuple) else []
     d = design(df, y, xs, factors, constant, weight, wtype, extras, terms=terms)
-    return ols_of(d, y, vcov, wtype, df_used)
+    fit = ols_of(d, y, vcov, wtype, df_used)
+    d.rows.unpersist()
+    return fit
 
 
 def ols_of(d: Design, y: str, vcov="classical", wtype: str = "aweight", df_used: int = 0) -> Fit:
@@ -77,7 +79,7 @@ def ols_of(d: Design, y: str, vcov="classical", wtype: str = "aweight", df_used:
     b, v = d.back @ gamma, d.back @ v @ d.back.T
     q = rank - has_const
     r2 = 1 - rss / tss if tss > 0 else float("nan")
-    stats = {"r2": r2, "adj_r2": 1 - (1 - r2) * (n_eff - has_const) / df_resid, "rmse": float(np.sqrt(max(s2, 0))), "rss": rss, "df_resid": df_resid}
+    stats = {"r2": r2, "adj_r2": 1 - (1 - r2) * (n_eff - has_const) / df_resid, "rmse": float(np.sqrt(max(s2, 0))), "rss": rss, "df_resid": df_resid, "rank": rank}
     if q and rss > 0:
         stats["f"] = (tss - rss) / q / s2
         stats["f_p"] = D.f_upper(stats["f"], q, df_resid)
@@ -117,6 +119,7 @@ def iv2sls(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments
         else:
             meat = products(proj.withColumn("_m", F.col("_res") * F.col("_res")), [f"h{i}" for i in range(len(x))], "_m")
         v = bread @ meat @ bread
+    zd.rows.unpersist()
     back = zd.back[np.ix_(x, x)]
     terms = [zd.terms[j] for j in x]
     return Fit("iv2sls", y, terms, back @ gamma, back @ v @ back.T, zd.n, None, {"rss": rss})

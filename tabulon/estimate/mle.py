@@ -116,6 +116,7 @@ def _finish(d: Design, kind: str, y: str, gamma, ll, info, vcov, scores: list[Co
         stats |= {"ll_null": null_ll, "chi2": 2 * (ll - null_ll), "pseudo_r2": 1 - ll / null_ll if null_ll else float("nan")}
         if q:
             stats["chi2_p"] = D.chi2_upper(max(stats["chi2"], 0), q)
+    d.rows.unpersist()
     return Fit(kind, y, d.terms, d.back @ gamma[:k], d.back @ v[:k, :k] @ d.back.T, d.n, None, stats, d, gamma)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,26 +65,60 @@ def is_balanced(df: DataFrame, unit: str, time: str) -> bool:
     return r[0] == r[1] == r[2] * r[3]
 
 
-def two_way_demean(df: DataFrame, cols: list[str], unit: str, time: str, tol: float = 1e-10, rounds: int = 500) -> DataFrame:
+#: Periods up to which the equations of their effects are solved on the driver.
+MAX_PERIODS = 500
+
+
+def two_way_solve(pairs: DataFrame, units: DataFrame, times: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(u, a0 … a<k-1>) and (t, b0 …): effects whose sums over the rows of ``pairs``
+    (u, t) are, for each unit and each period, the given s0 … s<k-1>.
+
+    Unit effects are eliminated, which leaves as many equations as there are periods;
+    their matrix is one aggregate over the periods of each unit.
+    """
+    spark = pairs.sparkSession
+    cells = pairs.groupBy("u", "t").agg(F.count("*").alias("c"))
+    per = cells.groupBy("u").agg(F.collect_list(F.struct("t", "c")).alias("x"), F.sum("c").alias("n"))  # a period at most once
+    per = stable(per.join(units, "u"))
+    ts = [r["t"] for r in pairs.select("t").distinct().orderBy("t").limit(MAX_PERIODS + 1).collect()]
+    if len(ts) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods")
+    at, m = {t: i for i, t in enumerate(ts)}, np.zeros((len(ts), len(ts)))
+    each = per.select("n", "x", F.explode("x").alias("p")).select("n", "p", F.explode("x").alias("q"))
+    for r in each.groupBy("p.t", "q.t").agg(F.sum(F.col("p.c") * F.col("q.c") / F.col("n"))).toDF("p", "q", "w").collect():
+        m[at[r["p"]], at[r["q"]]] -= r["w"]
+    for r in cells.groupBy("t").agg(F.sum("c").alias("n")).collect():
+        m[at[r["t"]], at[r["t"]]] += r["n"]
+    names = [f"s{j}" for j in range(k)]
+    given, taken = np.zeros((len(ts), k)), np.zeros((len(ts), k))
+    for r in times.select("t", *names).collect():
+        if r["t"] in at:
+            given[at[r["t"]]] = r[1:]
+    shares = per.select(F.explode("x").alias("p"), *((F.col(s) / F.col("n")).alias(s) for s in names))
+    for r in shares.groupBy("p.t").agg(*(F.sum(F.col("p.c") * F.col(s)) for s in names)).collect():
+        taken[at[r[0]]] = r[1:]
+    b = np.linalg.pinv(m, hermitian=True) @ (given - taken)
+    kind = pairs.select("t").schema["t"].dataType.simpleString()
+    found = spark.createDataFrame([(t, *map(float, b[i])) for t, i in at.items()], f"t {kind}" + "".join(f", b{j} double" for j in range(k)))
+    total = per.select("u", F.explode("x").alias("p")).select("u", "p.t", "p.c").join(F.broadcast(found), "t")  # a row a period
+    total = total.groupBy("u").agg(*(F.sum(F.col("c") * F.col(f"b{j}")).alias(f"b{j}") for j in range(k)))
+    own = per.join(total, "u").select("u", *(((F.col(f"s{j}") - F.col(f"b{j}")) / F.col("n")).alias(f"a{j}") for j in range(k)))
+    return own, found
+
+
+def two_way_demean(df: DataFrame, cols: list[str], unit: str, time: str) -> DataFrame:
     """Columns without unit and time effects.
 
-    On a balanced panel once by units and once by times is exact.  Else the two
-    alternate until nothing moves; every few rounds the state is written to the
-    shared folder, which cuts the lineage.
+    On a balanced panel once by units and once by times is exact; else the effects
+    are solved for.
     """
     if is_balanced(df, unit, time):
         return demean(demean(df, cols, unit), cols, time)
-    state = stable(df)
-    for k in range(rounds):
-        once = demean(demean(state, cols, unit), cols, time)
-        if k % 4 == 3:
-            state = stable(once)
-            left = state.groupBy(unit).agg(*(F.avg(c).alias(c) for c in cols)).agg(*(F.max(F.abs(c)) for c in cols)).first()
-            if max(x or 0.0 for x in left) < tol:
-                return state
-        else:
-            state = once
-    return stable(state)
+    df = stable(df)
+    sums = lambda c, n: df.groupBy(F.col(c).alias(n)).agg(*(F.sum(x).alias(f"s{j}") for j, x in enumerate(cols)))
+    units, times = two_way_solve(df.select(F.col(unit).alias("u"), F.col(time).alias("t")), sums(unit, "u"), sums(time, "t"), len(cols))
+    out = _joined(df, units.withColumnRenamed("u", unit), [unit]).join(F.broadcast(times.withColumnRenamed("t", time)), time)
+    return out.select(*(((F.col(c) - F.col(f"a{cols.index(c)}") - F.col(f"b{cols.index(c)}")).alias(c) if c in cols else F.col(c)) for c in df.columns))
 
 
 def n_effects(df: DataFrame, unit: str, time: str) -> int:
@@ -92,11 +127,11 @@ def n_effects(df: DataFrame, unit: str, time: str) -> int:
 
 
 def twoway(df: DataFrame, y: str, xs: list[str], unit: str, time: str, vcov="classical") -> Fit:
-    """Two-way fixed effects."""
-    own = df.dropna(subset=[unit, time, y, *xs]).select(unit, time, *(F.col(c).cast("double").alias(c) for c in (y, *xs)))
+    """Two-way fixed effects; ``vcov`` "cluster" goes by unit, ("cluster", column) by another."""
+    group = unit if vcov == "cluster" else vcov[1] if isinstance(vcov, tuple) else None
+    more = [] if group is None or group in (unit, time) else [group]
+    own = df.dropna(subset=[unit, time, y, *xs]).select(unit, time, *more, *(F.col(c).cast("double").alias(c) for c in (y, *xs)))
     flat = two_way_demean(own, [y, *xs], unit, time)
-    fit = ols(flat, y, xs, vcov=("cluster", unit) if vcov == "cluster" else vcov, constant=False, df_used=n_effects(own, unit, time))
+    fit = ols(flat, y, xs, vcov=vcov if group is None else ("cluster", group), constant=False, df_used=n_effects(own, unit, time))
     fit.kind = "twfe"
     return fit
-
-

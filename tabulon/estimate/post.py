@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import distributions as D
 from ..operators.rows import number_rows
-from .design import design, products
+from .design import Term, design, products, sums
 from .fit import Fit
 from .linear import ols
 
@@ -32,26 +32,44 @@ def vif(df: DataFrame, xs: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(x, float(inverse[j, j])) for j, x in enumerate(xs)], "variable string, vif double")
 
 
+def _terms(fit: Fit, *more: str) -> list[Term]:
+    """All terms of the fit, factor levels with them, further columns and a constant."""
+    own = [t for t in fit.terms if t.col]
+    return [*own, *(Term(c, c) for c in more), Term("_cons")]
+
+
+def _columns(terms: list[Term]) -> list[str]:
+    return list(dict.fromkeys(t.col for t in terms if t.col))
+
+
+def _auxiliary(own: DataFrame, y: str, terms: list[Term]) -> Fit:
+    return ols(own, y, _columns(terms), terms=terms)
+
+
 def hettest(df: DataFrame, fit: Fit) -> DataFrame:
     """Breusch-Pagan: n R2 of squared residuals on the regressors."""
     own = with_residuals(df, fit).withColumn("_e2", F.col("_res") * F.col("_res"))
-    aux = ols(own, "_e2", [t.col for t in fit.terms if t.col and t.level is None])
-    q = len(aux.terms) - 1
+    aux = _auxiliary(own, "_e2", _terms(fit))
+    q = aux.stats["rank"] - 1
     chi2 = aux.n * aux.stats["r2"]
     return _row(df, chi2=chi2, df=q, p=D.chi2_upper(chi2, q))
 
 
 def white(df: DataFrame, fit: Fit) -> DataFrame:
-    """White's test: squares and cross products as well."""
-    xs = [t.col for t in fit.terms if t.col and t.level is None]
+    """White's test: squares and cross products as well; products that repeat a
+    column, as squares of dummies do, count once."""
     own = with_residuals(df, fit).withColumn("_e2", F.col("_res") * F.col("_res"))
-    names = list(xs)
-    for i, a in enumerate(xs):
-        for b in xs[: i + 1]:
-            names.append(f"_{a}_x_{b}")
-            own = own.withColumn(names[-1], F.col(a) * F.col(b))
-    aux = ols(own, "_e2", names)
-    q = np.linalg.matrix_rank(products(aux.design.rows, aux.design.z)) - 1
+    terms = [t for t in fit.terms if t.col]
+    own = own.withColumns({f"_t{j}": t.value() for j, t in enumerate(terms)})
+    names = [f"_t{j}" for j in range(len(terms))]
+    cross = {}
+    for i, s in enumerate(terms):
+        for j, t in enumerate(terms[: i + 1]):
+            if s.level is not None and s.col == t.col:  # a dummy's square, or two levels of a factor
+                continue
+            cross[f"_t{i}_{j}"] = F.col(f"_t{i}") * F.col(f"_t{j}")
+    aux = ols(own.withColumns(cross) if cross else own, "_e2", [*names, *cross])
+    q = aux.stats["rank"] - 1
     chi2 = aux.n * aux.stats["r2"]
     return _row(df, chi2=chi2, df=q, p=D.chi2_upper(chi2, int(q)))
 
@@ -74,8 +92,7 @@ def durbin_watson(df: DataFrame, fit: Fit, order_by) -> DataFrame:
 def breusch_godfrey(df: DataFrame, fit: Fit, order_by, lags: int = 1) -> DataFrame:
     own = lagged(with_residuals(df, fit), "_res", order_by, lags)
     own = own.fillna(0.0, [f"_lag{k}" for k in range(1, lags + 1)])
-    xs = [t.col for t in fit.terms if t.col and t.level is None]
-    aux = ols(own, "_res", [*xs, *(f"_lag{k}" for k in range(1, lags + 1))])
+    aux = _auxiliary(own, "_res", _terms(fit, *(f"_lag{k}" for k in range(1, lags + 1))))
     chi2 = aux.n * aux.stats["r2"]
     return _row(df, chi2=chi2, df=lags, p=D.chi2_upper(chi2, lags))
 
@@ -84,11 +101,14 @@ def reset(df: DataFrame, fit: Fit) -> DataFrame:
     """Ramsey's test with the second and third power of the fit."""
     own = with_residuals(df, fit)
     stats = own.agg(F.avg("_yhat"), F.stddev_samp("_yhat")).first()
-    h = (F.col("_yhat") - float(stats[0])) / float(stats[1] or 1)  # the same span, better conditioned
+    centre = float(stats[0]) if any(t.col is None for t in fit.terms) else 0.0
+    h = (F.col("_yhat") - centre) / float(stats[1] or 1)  # the same span, better conditioned
     own = own.withColumns({"_p2": h * h, "_p3": h * h * h})
-    xs = [t.col for t in fit.terms if t.col and t.level is None]
-    big = ols(own, fit.y, [*xs, "_p2", "_p3"])
-    small = fit if fit.kind == "ols" else ols(df, fit.y, xs)
+    terms = [t for t in fit.terms if t.col]
+    cons = [Term("_cons")] if len(terms) < len(fit.terms) else []
+    powers = [Term("_p2", "_p2"), Term("_p3", "_p3")]
+    big = ols(own, fit.y, _columns([*terms, *powers]), terms=[*terms, *powers, *cons])
+    small = ols(own, fit.y, _columns(terms), terms=[*terms, *cons])
     d2 = big.stats["df_resid"]
     f = (small.stats["rss"] - big.stats["rss"]) / 2 / (big.stats["rss"] / d2)
     return _row(df, f=f, df1=2, df2=d2, p=D.f_upper(f, 2, d2))
@@ -114,16 +134,17 @@ def xtserial(df: DataFrame, y: str, xs: list[str], panel: str, time: str) -> Dat
 
 
 def _mean_function(kind: str) -> tuple:
-    """(prediction, its derivative) as functions of the linear index."""
+    """(prediction, its first and second derivative) as functions of the linear index."""
     if kind == "logit":
         p = lambda xb: 1 / (1 + F.exp(-xb))
-        return p, lambda xb: p(xb) * (1 - p(xb))
+        return p, lambda xb: p(xb) * (1 - p(xb)), lambda xb: p(xb) * (1 - p(xb)) * (1 - 2 * p(xb))
     if kind in ("poisson", "nbreg"):
-        return F.exp, F.exp
+        return F.exp, F.exp, F.exp
     if kind == "probit":
         # the density needs no error function; the prediction uses a rational form
-        return _normal_cdf, lambda xb: F.exp(-xb * xb / 2) / float(np.sqrt(2 * np.pi))
-    return (lambda xb: xb), (lambda xb: F.lit(1.0))
+        density = lambda xb: F.exp(-xb * xb / 2) / float(np.sqrt(2 * np.pi))
+        return _normal_cdf, density, lambda xb: -xb * density(xb)
+    return (lambda xb: xb), (lambda xb: F.lit(1.0)), (lambda xb: F.lit(0.0))
 
 
 def _normal_cdf(x: Column) -> Column:
@@ -134,20 +155,49 @@ def _normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
-def margins(df: DataFrame, fit: Fit, dydx: list[str] | None = None, at: dict[str, float] | None = None, atmeans: bool = False) -> DataFrame:
-    """Predictions, or with ``dydx`` average marginal effects, as (name, margin, kind)."""
-    used = [t.col for t in fit.terms if t.col]
-    rows = df.dropna(subset=used)
+def margins(df: DataFrame, fit: Fit, dydx: list[str] | None = None, at: dict[str, float] | None = None, atmeans: bool = False, level: float = 95) -> DataFrame:
+    """(name, margin, se, stat, p, low, high, kind): predictions, or with ``dydx``
+    average marginal effects, with errors by the delta method.
+
+    ``at`` sets columns; ``atmeans`` takes the means of the design columns, so of a
+    factor its shares.  ``dydx`` names columns or terms; a factor's name stands for
+    all its levels, whose effect is the change from its base level.
+    """
+    rows = df.dropna(subset=_columns(fit.terms))
     for c, v in (at or {}).items():
-        rows = rows.withColumn(c, F.lit(float(v)))
+        rows = rows.withColumn(c, F.lit(v))
+    z = [f"z{j}" for j in range(len(fit.terms))]
+    flat = rows.select(*(t.value().alias(n) for t, n in zip(fit.terms, z, strict=True)))
     if atmeans:
-        rows = rows.agg(*(F.avg(c).alias(c) for c in dict.fromkeys(used)))
-    value, slope = _mean_function(fit.kind)
-    kind = "linear" if fit.kind in ("ols", "iv2sls", "tobit") else "average"
+        flat = flat.agg(*(F.avg(n).alias(n) for n in z))
+    value, slope, curve = _mean_function(fit.kind)
+    index = lambda change={}: sum((change.get(n, F.col(n)) * float(b) for n, b in zip(z, fit.b, strict=False)), F.lit(0.0))  # noqa: B006, E731
+    # each effect is (name, its mean, the gradient of its mean by the coefficients)
+    wanted: list[tuple[str, Column, list[Column]]] = []
     if dydx is None:
-        return rows.agg(F.avg(value(fit.xb())).alias("margin")).select(F.lit("_cons").alias("name"), "margin", F.lit(kind).alias("kind"))
-    mean = rows.agg(F.avg(slope(fit.xb()))).first()[0]
-    out = [(n, float(fit[n] * mean), kind) for n in dydx]
-    return df.sparkSession.createDataFrame(out, "name string, margin double, kind string")
-
-
+        wanted.append(("_cons", value(index()), [slope(index()) * F.col(n) for n in z]))
+    for name in dydx or []:
+        for j, t in enumerate(fit.terms):
+            if t.col is None or name not in (t.name, t.col):
+                continue
+            if t.level is None:
+                b = float(fit.b[j])
+                grad = [curve(index()) * F.col(n) * b + (slope(index()) if k == j else F.lit(0.0)) for k, n in enumerate(z)]
+                wanted.append((t.name, slope(index()) * b, grad))
+            else:
+                off = {n: F.lit(0.0) for n, u in zip(z, fit.terms, strict=True) if u.col == t.col and u.level is not None}
+                on = off | {z[j]: F.lit(1.0)}
+                grad = [slope(index(on)) * on.get(n, F.col(n)) - slope(index(off)) * off.get(n, F.col(n)) for n in z]
+                wanted.append((t.name, value(index(on)) - value(index(off)), grad))
+    if dydx and len({n for n in dydx}) and not wanted:
+        raise ValueError(f"no term is named {dydx}")
+    got = sums(flat.withColumn("_one", F.lit(1.0)), [F.col("_one"), *(e for _, m, g in wanted for e in (m, *g))])
+    n, width = got[0], 1 + len(z)
+    kind = "linear" if fit.kind in ("ols", "iv2sls", "tobit") else "at means" if atmeans else "average"
+    out = []
+    for k, (name, _, _) in enumerate(wanted):
+        part = got[1 + k * width : 1 + (k + 1) * width] / n
+        grad = part[1:]
+        v = fit.v[: len(z), : len(z)]
+        out.append((*fit._row(name, part[0], float(grad @ v @ grad), level), kind))
+    return df.sparkSession.createDataFrame(out, "name string, margin double, se double, stat double, p double, low double, high double, kind string")

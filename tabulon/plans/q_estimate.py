@@ -93,13 +93,57 @@ def _(t):
     return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 2).alias("slope"))
 
 
-@query("j12_design", "SELECT 'Furniture' AS dropped, 0 AS n WHERE false UNION ALL SELECT min(c_mktsegment), count(DISTINCT c_mktsegment) - 1 FROM customer")
+_E = f"SELECT *, l_extendedprice - a - b * l_quantity AS e, l_quantity - avg(l_quantity) OVER () AS dx FROM lineitem, ({_SIMPLE})"
+
+
+def _slope_se(t, fit):
+    return t.spark.createDataFrame([(fit["l_quantity"], fit.se("l_quantity"))], "slope double, se double").select(rnd("slope", 5).alias("slope"), rnd("se", 6).alias("se"))
+
+
+@query("j1_ols_se", f"SELECT round(any_value(b), 5) AS slope, round(sqrt(sum(e * e) / (count(*) - 2) / sum(dx * dx)), 6) AS se FROM ({_E})")
 def _(t):
+    return _slope_se(t, linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"]))
+
+
+@query("j2_hc1_se", f"SELECT round(any_value(b), 5) AS slope, round(sqrt(sum(dx * dx * e * e) * count(*) / (count(*) - 2)) / sum(dx * dx), 6) AS se FROM ({_E})")
+def _(t):
+    return _slope_se(t, linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"], vcov="hc1"))
+
+
+@query("j3_cluster_se", f"SELECT round(any_value(b), 5) AS slope, round(sqrt(sum(u * u) * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - 2)) / sum(xx), 6) AS se FROM (SELECT l_suppkey, any_value(b) AS b, sum(dx * e) AS u, sum(dx * dx) AS xx, count(*) AS n FROM ({_E}) GROUP BY l_suppkey)")
+def _(t):
+    return _slope_se(t, linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"], vcov=("cluster", "l_suppkey")))
+
+
+def _score(t, df, fit, y, mean):
+    """Whether the score equations hold at the estimate, by term."""
+    from functools import reduce
+
+    r = c(y) - mean(fit.xb())
+    each = [df.agg((F.abs(F.sum(r * x.value())) / F.sum(F.abs(r * x.value())) < 1e-6).alias("settled")).select(F.lit(x.name).alias("term"), "settled") for x in fit.terms]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+@query("j5_logit_score", " UNION ALL ".join(f"SELECT '{x}' AS term, count(*) > 0 AS settled FROM lineitem" for x in [*XS, "_cons"]))
+def _(t):
+    df = _signed(t)
+    return _score(t, df, mle.logit(df, "returned", XS), "returned", lambda xb: 1 / (1 + F.exp(-xb)))
+
+
+@query("j7_poisson_score", " UNION ALL ".join(f"SELECT '{x}' AS term, count(*) > 0 AS settled FROM orders" for x in ["lprice", "disc", "_cons"]))
+def _(t):
+    df = _counts(t)
+    return _score(t, df, mle.poisson(df, "n_lines", ["lprice", "disc"]), "n_lines", F.exp)
+
+
+@query("j12_design", "SELECT c_mktsegment || '.c_mktsegment' AS term, CAST(count(*) AS DOUBLE) AS total FROM customer WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer) GROUP BY 1 UNION ALL SELECT 'c_acctbal', round(sum(c_acctbal), 2) FROM customer UNION ALL SELECT '_cons', count(*) FROM customer")
+def _(t):
+    """Column sums of the design matrix."""
     from ..estimate.design import terms_of
 
-    terms = terms_of(t.customer, [], ["c_mktsegment"])
-    base = t.customer.agg(F.min("c_mktsegment").alias("dropped"))
-    return base.withColumn("n", F.lit(len(terms) - 1).cast("bigint"))
+    terms = terms_of(t.customer, ["c_acctbal"], ["c_mktsegment"])
+    wide = t.customer.agg(*(rnd(F.sum(x.value()), 2).alias(f"s{j}") for j, x in enumerate(terms)))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(x.name).alias("term"), c(f"s{j}").alias("total")) for j, x in enumerate(terms)))))
 
 
 @query("k1_predict", f"SELECT l_orderkey, round(a + b * l_quantity, 2) AS yhat, round(l_extendedprice - a - b * l_quantity, 2) AS e FROM lineitem, ({_SIMPLE})")
@@ -141,6 +185,16 @@ def _(t):
     return post.white(t.lineitem, _fit(t))
 
 
+# R2 of two regressors from three correlations
+_R2 = "(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12)"
+
+
+@query("k7_white_one", f"SELECT round(n * {_R2}, 4) AS chi2, 2.0 AS df FROM (SELECT count(*) AS n, corr(e * e, dx) AS r1, corr(e * e, dx * dx) AS r2, corr(dx, dx * dx) AS r12 FROM ({_E}))")
+def _(t):
+    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"])
+    return post.white(t.lineitem, fit).select(rnd("chi2").alias("chi2"), "df")
+
+
 _ORD = "SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders"
 
 
@@ -150,6 +204,12 @@ def _(t):
     return post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 2)
 
 
+@query("k8_bgodfrey_one", f"SELECT round(n * {_R2}, 5) AS chi2, 1.0 AS df FROM (SELECT count(*) AS n, corr(e, x) AS r1, corr(e, l) AS r2, corr(x, l) AS r12 FROM (SELECT e, x, coalesce(lag(e) OVER (ORDER BY o_orderkey), 0) AS l FROM (SELECT o_orderkey, o_custkey AS x, o_totalprice - a - b * o_custkey AS e FROM orders, ({_ORD}))))")
+def _(t):
+    fit = linear.ols(t.orders, "o_totalprice", ["o_custkey"])
+    return post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 1).select(rnd("chi2", 5).alias("chi2"), "df")
+
+
 @query("k9_ovtest")
 def _(t):
     return post.reset(t.lineitem, _fit(t))

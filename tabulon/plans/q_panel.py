@@ -71,10 +71,21 @@ _GT = f"""WITH s AS (SELECT * FROM {_ST}), p AS (SELECT g.first_treat AS g, a.un
 c AS (SELECT g, t, avg(d) FILTER (own > 0) - avg(d) FILTER (own = 0) AS att, count(*) FILTER (own > 0) AS n FROM p GROUP BY g, t)"""
 
 
-@query("l7_callaway_santanna", _GT + " SELECT CAST(t - g AS INTEGER) AS key, round(sum(att * n) / sum(n), 7) AS att, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+_INF = _GT + """, m AS (SELECT g, t, avg(d) FILTER (own > 0) AS m1, avg(d) FILTER (own = 0) AS m0, count(*) FILTER (own > 0) AS n1, count(*) FILTER (own = 0) AS n0 FROM p GROUP BY g, t),
+w AS (SELECT *, n1 * 1.0 / sum(n1) OVER (PARTITION BY t - g) AS w FROM m),
+f AS (SELECT p.t - p.g AS key, unit, sum(w * CASE WHEN own > 0 THEN (d - m1) / n1 ELSE -(d - m0) / n0 END) AS f FROM p JOIN w ON p.g = w.g AND p.t = w.t GROUP BY 1, 2),
+s AS (SELECT key, sqrt(sum(f * f)) AS se FROM f GROUP BY key)"""
+
+
+@query("l7_callaway_santanna", _INF.replace(", s AS (SELECT key", ", z AS (SELECT key").replace(",\ns AS (SELECT key", ",\nz AS (SELECT key") + " SELECT CAST(t - g AS INTEGER) AS key, round(sum(att * n) / sum(n), 7) AS att, round(any_value(se), 7) AS se, CAST(sum(n) AS BIGINT) AS n FROM c JOIN z ON z.key = t - g GROUP BY 1")
 def _(t):
     out = did.callaway_santanna(staggered(t), "y", "unit", "year", "first_treat", "event_study")
-    return out.select(c("key").cast("int").alias("key"), rnd("att", 7).alias("att"), "n")
+    return out.select(c("key").cast("int").alias("key"), rnd("att", 7).alias("att"), rnd("se", 7).alias("se"), "n")
+
+
+@query("l7_att_gt", _GT + " SELECT CAST(g AS INTEGER) AS g, CAST(t AS INTEGER) AS t, round(att, 7) AS att, n FROM c")
+def _(t):
+    return did.att_gt(staggered(t), "y", "unit", "year", "first_treat").select("g", "t", rnd("att", 7).alias("att"), "n")
 
 
 @query("l8_sun_abraham")

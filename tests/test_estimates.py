@@ -169,3 +169,131 @@ def test_random_effects_and_description(staggered):
     re = panel.xtreg_re(staggered, "y", ["d", "t"], "u")
     assert abs(re["d"] - 0.5) < 0.1 and re.stats["sigma2_u"] > 0
     assert panel.xtset(staggered, "u", "t").first()["balanced"]
+
+
+def dense(rows, xs, y, factor=None, constant=True):
+    """(X, y) with dummies of the factor's later levels."""
+    x = [np.array([r[c] for r in rows], float) for c in xs]
+    if factor:
+        x += [np.array([float(r[factor] == v) for r in rows]) for v in sorted({r[factor] for r in rows})[1:]]
+    if constant:
+        x.append(np.ones(len(rows)))
+    return np.column_stack(x), np.array([r[y] for r in rows], float)
+
+
+def residual(x, y):
+    return y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+
+
+def r2(x, y):
+    return 1 - (residual(x, y) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    r = np.random.default_rng(11)
+    n = 400
+    rows = [(int(i), float(a), float(b), "pqrs"[i % 4]) for i, (a, b) in enumerate(zip(r.normal(size=n), r.normal(size=n), strict=True))]
+    rows = [(*x, x[1] - 0.5 * x[2] + {"p": 0, "q": 1, "r": -1, "s": 2}[x[3]] + float(r.normal()) * (1 + 0.3 * abs(x[1]))) for x in rows]
+    df = spark.createDataFrame(rows, "i long, a double, b double, f string, y double")
+    return df, df.collect()
+
+
+def test_diagnostics_with_a_factor_match_dense_algebra(sample):
+    df, rows = sample
+    fit = linear.ols(df, "y", ["a", "b"], factors=["f"])
+    x, y = dense(rows, ["a", "b"], "y", "f")
+    e = residual(x, y)
+    n = len(y)
+    close = lambda got, want: np.isclose(got, want, rtol=1e-6)
+    bp = post.hettest(df, fit).first()
+    assert bp["df"] == 5 and close(bp["chi2"], n * r2(x, e * e))
+    own = x[:, :-1]
+    pairs = np.column_stack([own, *(own[:, i] * own[:, j] for i in range(5) for j in range(i + 1)), np.ones(n)])
+    wh = post.white(df, fit).first()
+    assert wh["df"] == np.linalg.matrix_rank(pairs) - 1 and close(wh["chi2"], n * r2(pairs, e * e))
+    lags = np.column_stack([np.append(np.zeros(k), e[:-k]) for k in (1, 2)])
+    bg = post.breusch_godfrey(df, fit, ["i"], 2).first()
+    assert close(bg["chi2"], n * r2(np.column_stack([x, lags]), e))
+    yhat = y - e
+    big = np.column_stack([x, yhat**2, yhat**3])
+    rss = [(residual(m, y) ** 2).sum() for m in (x, big)]
+    re = post.reset(df, fit).first()
+    assert re["df2"] == n - 8 and close(re["f"], (rss[0] - rss[1]) / 2 / (rss[1] / (n - 8)))
+    bare = linear.ols(df, "y", ["a", "b"], constant=False)
+    x0 = x[:, :2]
+    yhat = x0 @ np.linalg.lstsq(x0, y, rcond=None)[0]
+    rss = [(residual(m, y) ** 2).sum() for m in (x0, np.column_stack([x0, yhat**2, yhat**3]))]
+    assert close(post.reset(df, bare).first()["f"], (rss[0] - rss[1]) / 2 / (rss[1] / (n - 4)))
+
+
+def test_margins_with_a_factor(sample):
+    df, rows = sample
+    own = df.withColumn("z", (F.col("y") > 0).cast("int"))
+    fit = mle.logit(own, "z", ["a", "b"], factors=["f"])
+    x, _ = dense(rows, ["a", "b"], "y", "f")
+    p = lambda m: 1 / (1 + np.exp(-(m @ fit.b)))
+
+    def effect(b, name):
+        q = lambda m: 1 / (1 + np.exp(-(m @ b)))
+        if name == "a":
+            return (q(x) * (1 - q(x))).mean() * b[0]
+        on, off = x.copy(), x.copy()
+        on[:, 2:5] = off[:, 2:5] = 0
+        on[:, 2] = 1
+        return (q(on) - q(off)).mean()
+
+    got = {r["name"]: r for r in post.margins(own, fit, dydx=["a", "f"]).collect()}
+    assert set(got) == {"a", "q.f", "r.f", "s.f"}
+    for name in ("a", "q.f"):
+        grad = np.array([(effect(fit.b + d, name) - effect(fit.b - d, name)) / 2e-5 for d in np.eye(6) * 1e-5])
+        assert np.isclose(got[name]["margin"], effect(fit.b, name)) and np.isclose(got[name]["se"], np.sqrt(grad @ fit.v @ grad), rtol=1e-5)
+    at = post.margins(own, fit, atmeans=True).first()
+    assert np.isclose(at["margin"], p(x.mean(axis=0))) and at["kind"] == "at means" and at["low"] < at["margin"] < at["high"]
+
+
+def test_effects_over_time_match_dense_algebra(spark):
+    r = np.random.default_rng(5)
+    first = {u: [0, 4, 5][u % 3] for u in range(30)}
+    rows = [(u, t, first[u], int(0 < first[u] <= t), float(r.normal() + 0.3 * u + 0.2 * t + 0.5 * (0 < first[u] <= t)), float(r.normal())) for u in range(30) for t in range(1, 7)]
+    rows = [x for x in rows if x[:2] != (3, 2)]  # not balanced
+    df = spark.createDataFrame(rows, "u int, t int, g int, d int, y double, x double")
+    u, t, g, d, y = (np.array([x[k] for x in rows], float) for k in range(5))
+    z = np.column_stack([*((u == i).astype(float) for i in range(30)), *((t == i).astype(float) for i in range(2, 7))])
+    free = d == 0
+    inverse = np.linalg.pinv(z[free].T @ z[free])
+    y0 = z @ (inverse @ z[free].T @ y[free])
+    w = np.where(d == 1, 1 / d.sum(), 0.0)
+    v = w.copy()
+    v[free] = -(z[free] @ (inverse @ (z.T @ w)))
+    e = y - y0
+    for c in {(a, b) for a, b in zip(g[d == 1], t[d == 1], strict=True)}:
+        same = (d == 1) & (g == c[0]) & (t == c[1])
+        e[same] -= (y - y0)[same].mean()
+    want = np.sqrt(sum((v * e)[u == i].sum() ** 2 for i in range(30)))
+    got = did.imputation(df, "y", "d", "u", "t").first()
+    assert np.isclose(got["att"], (y - y0)[d == 1].mean()) and np.isclose(got["se"], want, rtol=1e-6) and got["low"] < got["att"] < got["high"]
+    events = {k["key"]: k for k in did.imputation(df, "y", "d", "u", "t", aggregate="event_study").collect()}
+    assert sorted(events) == [0, 1, 2] and np.isclose(events[0]["att"], (y - y0)[(d == 1) & (t == g)].mean())
+    ga = did.gardner(df, "y", "d", "u", "t", aggregate="event_study")
+    assert ga.names == ["e+0", "e+1", "e+2"] and np.isclose(ga["e+0"], events[0]["att"])
+    # two-way regression on cohort x period dummies, clustered by unit
+    cells = sorted({(a, int(b - a)) for a, b in zip(g, t, strict=True) if a and b - a != -1})
+    x = np.column_stack([*(((g == a) & (t - g == b)).astype(float) for a, b in cells), z])
+    xx = np.linalg.pinv(x.T @ x)
+    b = xx @ x.T @ y
+    sa = {k["e"]: k for k in did.sun_abraham(df, "y", "u", "t", "g").collect()}
+    n0 = {c: int(((g == c[0]) & (t - g == c[1])).sum()) for c in cells}
+    mix = np.array([n0[c] if c[1] == 0 else 0 for c in cells], float)
+    assert np.isclose(sa[0]["att"], (mix / mix.sum()) @ b[: len(cells)], rtol=1e-6) and sa[0]["se"] > 0
+    # Callaway and Sant'Anna with a covariate: one cell by hand
+    by = {(a, c): (yy, xx_) for a, c, yy, xx_ in zip(u, t, y, [k[5] for k in rows], strict=True)}
+    diff = lambda i: by[i, 4][0] - by[i, 3][0]
+    never, treated = [i for i in range(30) if first[i] == 0], [i for i in range(30) if first[i] == 4]
+    m = np.array([[1, by[i, 3][1]] for i in never])
+    beta = np.linalg.lstsq(m, np.array([diff(i) for i in never]), rcond=None)[0]
+    att = np.mean([diff(i) - beta @ [1, by[i, 3][1]] for i in treated])
+    cell = did.att_gt(df, "y", "u", "t", "g", covariates=["x"]).filter("g = 4 AND t = 4").first()
+    assert np.isclose(cell["att"], att) and cell["se"] > 0 and cell["n"] == len(treated)
+    st = did.stacked(df, "y", "u", "t", "g", (-2, 1), aggregate="event_study", vcov="cluster")
+    assert st.names == ["e-2", "e+0", "e+1"] and 0 < st.se("e+0") < 2
