@@ -117,11 +117,18 @@ def tostring(df: DataFrame, *cols: str, fmt: str | None = None) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNull(), "").otherwise(text(c)) for c in cols})
 
 
+#: So many levels at most are kept as labels beside a column.
+MAX_LABELS = 1000
+
+
 def encode(df: DataFrame, col: str, new: str) -> DataFrame:
-    """Codes 1…K of the sorted values, from a table of the distinct values."""
+    """Codes 1…K of the sorted values, from a table of the distinct values; up to
+    ``MAX_LABELS`` values become the value labels of ``new``."""
     codes = number_rows(df.select(F.col(col).alias("_v")).dropna().distinct(), ["_v"], new)
     codes = codes.withColumn(new, F.col(new).cast("int"))
-    return df.join(codes, df[col] == codes["_v"], "left").drop("_v")
+    out = df.join(codes, df[col] == codes["_v"], "left").drop("_v")
+    known = codes.orderBy(new).limit(MAX_LABELS + 1).collect()  # bounded by the limit
+    return out if len(known) > MAX_LABELS else with_value_labels(out, new, {r[new]: str(r["_v"]) for r in known})
 
 
 def with_value_labels(df: DataFrame, col: str, values: dict[object, str]) -> DataFrame:
@@ -161,8 +168,25 @@ def clone(df: DataFrame, col: str, new: str) -> DataFrame:
     return df.withColumn(new, F.col(col))
 
 
+def categories(df: DataFrame, *cols: str) -> DataFrame:
+    """String columns with at most ``MAX_LABELS`` values, and half as many as rows, get
+    these as ``categories`` beside the column; the files keep them as a dictionary."""
+    strings = [f.name for f in df.schema if f.dataType.typeName() == "string" and (not cols or f.name in cols)]
+    if not strings:
+        return df
+    row = df.agg(F.count("*"), *(F.approx_count_distinct(c) for c in strings)).first()
+    for c, many in zip(strings, row[1:], strict=True):
+        if many * 2 <= row[0] and many <= 2 * MAX_LABELS:
+            levels = [r[0] for r in df.select(c).dropna().distinct().orderBy(c).limit(MAX_LABELS + 1).collect()]
+            if len(levels) <= MAX_LABELS:
+                df = df.withMetadata(c, df.schema[c].metadata | {"categories": levels})
+    return df
+
+
 def compress(df: DataFrame, *cols: str) -> DataFrame:
-    """Numbers in the smallest type that holds them all, found in one pass."""
+    """Numbers in the smallest type that holds them all, found in one pass, and
+    strings of few values as ``categories``."""
+    df = categories(df, *cols)
     numeric = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
     chosen = [c for c in (cols or numeric) if c in numeric]
     if not chosen:

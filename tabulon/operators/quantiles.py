@@ -16,11 +16,27 @@ from .rows import running_total
 
 
 def quantile7(df: DataFrame, cols: list[str], ps: list[float], by: list[str] = ()) -> DataFrame:
-    """(by, variable, p, q), exact and linear between order statistics."""
-    probs = F.array(*(F.lit(float(p)) for p in ps))
-    wide = df.groupBy(*by).agg(*(F.percentile(F.col(c).cast("double"), probs).alias(f"q__{c}") for c in cols))
-    each = F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(float(p)).alias("p"), F.get(f"q__{c}", F.lit(k)).alias("q")) for c in cols for k, p in enumerate(ps)))
-    return wide.select(*by, F.explode(each).alias("_x")).select(*by, "_x.*")
+    """(by, variable, p, q), exact and linear between order statistics.
+
+    All columns are one table of (by, variable, value, copies), whose running
+    count is taken by range, so that no task holds a column or a group whole.
+    """
+    by = list(by)
+    each = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols))
+    long = df.select(*by, F.explode(each).alias("_x")).select(*by, "_x.variable", "_x.x")
+    ties = long.filter("x IS NOT NULL AND NOT isnan(x)").groupBy(*by, "variable", "x").agg(F.count("*").alias("k"))
+    run = running_total(ties, [*by, "variable", "x"], F.col("k"), "cum")
+    keys = [*by, "variable"]
+    groups = run.groupBy(*keys).agg(F.sum("k").alias("n"), F.min(F.col("cum") - F.col("k")).alias("before"))
+    named = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "n", "before")
+    near = run.join(named, [run[k].eqNullSafe(named[f"_g_{k}"]) for k in keys]).withColumn("cum", F.col("cum") - F.col("before"))
+    at = lambda p: (F.col("n") - 1) * float(p)
+    reach = lambda r: F.min(F.when(F.col("cum") > r, F.col("x")))
+    aggs = [e for k, p in enumerate(ps) for e in (reach(F.floor(at(p))).alias(f"lo{k}"), reach(F.ceil(at(p))).alias(f"hi{k}"))]
+    wide = near.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    q = lambda k, p: F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (at(p) - F.floor(at(p)))
+    found = F.array(*(F.struct(F.lit(float(p)).alias("p"), q(k, p).alias("q")) for k, p in enumerate(ps)))
+    return wide.select(*keys, F.explode(found).alias("_x")).select(*keys, "_x.*")
 
 
 def _grid(df: DataFrame, col: str, by: list[str], weight: Column | None) -> DataFrame:
@@ -46,15 +62,10 @@ def quantile_mid(df: DataFrame, col: str, ps: list[float], by: list[str] = (), w
         order = Window.partitionBy(*by).orderBy("x")
         ties = ties.withColumn("cum", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         ties = ties.withColumn("total", F.sum("w").over(Window.partitionBy(*by)))
-        return _pick(ties, ps, by, order)
+        return _pick(ties, ps, by)
     total = ties.agg(F.sum("w")).first()[0]
     run = running_total(ties, ["x"], F.col("w"), "cum").withColumn("total", F.lit(total))
-    # only the values around each target are looked at together
-    near = [_bracket(run, p) for p in ps]
-    out = near[0]
-    for x in near[1:]:
-        out = out.unionByName(x)
-    return out
+    return _pick(run, ps, [])
 
 
 def _points(ties: DataFrame) -> DataFrame:
@@ -66,17 +77,9 @@ def _between(p: Column, g0: Column, x0: Column, g1: Column, x1: Column) -> Colum
     return F.when(g0.isNull(), x1).when(g1.isNull(), x0).when(g1 <= g0, x1).otherwise(inside)
 
 
-def _bracket(run: DataFrame, p: float) -> DataFrame:
-    """One quantile from the last value whose first point is at or before ``p``
-    and the first value whose last point is at or after it: two aggregates."""
-    pts = _points(run)
-    at = F.lit(float(p))
-    lo = F.max(F.when(F.col("first") <= at, F.struct("x", F.least("last", at).alias("g"))))
-    hi = F.min(F.when(F.col("last") >= at, F.struct("x", F.greatest("first", at).alias("g"))))
-    return pts.agg(lo.alias("lo"), hi.alias("hi")).select(at.alias("p"), _between(at, F.col("lo.g"), F.col("lo.x"), F.col("hi.g"), F.col("hi.x")).alias("q"))
-
-
-def _pick(ties: DataFrame, ps: list[float], by: list[str], order) -> DataFrame:
+def _pick(ties: DataFrame, ps: list[float], by: list[str]) -> DataFrame:
+    """Quantiles from the last value whose first point is at or before each target and
+    the first value whose last point is at or after it: one aggregate for all."""
     pts = _points(ties)
     aggs = []
     for k, p in enumerate(ps):

@@ -68,7 +68,19 @@ def sample_percent(df: DataFrame, percent: float, seed: int = 1, exact: bool = T
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+    """``n`` rows by the least hashes of their contents and ``seed``, whatever the
+    partitioning.  Only the hashes are sorted, by range; equal rows share one."""
+    kinds = dict(df.dtypes)
+    own = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] or kinds[c] == "variant" else F.col(f"`{c}`") for c in df.columns]
+    key = F.xxhash64(F.lit(seed), *own)
+    counts = running_total(df.groupBy(key.alias("h")).agg(F.count("*").alias("k")), ["h"], F.col("k"), "cum")
+    cut = counts.filter(F.col("cum") >= n).agg(F.min(F.struct("h", "cum", "k")).alias("x")).select("x.*").first()
+    if n <= 0:
+        return df.limit(0)
+    if cut["h"] is None:
+        return df
+    some = cut["k"] - (cut["cum"] - n)  # of the rows at the cut, as a rule one
+    return df.filter(key < cut["h"]).union(df.filter(key == cut["h"]).limit(int(some)))
 
 
 def append(a: DataFrame, b: DataFrame, flag: str | None = None, force: bool = False) -> DataFrame:
@@ -91,13 +103,17 @@ def duplicates_report(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def duplicates_drop(df: DataFrame, keys: list[str], order_by) -> DataFrame:
-    """The first row of each key by ``order_by``."""
+    """The first row of each key by ``order_by``; Spark keeps one row a key in each
+    task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*_ordered(order_by))
     return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
 def duplicates_tag(df: DataFrame, keys: list[str], new: str) -> DataFrame:
-    return df.withColumn(new, F.count("*").over(Window.partitionBy(*keys)) - 1)
+    """Copies less one, counted a key before they are joined back."""
+    n = df.groupBy(*keys).agg((F.count("*") - 1).alias(new)).select(*(F.col(k).alias(f"_d_{k}") for k in keys), new)
+    on = [df[k].eqNullSafe(n[f"_d_{k}"]) for k in keys]
+    return df.join(n, on, "left").drop(*(f"_d_{k}" for k in keys))
 
 
 def duplicates_list(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,10 +7,13 @@ is null or not positive are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import distributions as D
+from .quantiles import quantile7
 from .rows import running_total
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -91,14 +94,18 @@ def summarize(df: DataFrame, *cols: str, weight: Column | None = None, wtype: st
     stats = ["n", "mean", "sd", "min", "max"]
     aggs = [statistic(s, F.col(c).cast("double"), weight, wtype).alias(f"{s}__{c}") for c in cols for s in stats]
     rows = {c: {s: f"{s}__{c}" for s in stats} for c in cols}
-    if detail:
-        probs = F.array(*(F.lit(p / 100) for p in PERCENTILES))
-        aggs += [F.percentile(F.col(c).cast("double"), probs).alias(f"q__{c}") for c in cols]
-    wide = df.groupBy(*by).agg(*aggs)
-    if detail:
-        wide = wide.withColumns({f"p{p}__{c}": F.get(f"q__{c}", F.lit(k)) for c in cols for k, p in enumerate(PERCENTILES)})
-        rows = {c: r | {f"p{p}": f"p{p}__{c}" for p in PERCENTILES} for c, r in rows.items()}
-    return _long(wide, list(by), rows)
+    out = _long(df.groupBy(*by).agg(*aggs), list(by), rows)
+    return _with_percentiles(df, out, cols, list(by), PERCENTILES) if detail else out
+
+
+def _with_percentiles(df: DataFrame, out: DataFrame, cols: list[str], by: list[str], percentiles) -> DataFrame:
+    """``out`` (by, variable, …) with a column p<N> for each percentile."""
+    q = quantile7(df, cols, [p / 100 for p in percentiles], by)
+    at = lambda p: F.max(F.when(F.col("p") == p / 100, F.col("q"))).alias(f"p{p}")
+    wide = q.groupBy(*by, "variable").agg(*(at(p) for p in percentiles))
+    keys = [*by, "variable"]
+    named = wide.select(*(F.col(k).alias(f"_q_{k}") for k in keys), *(f"p{p}" for p in percentiles))
+    return out.join(named, [out[k].eqNullSafe(named[f"_q_{k}"]) for k in keys], "left").drop(*(f"_q_{k}" for k in keys))
 
 
 def tabstat(df: DataFrame, cols: list[str], stats: list[str], by: list[str] = (), weight: Column | None = None, wtype: str = "aweight") -> DataFrame:
@@ -109,12 +116,13 @@ def tabstat(df: DataFrame, cols: list[str], stats: list[str], by: list[str] = ()
     return df.groupBy(*by).agg(*aggs).select(*by, F.explode(each).alias("_x")).select(*by, "_x.stat", *(f"_x.{c}" for c in cols))
 
 
-def tab1(df: DataFrame, col: str, weight: Column | None = None, missing: bool = False) -> DataFrame:
-    """(value, freq, percent, cum) in the order of the values."""
+def tab1(df: DataFrame, col: str, weight: Column | None = None, missing: bool = False, sort: bool = False) -> DataFrame:
+    """(value, freq, percent, cum) in the order of the values or, with ``sort``, from
+    the most frequent on."""
     df = df if missing else df.filter(F.col(col).isNotNull())
     w = F.lit(1) if weight is None else F.when(weight > 0, weight)
     n = df.groupBy(col).agg(F.sum(w).alias("freq"))
-    return _shares(n, [col])
+    return _shares(n, ["-freq", col] if sort else [col])
 
 
 def _shares(n: DataFrame, order_by: list[str]) -> DataFrame:
@@ -159,17 +167,41 @@ def count_if(df: DataFrame, where: Column | None = None) -> DataFrame:
     return df.agg((F.count("*") if where is None else F.count_if(where)).alias("n"))
 
 
-def codebook(df: DataFrame, *cols: str) -> DataFrame:
-    """(variable, type, n, missing, distinct, min, max) in one pass."""
+def codebook(df: DataFrame, *cols: str, top: int = 3) -> DataFrame:
+    """(variable, label, n, missing, distinct_values, min, max, mean, sd, top, type,
+    p25, p50, p75); moments and quartiles of numbers, and the ``top`` most frequent
+    values with their counts.
+
+    Each column is counted by its values first, so that one frequent value is one
+    row and no column's values meet another's."""
     cols = list(cols) or df.columns
-    aggs, rows = [], {}
+    numeric = [c for c in numeric_columns(df) if c in cols]
+    meta = {f.name: f.metadata.get("label", "") for f in df.schema}
+    parts = []
     for c in cols:
-        v = F.col(c)
-        parts = {"n": F.count(v), "missing": F.count_if(v.isNull()), "distinct_values": F.count_distinct(v), "min": F.min(v).cast("string"), "max": F.max(v).cast("string")}
-        aggs += [e.alias(f"{k}__{c}") for k, e in parts.items()]
-        rows[c] = {k: f"{k}__{c}" for k in parts}
-    kinds = F.create_map(*(F.lit(x) for c, k in df.dtypes if c in cols for x in (c, k)))
-    return _long(df.agg(*aggs), [], rows).withColumn("type", F.element_at(kinds, F.col("variable")))
+        v, k = F.col("v"), F.col("k")
+        there = F.when(v.isNotNull(), k)
+        levels = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
+        best = levels.filter("v IS NOT NULL").orderBy(F.desc("k"), "v").limit(top).agg(F.sort_array(F.collect_list(F.struct((-k).alias("k"), "v"))).alias("_t"))
+        text = F.array_join(F.transform("_t", lambda x: F.concat(x["v"].cast("string"), F.lit(" ("), (-x["k"]).cast("string"), F.lit(")"))), "; ")
+        x = v.cast("double") if c in numeric else F.lit(None).cast("double")
+        mean = F.try_divide(F.sum(x * there), F.sum(F.when(x.isNotNull(), there)))
+        one = levels.agg(
+            F.coalesce(F.sum(there), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when(v.isNull(), k)), F.lit(0)).alias("missing"),
+            F.count(v).alias("distinct_values"),
+            F.min(v).cast("string").alias("min"),
+            F.max(v).cast("string").alias("max"),
+            mean.alias("mean"),
+        )
+        own = df.agg(F.stddev_samp(F.col(c).cast("double")).alias("sd")) if c in numeric else df.sparkSession.range(1).select(F.lit(None).cast("double").alias("sd"))
+        # one row each
+        joined = one.join(F.broadcast(best.select(text.alias("top")))).join(F.broadcast(own))
+        parts.append(joined.select(F.lit(c).alias("variable"), F.lit(meta[c]).alias("label"), "n", "missing", "distinct_values", "min", "max", "mean", "sd", "top", F.lit(dict(df.dtypes)[c]).alias("type")))
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    if not numeric:
+        return out.withColumns({f"p{p}": F.lit(None).cast("double") for p in (25, 50, 75)})
+    return _with_percentiles(df, out, numeric, [], (25, 50, 75))
 
 
 def levelsof(df: DataFrame, col: str) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import _ordered, number_rows
+from .quantiles import quantile7
+from .rows import _ordered, number_rows, running_total
 
 
 def number(df: DataFrame, order_by, by: list[str] = (), n: str = "_n", size: str = "_N") -> DataFrame:
@@ -25,9 +26,11 @@ def egen(df: DataFrame, new: str, fn: str, col: str, by: list[str] = (), where:
     third of all rows is added up in parts; without ``by`` it is one number.
     """
     v = F.col(col) if where is None else F.when(where, F.col(col))
+    if fn == "median":  # the groups of the result are those of all rows
+        q = quantile7(df.withColumn("_v", v), ["_v"], [0.5], list(by)).select(*by, F.col("q").alias(new))
+        return _joined(df, q, list(by))
     agg = {
         "mean": F.avg(v),
-        "median": F.percentile(v, F.lit(0.5)),
         "sum": F.coalesce(F.sum(v), F.lit(0)),
         "total": F.coalesce(F.sum(v), F.lit(0)),
         "count": F.count(v),
@@ -52,10 +55,16 @@ def standardise(df: DataFrame, new: str, col: str, by: list[str] = ()) -> DataFr
 
 
 def rank(df: DataFrame, new: str, col: str, by: list[str] = ()) -> DataFrame:
-    """Mean ranks of ties; missing for missing."""
-    w = Window.partitionBy(*by, F.col(col).isNull())
-    r = F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / 2
-    return df.withColumn(new, F.when(F.col(col).isNotNull(), r))
+    """Mean ranks of ties; missing for missing.  Distinct values are counted and
+    ranked before they are joined back, over all rows by range."""
+    by = list(by)
+    ties = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_k"))
+    if by:
+        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+        ties = ties.withColumn("_cum", F.sum("_k").over(w))
+    else:
+        ties = running_total(ties, [col], F.col("_k"), "_cum")
+    return _joined(df, ties.select(*by, col, (F.col("_cum") - (F.col("_k") - 1) / 2).alias(new)), [*by, col])
 
 
 def group_id(df: DataFrame, new: str, *cols: str) -> DataFrame:

@@ -87,9 +87,21 @@ def _(t):
     return S.count_if(t.orders, c("o_totalprice") > 100000)
 
 
-@query("d12_codebook", " UNION ALL ".join(f"SELECT '{v}' AS variable, '{k}' AS type, count({v}) AS n, count(*) - count({v}) AS missing, count(DISTINCT {v}) AS distinct_values, CAST(min({v}) AS VARCHAR) AS min, CAST(max({v}) AS VARCHAR) AS max FROM part" for v, k in (("p_partkey", "bigint"), ("p_brand", "string"), ("p_size", "int"))))
+def _profile(v, kind):
+    q = lambda e: f"round({e}, 6)" if kind != "string" else "CAST(NULL AS DOUBLE)"
+    top = f"(SELECT string_agg(CAST(v AS VARCHAR) || ' (' || k || ')', '; ' ORDER BY k DESC, v) FROM (SELECT {v} AS v, count(*) AS k FROM part WHERE {v} IS NOT NULL GROUP BY 1 ORDER BY k DESC, v LIMIT 3))"
+    quartiles = ", ".join(q(f"quantile_cont({v}, {p / 100})") + f" AS p{p}" for p in (25, 50, 75))
+    return f"SELECT '{v}' AS variable, '' AS label, '{kind}' AS type, count({v}) AS n, count(*) - count({v}) AS missing, count(DISTINCT {v}) AS distinct_values, CAST(min({v}) AS VARCHAR) AS min, CAST(max({v}) AS VARCHAR) AS max, {q(f'avg({v})')} AS mean, {q(f'stddev_samp({v})')} AS sd, {quartiles}, {top} AS top FROM part"
+
+
+@query("d12_codebook", " UNION ALL ".join(_profile(v, k) for v, k in (("p_partkey", "bigint"), ("p_brand", "string"), ("p_size", "int"))))
+def _(t):
+    return _round(S.codebook(t.part, "p_partkey", "p_brand", "p_size"), "mean", "sd", "p25", "p50", "p75", digits=6)
+
+
+@query("d6_tabulate_sort", "SELECT p_size, count(*) AS freq, round(sum(count(*)) OVER (ORDER BY count(*) DESC, p_size) * 100.0 / sum(count(*)) OVER (), 6) AS cum FROM part GROUP BY 1")
 def _(t):
-    return S.codebook(t.part, "p_partkey", "p_brand", "p_size")
+    return _round(S.tab1(t.part, "p_size", sort=True), "cum", digits=6).select("p_size", "freq", "cum")
 
 
 @query("d13_levelsof", "SELECT DISTINCT p_size FROM part WHERE p_size IS NOT NULL")

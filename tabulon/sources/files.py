@@ -18,8 +18,17 @@ def use(spark: SparkSession, path: str, rows: int | None = None, schema: str | N
     return df if rows is None else df.limit(rows)
 
 
-def import_delimited(spark: SparkSession, path: str, delimiter: str = "comma", encoding: str = "utf-8", schema: str | None = None) -> DataFrame:
-    """Delimited text with a header; without a schema one more pass infers it."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """utf-8 where all lines are, else latin-1, in which every byte is a letter; a
+    file in cp1252 or another encoding is to be named as such."""
+    broken = spark.read.text(path).filter(F.contains("value", F.lit("\ufffd")))
+    return "utf-8" if broken.limit(1).isEmpty() else "ISO-8859-1"
+
+
+def import_delimited(spark: SparkSession, path: str, delimiter: str = "comma", encoding: str | None = None, schema: str | None = None) -> DataFrame:
+    """Delimited text with a header; without a schema one more pass infers it, and
+    without an encoding one looks for it."""
+    encoding = encoding or encoding_of(spark, path)
     reader = spark.read.option("header", True).option("sep", SEPARATORS.get(delimiter, delimiter)).option("encoding", encoding)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
