@@ -226,3 +226,69 @@ def test_queries_are_registered():
 def test_unused_columns_do_not_matter(spark):
     df = spark.createDataFrame([(1, "a b c", None)], "doc_id long, text string, fp string").withColumn("x", F.lit(None))
     assert simhash.near_duplicates(df).count() == 1
+
+
+def test_language_model_score_matches_deleted_interpolation(spark):
+    """The model's score from plain counters and a plain expectation-maximisation."""
+    rows = documents(6, 60) + [(None, "no id here"), (7, "same id again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fold": F.lit(1), "chunk": F.lit("x")})
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in language_model.score_documents(df).collect())
+    fold = lambda i: language_model.fold_of(i)
+    toks = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+
+    def counts(folds):
+        uni, pair = Counter(), Counter()
+        for i, ws in toks:
+            if fold(i) in folds:
+                uni.update(ws)
+                pair.update(zip(["start", *ws[:-1]], ws, strict=True))
+        uni["start"] = uni[None]
+        return uni, pair
+
+    def estimates(ws, uni, pair, n):
+        for h, w in zip(["start", *ws[:-1]], ws, strict=True):
+            b = int(math.log2(uni[h])) + 1 if uni[h] else 0
+            yield b, pair[h, w] / max(uni[h], 1), uni[w] / n
+
+    rest, both = counts([language_model.REST]), counts([language_model.REST, language_model.EM_FOLD])
+    n_rest, n_both = (sum(v for k, v in u.items() if k != "start") for u, _ in (rest, both))
+    v = sum(c > 0 for k, c in both[0].items() if k != "start")
+    held = [x for i, ws in toks if fold(i) == language_model.EM_FOLD for x in estimates(ws, *rest, n_rest)]
+    weights = {b: np.array([0.5, 0.4, 0.1]) for b in range(65)}
+    for _ in range(language_model.EM_ROUNDS):
+        total = {b: np.full(3, 0.01) for b in weights}
+        for b, f2, f1 in held:
+            share = weights[b] * [f2, f1, 1 / (v + 1)]
+            total[b] += share / share.sum()
+        new = {b: x / x.sum() for b, x in total.items()}
+        done = max(np.abs(new[b] - weights[b]).max() for b in new) < 1e-7
+        weights = new
+        if done:
+            break
+    want = sorted((str(i), len(ws), sum(math.log10(weights[b] @ [f2, f1, 1 / (v + 1)]) for b, f2, f1 in estimates(ws, *both, n_both))) for i, ws in toks)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    # the operator adds held-out estimates up in cells of a quarter of a factor of two
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=2e-3)
+
+
+def test_near_duplicates_of_repeated_and_nameless_rows(spark):
+    rows = [(5, "one text of words"), (5, "another text of other words"), (5, "one text of words"), (None, "one text of words"), (9, "one text of words"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "root": F.lit(1), "void": F.lit(None)})
+    assert simhash.near_duplicates(df).count() == 6
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("5", rows[0][1]), ("5", rows[1][1]), ("None", rows[0][1]), ("9", "None")])
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    good = " ".join(f"Word{k} and more text" for k in range(30)) + "."
+    rows = [(1, good, "own"), (1, good, "own"), (2, None, "own"), (3, "", None), (None, good + " Nameless.", "own"), (4, good.replace("text", "prose"), "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").withColumn("n_chars", F.lit(0).cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, df.limit(0), sf)
+        out = stage(spark, df, sf)
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        if name != "bpe":
+            assert out.columns == df.columns, name
+            assert {r["n_lines"] for r in out.collect()} <= {"own", None}, name
+    assert corpus_pipeline.near_dedup_stage(spark, df, sf).count() < df.count()

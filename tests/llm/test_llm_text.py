@@ -243,3 +243,44 @@ def test_values_of_every_kind_by_brute_force(spark):
     assert pii.find_and_replace(rows.limit(0), "k").count() == 0
     clash = rows.withColumns({"n_card": F.lit("x"), "_r": F.lit(1)})
     assert pii.pseudonymise(clash, "k").columns == clash.columns and pii.find_and_replace(clash, "k").count() == 5
+
+
+def test_chat_ties_long_chains_and_empty(spark):
+    rows = [(1, "a", None, 1.0), (1, "c", "a", 2.0), (1, "b", "a", 2.0), (None, "x", None, None), (None, "y", "x", None)]
+    df = spark.createDataFrame([(t, i, p, "assistant", i * 2, s, 9) for t, i, p, s in rows], "tree long, id string, parent string, role string, text string, score double, n int")
+    got = {r["tree"]: r for r in chat.format_trees(df).collect()}
+    assert got[1]["leaf"] == "b" and got[None]["leaf"] == "y" and got[None]["n_turns"] == 2  # ties go to the lesser leaf
+    assert chat.format_trees(df.limit(0)).count() == 0
+    n = 3000
+    chain = spark.range(1, n + 1).select(
+        F.lit(1).alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit("assistant").alias("role"), F.lit("hi").alias("text"), F.lit(0.0).alias("score")
+    )
+    one = chat.format_trees(chain).first()
+    assert one["n_turns"] == n and len(one["loss_mask"]) == n
+    assert all(one["formatted"][m["start"] : m["end"]] == "hi" for m in one["loss_mask"])
+
+
+def test_bpe_table_follows_the_default_arcs():
+    import random
+
+    t = bpe.Tokenizer(open(bpe.default_vocabulary(), "rb").read()).automaton
+    some, r = [i for i in range(t.width) if t.row[i] >= 0], random.Random(1)
+    assert len(some) == bpe.DENSE
+    for _ in range(20_000):
+        u, v = r.choice(some), r.choice(some)
+        assert (t.table[t.row[u] + t.col[v]] == 1) == t._reads(u, v, 1 << 60)
+
+
+def test_bpe_refuses_unknown_settings(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.default_vocabulary(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": None}, {"decoder": {"type": "ByteLevel"}}):
+        with pytest.raises(ValueError):
+            bpe._known_settings(spec | change)
+
+
+def test_bpe_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "Hello", "x"), (1, "Hello", "y"), (None, None, "z")], "doc_id long, text string, ids string").withColumn("id", F.lit(2))
+    out = bpe.encode(docs, decoded=True)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 3
