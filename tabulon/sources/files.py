@@ -21,7 +21,7 @@ def use(spark: SparkSession, path: str, rows: int | None = None, schema: str | N
 def encoding_of(spark: SparkSession, path: str) -> str:
     """utf-8 where all lines are, else latin-1, in which every byte is a letter; a
     file in cp1252 or another encoding is to be named as such."""
-    broken = spark.read.text(path).filter(F.contains("value", F.lit("\ufffd")))
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     return "utf-8" if broken.limit(1).isEmpty() else "ISO-8859-1"
 
 
