@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts as M
 from . import query, rnd
+from .models_sql import least_squares
 
 c = F.col
 
@@ -52,9 +53,14 @@ def _(t):
     return M.fit_band(t.lineitem, "l_extendedprice", "l_quantity").select(rnd("slope").alias("slope"), rnd("intercept", 2).alias("intercept"), rnd("band", 2).alias("band"))
 
 
-@query("m7_quadratic")
+# about 25, which spans the same space
+_SQUARE = least_squares("o", "SELECT l_extendedprice AS y, [1, l_quantity - 25, (l_quantity - 25) * (l_quantity - 25)]::DOUBLE[] AS x FROM lineitem", 3)
+
+
+@query("m7_quadratic", f"WITH RECURSIVE {_SQUARE} SELECT round(b[1] - 25 * b[2] + 625 * b[3], 3) AS c0, round(b[2] - 50 * b[3], 4) AS c1, round(b[3], 5) AS c2 FROM ob")
 def _(t):
-    return M.quadratic_fit(t.lineitem, "l_extendedprice", "l_quantity")
+    fit = M.quadratic_fit(t.lineitem, "l_extendedprice", "l_quantity")
+    return fit.select(rnd("c0", 3).alias("c0"), rnd("c1").alias("c1"), rnd("c2", 5).alias("c2"))
 
 
 @query("m7_area", "SELECT l_quantity, round(s, 2) AS l_tax, round(sum(s) OVER (ORDER BY l_quantity), 2) AS total FROM (SELECT l_quantity, sum(l_tax) AS s FROM lineitem GROUP BY 1)")

@@ -6,14 +6,28 @@ from pyspark.sql import functions as F
 
 from ..estimate import linear, mle, post
 from ..estimate.fit import predict
+from . import models_sql as M
 from . import query, rnd
 
 c = F.col
 XS = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _coef(t, fit, **kw):
-    return fit.coefficients(t.spark, **kw)
+def rounded(df, digits):
+    return df.withColumns({n: rnd(n, digits) for n, kind in df.dtypes if kind == "double"})
+
+
+def _coef(t, fit, digits=6, **kw):
+    return rounded(fit.coefficients(t.spark, **kw), digits)
+
+
+_X = "[l_quantity, l_discount, l_tax, 1]::DOUBLE[]"
+_LINES = f"SELECT l_extendedprice AS y, {_X} AS x, l_suppkey AS cl FROM lineitem"
+_NAMES = [*XS, "_cons"]
+_FLAGS = "[l_quantity, l_discount, l_tax, CAST(l_returnflag = 'N' AS INTEGER), CAST(l_returnflag = 'R' AS INTEGER), 1]::DOUBLE[]"
+_RETURNED = f"SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS y, {_X} AS x, 1.0 AS w FROM lineitem"
+_LOGIT = "SELECT x, w * (y - p) AS s, w * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM {r})"
+_SCORES = ("s * x[i]", "h * x[i] * x[j]")
 
 
 def _signed(t):
@@ -36,19 +50,19 @@ def _(t):
     return t.spark.createDataFrame([row], "slope double, intercept double, r2 double").select(rnd("slope", 5).alias("slope"), rnd("intercept", 3).alias("intercept"), rnd("r2", 8).alias("r2"))
 
 
-@query("j1_ols")
+@query("j1_ols", M.regression(f"SELECT l_extendedprice AS y, {_FLAGS} AS x FROM lineitem", [*XS, "N.l_returnflag", "R.l_returnflag", "_cons"], 3))
 def _(t):
-    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, factors=["l_returnflag"]))
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, factors=["l_returnflag"]), 3)
 
 
-@query("j2_ols_hc1")
+@query("j2_ols_hc1", M.regression(_LINES, _NAMES, 3, "hc1"))
 def _(t):
-    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov="hc1"))
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov="hc1"), 3)
 
 
-@query("j3_ols_cluster")
+@query("j3_ols_cluster", M.regression(_LINES, _NAMES, 3, "cluster"))
 def _(t):
-    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov=("cluster", "l_suppkey")))
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov=("cluster", "l_suppkey")), 3)
 
 
 @query("j4_wls", "SELECT round((sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)), 4) AS slope FROM (SELECT l_quantity AS w, l_discount AS x, l_extendedprice AS y FROM lineitem)")
@@ -57,22 +71,29 @@ def _(t):
     return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 4).alias("slope"))
 
 
-@query("j5_logit")
+@query("j5_logit", M.likelihood(_RETURNED, 4, "[0, 0, 0, 0]::DOUBLE[]", _LOGIT, *_SCORES) + " " + M.inference(M.effects("o", M.units(*_NAMES)), 6, exponentiate=True))
 def _(t):
     return _coef(t, mle.logit(_signed(t), "returned", XS), exponentiate=True)
 
 
-@query("j6_probit")
+_PROBIT = f"SELECT x, q * f / c AS s, f / c * (f / c + q * xb) AS h FROM (SELECT *, {M.cdf('q * xb')} AS c, {M.PDF.format('xb')} AS f FROM (SELECT x, 2 * y - 1 AS q, list_dot_product(x, b) AS xb FROM {{r}}))"
+
+
+@query("j6_probit", M.likelihood(_RETURNED, 4, "[0, 0, 0, 0]::DOUBLE[]", _PROBIT, *_SCORES) + " " + M.inference(M.effects("o", M.units(*_NAMES)), 6))
 def _(t):
     return _coef(t, mle.probit(_signed(t), "returned", XS))
 
 
-@query("j7_poisson")
+_COUNTS = "SELECT n_lines AS y, [ln(o_totalprice), disc, 1]::DOUBLE[] AS x, ln(o_totalprice) AS o FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, avg(l_discount) AS disc FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+_POISSON = "SELECT x, y - mu AS s, mu AS h FROM (SELECT *, exp(list_dot_product(x, b) + o) AS mu FROM {r})"
+
+
+@query("j7_poisson", M.likelihood(_COUNTS, 3, "[0, 0, ln(sum(y) / sum(exp(o)))]::DOUBLE[]", _POISSON, *_SCORES, rounds=10) + " " + M.inference(M.effects("o", M.units("lprice", "disc", "_cons")), 6))
 def _(t):
     return _coef(t, mle.poisson(_counts(t), "n_lines", ["lprice", "disc"], exposure="o_totalprice"))
 
 
-@query("j8_weighted_glm")
+@query("j8_weighted_glm", M.likelihood("SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS y, [l_discount, l_tax, 1]::DOUBLE[] AS x, l_quantity AS w FROM lineitem", 3, "[0, 0, 0]::DOUBLE[]", _LOGIT, *_SCORES) + " " + M.inference(M.effects("o", M.units("l_discount", "l_tax", "_cons")), 6))
 def _(t):
     return _coef(t, mle.logit(_signed(t), "returned", ["l_discount", "l_tax"], weight="l_quantity", wtype="fweight"))
 
@@ -82,9 +103,15 @@ def _(t):
     return _coef(t, mle.nbreg(_counts(t), "n_lines", ["lprice"]))
 
 
-@query("j10_tobit")
+# a row's residual over sigma r, its score g by the mean and its curvature h; m: not censored
+_TOBIT = f"SELECT list_append(x, 1) AS x, s, r, m, CASE WHEN m = 1 THEN r ELSE -f / c END AS g, CASE WHEN m = 1 THEN 1 ELSE f / c * (r + f / c) END AS h FROM (SELECT *, CASE WHEN m = 0 THEN {M.cdf('r')} END AS c, {M.PDF.format('r')} AS f FROM (SELECT x, exp(b[3]) AS s, (y - list_dot_product(x, b[1:2])) / exp(b[3]) AS r, CAST(y > 0 AS INTEGER) AS m FROM {{r}}))"
+_TOBIT_G = "CASE WHEN i < 3 THEN x[i] * g / s ELSE g * r - m END"
+_TOBIT_H = "CASE WHEN i < 3 AND j < 3 THEN x[i] * x[j] * h / (s * s) WHEN i = 3 AND j = 3 THEN h * r * r + g * r ELSE x[i] * x[j] * (h * r + g) / s END"
+
+
+@query("j10_tobit", M.likelihood("SELECT greatest(c_acctbal, 0) AS y, [c_nationkey, 1]::DOUBLE[] AS x FROM customer", 3, "[regr_slope(y, x[1]), regr_intercept(y, x[1]), ln(stddev_samp(y))]::DOUBLE[]", _TOBIT, _TOBIT_G, _TOBIT_H) + " " + M.inference(M.effects("o", {"c_nationkey": [1, 0, 0], "_cons": [0, 1, 0]}), 4))
 def _(t):
-    return _coef(t, mle.tobit(t.customer.select(F.greatest("c_acctbal", F.lit(0.0)).alias("bal"), "c_nationkey"), "bal", ["c_nationkey"], ll=0.0))
+    return _coef(t, mle.tobit(t.customer.select(F.greatest("c_acctbal", F.lit(0.0)).alias("bal"), "c_nationkey"), "bal", ["c_nationkey"], ll=0.0), 4)
 
 
 @query("j11_iv2sls", "SELECT round(covar_samp(l_tax, l_extendedprice) / covar_samp(l_tax, l_discount), 2) AS slope FROM lineitem")
@@ -153,16 +180,22 @@ def _(t):
     return out.select("l_orderkey", rnd("yhat", 2).alias("yhat"), rnd("e", 2).alias("e"))
 
 
-@query("k2_contrasts")
+@query("k2_contrasts", M.regression(_LINES, _NAMES, 3, targets={"discount = tax": [0, 1, -1, 0], "discount + 2 tax": [0, 1, 2, 0]}))
 def _(t):
     fit = linear.ols(t.lineitem, "l_extendedprice", XS)
-    return _coef(t, fit, contrasts={"discount = tax": {"l_discount": 1, "l_tax": -1}, "discount + 2 tax": {"l_discount": 1, "l_tax": 2}})
+    return _coef(t, fit, 3, contrasts={"discount = tax": {"l_discount": 1, "l_tax": -1}, "discount + 2 tax": {"l_discount": 1, "l_tax": 2}})
+
+
+_EFFECTS = """, f AS MATERIALIZED (SELECT x, p * (1 - p) AS d1, p * (1 - p) * (1 - 2 * p) AS d2 FROM (SELECT x, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM d, ob)),
+a AS MATERIALIZED (SELECT avg(d1) AS d1, [avg(d2 * x[1]), avg(d2 * x[2]), avg(d2 * x[3]), avg(d2 * x[4])] AS d2 FROM f),
+gr AS (SELECT name, d1 * b[n] AS b, list_transform(range(1, 5), lambda i: b[n] * d2[i] + CASE WHEN i = n THEN d1 ELSE 0 END) AS g FROM a, ob, (VALUES ('l_quantity', 1), ('l_discount', 2), ('l_tax', 3)) z(name, n)) """
+_MARGINS = "SELECT name, b, sqrt(list_dot_product(g, list_transform(v, lambda r: list_dot_product(r, g)))) AS se, df FROM gr, ov"
 
 
-@query("k4_margins")
+@query("k4_margins", M.likelihood(_RETURNED, 4, "[0, 0, 0, 0]::DOUBLE[]", _LOGIT, *_SCORES) + _EFFECTS + f"SELECT name, b AS margin, se, stat, p, low, high, 'average' AS kind FROM ({M.inference(_MARGINS, 6)})")
 def _(t):
     df = _signed(t)
-    return post.margins(df, mle.logit(df, "returned", XS), dydx=XS)
+    return rounded(post.margins(df, mle.logit(df, "returned", XS), dydx=XS), 6)
 
 
 @query("k5_vif", "SELECT 'l_discount' AS variable, round(1 / (1 - power(corr(l_discount, l_tax), 2)), 8) AS vif FROM lineitem UNION ALL SELECT 'l_tax', round(1 / (1 - power(corr(l_discount, l_tax), 2)), 8) FROM lineitem")
@@ -180,9 +213,14 @@ def _(t):
     return post.hettest(t.lineitem, fit).select(rnd("chi2").alias("chi2"), "df")
 
 
-@query("k7_white")
+# the auxiliary columns are centred and scaled, which spans the same space
+_WHITE = "SELECT e * e / 1e9 AS y, [a, b, c, a * a, b * b, c * c, a * b, a * c, b * c, 1]::DOUBLE[] AS x FROM (SELECT e, (x[1] - 25) / 15 AS a, (x[2] - 0.05) / 0.03 AS b, (x[3] - 0.04) / 0.03 AS c FROM oe)"
+_CHI2_9 = "exp(3.5 * ln(greatest(u, 1e-300)) - u / 2 - 4.5 * ln(2) - lgamma(4.5))"
+
+
+@query("k7_white", f"WITH RECURSIVE {M.least_squares('o', _LINES, 4)}, {M.least_squares('w', _WHITE, 10)}, c AS MATERIALIZED (SELECT count(*) * (1 - fsum(e * e) / (count(*) * var_pop(y))) AS chi2 FROM we) SELECT round(chi2, 4) AS chi2, 9.0 AS df, round(1 - {M.simpson(_CHI2_9, 'SELECT chi2 FROM c')}, 4) AS p FROM c")
 def _(t):
-    return post.white(t.lineitem, _fit(t))
+    return rounded(post.white(t.lineitem, _fit(t)), 4)
 
 
 # R2 of two regressors from three correlations
@@ -198,10 +236,13 @@ def _(t):
 _ORD = "SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders"
 
 
-@query("k8_bgodfrey")
+_LAGS = "SELECT e / 1e5 AS y, [x / 1e3, coalesce(lag(e) OVER (ORDER BY o_orderkey), 0) / 1e5, coalesce(lag(e, 2) OVER (ORDER BY o_orderkey), 0) / 1e5, 1]::DOUBLE[] AS x FROM (SELECT o_orderkey, o_custkey AS x, o_totalprice - a - b * o_custkey AS e FROM orders, (" + _ORD + "))"
+
+
+@query("k8_bgodfrey", f"SELECT round(chi2, 5) AS chi2, 2.0 AS df, round(exp(-chi2 / 2), 5) AS p FROM (WITH RECURSIVE {M.least_squares('o', _LAGS, 4)} SELECT count(*) * (1 - fsum(e * e) / (count(*) * var_pop(y))) AS chi2 FROM oe)")
 def _(t):
     fit = linear.ols(t.orders, "o_totalprice", ["o_custkey"])
-    return post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 2)
+    return rounded(post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 2), 5)
 
 
 @query("k8_bgodfrey_one", f"SELECT round(n * {_R2}, 5) AS chi2, 1.0 AS df FROM (SELECT count(*) AS n, corr(e, x) AS r1, corr(e, l) AS r2, corr(x, l) AS r12 FROM (SELECT e, x, coalesce(lag(e) OVER (ORDER BY o_orderkey), 0) AS l FROM (SELECT o_orderkey, o_custkey AS x, o_totalprice - a - b * o_custkey AS e FROM orders, ({_ORD}))))")
@@ -210,9 +251,12 @@ def _(t):
     return post.breusch_godfrey(t.orders, fit, ["o_orderkey"], 1).select(rnd("chi2", 5).alias("chi2"), "df")
 
 
-@query("k9_ovtest")
+_POWERS = "SELECT y, list_concat(x, [h * h, h * h * h]) AS x FROM (SELECT y, x, (y - e - avg(y - e) OVER ()) / stddev_samp(y - e) OVER () AS h FROM oe)"
+
+
+@query("k9_ovtest", f"WITH RECURSIVE {M.least_squares('o', _LINES, 4)}, {M.least_squares('w', _POWERS, 6)}, c AS (SELECT (small - big) / 2 / (big / df2) AS f, CAST(df2 AS DOUBLE) AS df2 FROM (SELECT fsum(e * e) AS small FROM oe), (SELECT fsum(e * e) AS big, count(*) - 6 AS df2 FROM we)) SELECT round(f, 5) AS f, 2.0 AS df1, df2, round(exp(-df2 / 2 * ln(1 + 2 * f / df2)), 5) AS p FROM c")
 def _(t):
-    return post.reset(t.lineitem, _fit(t))
+    return rounded(post.reset(t.lineitem, _fit(t)), 5)
 
 
 @query("k10_dwatson", f"SELECT round(sum(power(e - l, 2)) / sum(e * e), 8) AS dw FROM (SELECT e, lag(e) OVER (ORDER BY o_orderkey) AS l FROM (SELECT o_orderkey, o_totalprice - a - b * o_custkey AS e FROM orders, ({_ORD})))")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..estimate import did, panel, post
+from . import models_sql as M
 from . import query, rnd
+from .q_estimate import rounded
 
 c = F.col
 
@@ -44,9 +46,15 @@ def _(t):
     return t.spark.createDataFrame([(fit["n"],)], "slope double").select(rnd("slope", 2).alias("slope"))
 
 
-@query("l3_xtreg_re")
+_RE = f"""cy AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cust) AS size, avg(n) OVER (PARTITION BY cust) AS mn, avg(spent) OVER (PARTITION BY cust) AS ms FROM {_CY}),
+fe AS (SELECT (fsum(b * b) - fsum(a * b) * fsum(a * b) / fsum(a * a)) / (count(*) - count(DISTINCT cust) - 1) AS s2e FROM (SELECT cust, n - mn AS a, spent - ms AS b FROM cy)),
+be AS (SELECT regr_syy(ms, mn) * (1 - regr_r2(ms, mn)) / (count(*) - 2) AS s2b, count(*) / fsum(1.0 / size) AS harmonic FROM (SELECT DISTINCT cust, size, mn, ms FROM cy)),
+th AS MATERIALIZED (SELECT cy.*, 1 - sqrt(s2e / (size * greatest(s2b - s2e / harmonic, 0) + s2e)) AS theta FROM cy, fe, be), """
+
+
+@query("l3_xtreg_re", M.regression("SELECT spent - theta * ms AS y, [n - theta * mn, 1 - theta]::DOUBLE[] AS x FROM th", ["n", "_one"], 2, before=_RE))
 def _(t):
-    return panel.xtreg_re(cust_year(t), "spent", ["n"], "cust").coefficients(t.spark)
+    return rounded(panel.xtreg_re(cust_year(t), "spent", ["n"], "cust").coefficients(t.spark), 2)
 
 
 @query("l4_twfe", f"SELECT round(sum(dd * yy) / sum(dd * dd), 7) AS att FROM {_DD}")
@@ -88,24 +96,53 @@ def _(t):
     return did.att_gt(staggered(t), "y", "unit", "year", "first_treat").select("g", "t", rnd("att", 7).alias("att"), "n")
 
 
-@query("l8_sun_abraham")
+# cohort x relative time, without -1: the place of a dummy is that of its cell
+_SA_CELLS = [(g, t - g) for g in (1997, 1998, 1999) for t in range(1995, 2001) if t - g != -1]
+_SA_KEYS = sorted({e for _, e in _SA_CELLS})
+_SA_BEFORE = f"""st AS MATERIALIZED (SELECT * FROM {_ST}),
+sx AS (SELECT unit, year, y, unnest(range(1, {len(_SA_CELLS) + 1})) AS i, unnest([{", ".join(f"CAST(first_treat = {g} AND year - first_treat = {e} AS DOUBLE)" for g, e in _SA_CELLS)}]) AS z FROM st),
+flat AS (SELECT unit, year, i, y - avg(y) OVER u - avg(y) OVER t + avg(y) OVER a AS y, z - avg(z) OVER u - avg(z) OVER t + avg(z) OVER a AS z FROM sx WINDOW u AS (PARTITION BY unit, i), t AS (PARTITION BY year, i), a AS (PARTITION BY i)), """
+_SA_ROWS = "SELECT any_value(y) AS y, list(z ORDER BY i) AS x, unit AS cl FROM flat GROUP BY unit, year"
+# all cells of a relative time weigh by the units of their cohort
+_SA_W = f"w AS MATERIALIZED (SELECT e, list(CASE WHEN r = e THEN n ELSE 0 END / s ORDER BY i) AS c, any_value(s) AS n FROM (SELECT k.e, c.i, c.e AS r, n * 1.0 AS n, fsum(CASE WHEN c.e = k.e THEN n * 1.0 ELSE 0 END) OVER (PARTITION BY k.e) AS s FROM (SELECT unnest([{', '.join(str(e) for e in _SA_KEYS)}]) AS e) k, (VALUES {', '.join(f'({i}, {g}, {e})' for i, (g, e) in enumerate(_SA_CELLS))}) c(i, g, e) JOIN (SELECT first_treat, count(DISTINCT unit) AS n FROM st GROUP BY 1) m ON m.first_treat = c.g) GROUP BY e)"
+_SA_MIXED = "SELECT e AS name, list_dot_product(c, b) AS b, sqrt(list_dot_product(c, list_transform(v, lambda r: list_dot_product(r, c)))) AS se, df, CAST(n AS BIGINT) AS n FROM ob, ov, w"
+_SA = f"WITH RECURSIVE {_SA_BEFORE}{M.least_squares('o', _SA_ROWS, len(_SA_CELLS))}, {M.covariance('o', len(_SA_CELLS), 'cluster', '30')}, {_SA_W} SELECT CAST(e AS INTEGER) AS e, b AS att, se, stat, p, low, high, n FROM ({M.inference(_SA_MIXED, 5, key='e', more=', n')})"
+
+
+@query("l8_sun_abraham", _SA)
 def _(t):
-    return did.sun_abraham(staggered(t), "y", "unit", "year", "first_treat")
+    return rounded(did.sun_abraham(staggered(t), "y", "unit", "year", "first_treat"), 5)
+
 
+# dummies of the 25 units and of all years but the first, fitted on untreated rows
+_Z = "list_concat(list_transform(range(0, 25), lambda k: CAST(unit = k AS DOUBLE)), list_transform(range(1996, 2001), lambda k: CAST(year = k AS DOUBLE)))"
+_FREE = f"""st AS MATERIALIZED (SELECT *, {_Z} AS x FROM {_ST}), {M.least_squares('f', 'SELECT y, x, unit FROM st WHERE treated = 0', 30)},
+rest AS MATERIALIZED (SELECT st.unit, st.year, treated, first_treat, st.x, y - list_dot_product(x, b) AS r FROM st, fb)"""
+_BJS = f"""WITH RECURSIVE {_FREE}, n AS (SELECT count(*) AS n, avg(r) AS att FROM rest WHERE treated = 1),
+need AS MATERIALIZED ({M.vector('(SELECT x FROM rest WHERE treated = 1)', 30, 'x[i]')}),
+a AS (SELECT list_transform(inv, lambda r: list_dot_product(r, v)) AS a FROM fb, need),
+fi AS (SELECT unit, fsum(CASE WHEN treated = 1 THEN r - m ELSE -list_dot_product(x, a) * r END / n) AS f FROM (SELECT *, avg(r) OVER (PARTITION BY first_treat, year, treated) AS m FROM rest), a, n GROUP BY unit)
+SELECT CAST(name AS INTEGER) AS key, b AS att, se, stat, p, low, high, n FROM ({M.inference('SELECT 0 AS name, att AS b, se, CAST(NULL AS DOUBLE) AS df, n FROM n, (SELECT sqrt(fsum(f * f)) AS se FROM fi)', 6, more=', n')})"""
 
-@query("l9_imputation")
+
+@query("l9_imputation", _BJS)
 def _(t):
-    return did.imputation(staggered(t), "y", "treated", "unit", "year")
+    return rounded(did.imputation(staggered(t), "y", "treated", "unit", "year"), 6)
 
 
-@query("l10_gardner")
+@query("l10_gardner", M.regression("SELECT r AS y, [treated]::DOUBLE[] AS x, unit AS cl FROM rest", ["d"], 6, "cluster", before=_FREE + ", "))
 def _(t):
-    return did.gardner(staggered(t), "y", "treated", "unit", "year").coefficients(t.spark)
+    return rounded(did.gardner(staggered(t), "y", "treated", "unit", "year").coefficients(t.spark), 6)
+
+
+_STACK = f"""sr AS MATERIALIZED (SELECT unit, year, stack, y, CAST(first_treat = stack AND year >= stack AS DOUBLE) AS d FROM {_ST}, (VALUES (1997), (1998), (1999)) s(stack) WHERE (first_treat = stack OR first_treat = 0 OR first_treat > stack + 1) AND year BETWEEN stack - 2 AND stack + 1),
+sd AS MATERIALIZED (SELECT y - avg(y) OVER u - avg(y) OVER t + avg(y) OVER a AS y, d - avg(d) OVER u - avg(d) OVER t + avg(d) OVER a AS d FROM sr WINDOW u AS (PARTITION BY stack, unit), t AS (PARTITION BY stack, year), a AS (PARTITION BY stack)), """
+_STACK_DF = "(SELECT count(DISTINCT (stack, unit)) + count(DISTINCT (stack, year)) - 1 FROM sr)"
 
 
-@query("l11_stacked")
+@query("l11_stacked", M.regression("SELECT y, [d]::DOUBLE[] AS x FROM sd", ["d"], 6, df_used=_STACK_DF, before=_STACK))
 def _(t):
-    return did.stacked(staggered(t), "y", "unit", "year", "first_treat", (-2, 1)).coefficients(t.spark)
+    return rounded(did.stacked(staggered(t), "y", "unit", "year", "first_treat", (-2, 1)).coefficients(t.spark), 6)
 
 
 @query("l12_event_study", f"SELECT CAST(year AS INTEGER) AS period, round(gap - max(gap) FILTER (year = 1996) OVER (), 7) AS effect FROM (SELECT year, avg(y) FILTER (ever = 1) - avg(y) FILTER (ever = 0) AS gap FROM {_ST} GROUP BY year)")
@@ -119,6 +156,13 @@ def _(t):
     return out.agg(rnd(F.sum(c("estimate") * c("weight")), 7).alias("total"), rnd(F.sum("weight"), 9).alias("weights"))
 
 
-@query("k12_xtserial")
+_DIFF = f"""df AS MATERIALIZED (SELECT cust, year, spent - lag(spent) OVER w AS y, n - lag(n) OVER w AS n FROM {_CY} WINDOW w AS (PARTITION BY cust ORDER BY year)),
+fd AS (SELECT fsum(n * y) / fsum(n * n) AS b FROM df),
+la AS MATERIALIZED (SELECT * FROM (SELECT cust, e, lag(e) OVER (PARTITION BY cust ORDER BY year) AS l FROM (SELECT cust, year, y - b * n AS e FROM df, fd WHERE y IS NOT NULL)) WHERE l IS NOT NULL), """
+_RHO = M.least_squares("o", "SELECT e / 1e5 AS y, [l / 1e5]::DOUBLE[] AS x, cust AS cl FROM la", 1) + ", " + M.covariance("o", 1, "cluster")
+_RHO_T = "SELECT 'rho' AS name, b[1] + 0.5 AS b, sqrt(v[1][1]) AS se, (SELECT count(DISTINCT cust) - 1.0 FROM la)::DOUBLE AS df FROM ob, ov"
+
+
+@query("k12_xtserial", f"WITH RECURSIVE {_DIFF}{_RHO}, t AS ({_RHO_T}) SELECT round(any_value(t.b) - 0.5, 6) AS rho, round(any_value(t.b * t.b / t.se / t.se), 4) AS f, 1.0 AS df1, any_value(t.df) AS df2, any_value(i.p) AS p FROM t, ({M.inference('SELECT * FROM t', 6)}) i")
 def _(t):
-    return post.xtserial(cust_year(t), "spent", ["n"], "cust", "year")
+    return rounded(post.xtserial(cust_year(t), "spent", ["n"], "cust", "year"), 6).withColumn("f", rnd("f"))
