@@ -13,7 +13,9 @@ from .. import distributions as D
 from .design import Design, _tri, batch_sums, cluster_meat, design, linear, products, sums
 from .fit import Fit
 
-TOL, ROUNDS = 1e-10, 100
+TOL, ROUNDS, FLAT = 1e-10, 100, 5
+#: Counts up to which a batch tabulates them in ``nbreg``.
+MAX_COUNT = 10_000_000
 _erf = np.vectorize(math.erf, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -81,8 +83,13 @@ def _batch_step(d: Design, theta: np.ndarray, kernel: Callable) -> tuple[float,
 
 
 def newton(step: Callable, theta: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """(estimate, log likelihood, information); steps are halved while they lose."""
+    """(estimate, log likelihood, information); steps are halved while they lose.
+
+    Ends when the estimate settles, or when the likelihood has stood still for
+    ``FLAT`` rounds, as with a dispersion that goes to zero; else raises.
+    """
     ll, g, h = step(theta)
+    still = 0
     for _ in range(rounds):
         move = np.linalg.lstsq(h, g, rcond=None)[0]
         size = 1.0
@@ -93,9 +100,10 @@ def newton(step: Callable, theta: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             size /= 2
         theta = theta + size * move
         gain, (ll, g, h) = abs(new[0] - ll), new
-        if gain < TOL * (abs(ll) + TOL) and np.abs(size * move).max() < 1e-7:
-            break
-    return theta, ll, h
+        still = still + 1 if gain < TOL * (abs(ll) + TOL) else 0
+        if still and np.abs(size * move).max() < 1e-7 or still >= FLAT:
+            return theta, ll, h
+    raise ArithmeticError(f"no maximum found in {rounds} rounds")
 
 
 def _finish(d: Design, kind: str, y: str, gamma, ll, info, vcov, scores: list[Column] | None, null_ll: float | None, extra: dict | None = None) -> Fit:
@@ -162,36 +170,39 @@ def probit(df: DataFrame, y: str, xs: list[str], factors: list[str] = (), weight
 
 
 def nbreg(df: DataFrame, y: str, xs: list[str], factors: list[str] = (), exposure: str | None = None, offset: str | None = None) -> Fit:
-    """NB2; the last parameter is ln(alpha), reported in the statistics."""
+    """NB2 of counts; the last parameter is ln(alpha), reported in the statistics.
+
+    Counts that vary no more than Poisson ones give an alpha near zero."""
     extras = [x for x in (exposure, offset) if x]
     d = design(df, y, xs, factors, extras=extras, offset=_exposure(exposure, offset))
+    if not d.rows.filter(f"_y < 0 OR _y > {MAX_COUNT} OR _y <> floor(_y)").isEmpty():
+        raise ValueError(f"{y} holds values that are no counts up to {MAX_COUNT}")
     start = newton(lambda g: _native_step(d, g, "poisson"), np.zeros(len(d.z)))[0]
 
-    def loglik(y, w, xb, la):
-        a = math.exp(la)
-        mu, r = np.exp(xb), 1 / a
-        return (w * (_lgamma(y + r) - math.lgamma(r) - _lgamma(y + 1) - r * np.log1p(a * mu) + y * (la + xb - np.log1p(a * mu)))).sum()
-
     def kernel(x, y, w, o, theta):
         la = theta[-1]
         a, xb = math.exp(la), x @ theta[:-1] + o
         mu = np.exp(xb)
-        den = 1 + a * mu
+        den, rate = 1 + a * mu, np.log1p(a * mu) / a
+        # ln G(y + 1/a) - ln G(1/a) + y ln a is the sum of ln(1 + a j) over j < y, so a
+        # batch needs the weight of the rows above each j; no difference of large terms
+        above = w.sum() - np.cumsum(np.bincount(y.astype(np.int64), weights=w))
+        aj = a * np.arange(len(above))
+        ll = above @ np.log1p(aj) + (w * (y * xb - (1 + a * y) * rate - _lgamma(y + 1))).sum()
         g = x.T @ (w * (y - mu) / den)
         h = (x * (w * mu * (1 + a * y) / den**2)[:, None]).T @ x
         cross = x.T @ (w * (y - mu) * a * mu / den**2)
-        eps = 1e-4
-        up, mid, down = (loglik(y, w, xb, la + e) for e in (eps, 0, -eps))
+        g_la = above @ (aj / (1 + aj)) + (w * (rate - (1 + a * y) * mu / den)).sum()
+        h_la = above @ (aj / (1 + aj) ** 2) + (w * (mu / den - rate - a * mu * (y - mu) / den**2)).sum()
         m = len(theta)
         info = np.zeros((m, m))
-        info[:-1, :-1], info[:-1, -1], info[-1, :-1] = h, cross, cross
-        info[-1, -1] = -(up - 2 * mid + down) / eps**2
-        return mid, np.append(g, (up - down) / (2 * eps)), info
+        info[:-1, :-1], info[:-1, -1], info[-1, :-1], info[-1, -1] = h, cross, cross, -h_la
+        return ll, np.append(g, g_la), info
 
     def step(theta):
         ll, g, info = _batch_step(d, theta, kernel)
-        if info[-1, -1] <= 0:  # far from the optimum ln(alpha) is not concave
-            info[-1, -1] = abs(info[-1, -1]) + 1.0
+        if info[-1, -1] <= 0:  # far from the optimum ln(alpha) is not concave: a step of one at most
+            info[-1, -1] = max(abs(info[-1, -1]), abs(g[-1]), 1e-12)
         return ll, g, info
 
     theta, ll, info = newton(step, np.append(start, -0.5))

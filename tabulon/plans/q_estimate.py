@@ -98,9 +98,13 @@ def _(t):
     return _coef(t, mle.logit(_signed(t), "returned", ["l_discount", "l_tax"], weight="l_quantity", wtype="fweight"))
 
 
-@query("j9_nbreg")
+# the numbers of lines vary less than Poisson counts, so alpha goes to zero and the rest to Poisson estimates
+_FEW = _COUNTS.replace("[ln(o_totalprice), disc, 1]", "[ln(o_totalprice), 1]").replace("ln(o_totalprice) AS o", "0.0 AS o")
+
+
+@query("j9_nbreg", M.likelihood(_FEW, 2, "[0, ln(avg(y))]::DOUBLE[]", _POISSON, *_SCORES) + " " + M.inference(M.effects("o", M.units("lprice", "_cons")), 4))
 def _(t):
-    return _coef(t, mle.nbreg(_counts(t), "n_lines", ["lprice"]))
+    return _coef(t, mle.nbreg(_counts(t), "n_lines", ["lprice"]), 4)
 
 
 # a row's residual over sigma r, its score g by the mean and its curvature h; m: not censored

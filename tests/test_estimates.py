@@ -297,3 +297,15 @@ def test_effects_over_time_match_dense_algebra(spark):
     assert np.isclose(cell["att"], att) and cell["se"] > 0 and cell["n"] == len(treated)
     st = did.stacked(df, "y", "u", "t", "g", (-2, 1), aggregate="event_study", vcov="cluster")
     assert st.names == ["e-2", "e+0", "e+1"] and 0 < st.se("e+0") < 2
+
+
+def test_newton_ends_on_a_ridge_and_raises_without_a_maximum():
+    # the first parameter has its maximum at 2, the second does not matter once it is large
+    def ridge(t):
+        left = np.exp(-np.exp(min(t[1], 6.0)))
+        return -((t[0] - 2) ** 2) - left, np.array([-2 * (t[0] - 2), 1.0]), np.diag([2.0, 1.0])
+
+    theta, ll, _ = mle.newton(ridge, np.zeros(2))
+    assert abs(theta[0] - 2) < 1e-9 and ll > -1e-9
+    with pytest.raises(ArithmeticError):
+        mle.newton(lambda t: (float(t[0]), np.ones(1), np.eye(1)), np.zeros(1))
