@@ -68,3 +68,27 @@ def ascii_lower(word: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def numbered(df: DataFrame, keys: list[str | Column], name: str, number: str) -> DataFrame:
+    """``df`` with the place of each row in the order of ``keys``, from 0, and the
+    partition that holds it, ``_part``.
+
+    Rows are dealt by range, sorted and written once; a place is a row's place
+    in its partition plus the rows of the partitions before, one number a
+    partition.  No task holds more than a partition.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits of a row's place in it
+    rows = materialise(ordered.withColumn("_id", at), name)
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    sizes = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
+    before, total = [], 0
+    for part, size in sizes:
+        before.append((part, total))
+        total += size
+    shifts = spark.createDataFrame(before, "_part bigint, _before bigint")
+    placed = rows.join(F.broadcast(shifts), "_part")  # a row a partition
+    return placed.withColumn(number, F.col("_place") + F.col("_before")).drop("_place", "_before")

@@ -124,5 +124,69 @@ FROM p JOIN m USING (h) JOIN d USING (h)
 """
 
 
+def _crc_steps(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ 0xEDB88320 * (value & 1)
+    return value
+
+
+_NIBBLES = [_crc_steps(n) for n in range(16)]
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of a text's UTF-8, four bits a step."""
+    step = lambda c: f"xor(({_NIBBLES}::BIGINT[])[({c} & 15) + 1], {c} >> 4)"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: {step(step('xor(c, b)'))}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+# a node is known by the digest of the turns up to it; its ancestors are the
+# prefixes of its smallest member
+OP12 = f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos, k, n FROM (
+    SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (SELECT conv_id, list(k ORDER BY pos) AS ks, list(n ORDER BY pos) AS ns FROM o GROUP BY conv_id
+), c AS (
+  SELECT own.*, CAST({_crc("CAST(conv_id AS VARCHAR)")} AS BIGINT) % 6 AS h FROM own
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ks[1:c.h], []), c.ks[c.h + 1:]) AS ks, list_concat(coalesce(b.ns[1:c.h], []), c.ns[c.h + 1:]) AS ns
+  FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), p AS (
+  SELECT conv_id, d, len(ks) AS len, md5(array_to_string(ks[1:d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM r)
+), nodes AS (
+  SELECT d, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = d), '')) AS ends
+  FROM p GROUP BY d, node
+), kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), sums AS (
+  SELECT p.d, p.node, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(u.saved) AS saved
+  FROM nodes u LEFT JOIN kids ON kids.d = u.d AND kids.node = u.node JOIN p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY p.d, p.node
+)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v LEFT JOIN nodes up ON up.d = v.d - 1 AND up.node = v.up LEFT JOIN kids ON kids.d = v.d AND kids.node = v.node
+JOIN sums ON sums.d = v.d AND sums.node = v.node
+"""
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size, CAST({_crc("coalesce(text, '')")} AS BIGINT) AS crc,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, crc) AS rank, count(*) OVER (PARTITION BY source) AS n FROM d
+), f AS (
+  SELECT *, (CAST(rank AS DOUBLE) - (CAST(CAST('0x' || substr(md5('0:' || coalesce(source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0) / CAST(n AS DOUBLE) AS x FROM k
+), p AS (SELECT *, row_number() OVER (ORDER BY x, source NULLS FIRST, rank) - 1 AS place, count(*) OVER () AS total FROM f
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 40 // total AS INTEGER) AS shard,
+  place - ((place * 40 // total) * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_chat": OP5, "op8_warc": OP8, "op9_quality": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_chat": OP5, "op8_warc": OP8, "op9_quality": OP9, "op12_trie": OP12, "op13_shards": OP13}

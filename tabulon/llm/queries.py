@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language_model, linededup, pii, quality, simhash, toxicity, warc
-from .common import blank_words, read
+from . import alignment, bpe, chat, decontaminate, language_model, linededup, pii, quality, sharding, simhash, toxicity, trie, warc
+from .common import blank_words, materialise, read
 
+SHARDS = 40
 #: A key for the query only; a production job takes its own from a secret store.
 PII_KEY = "query key"
 
@@ -117,5 +118,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_and_replace(read(spark, sf_dir, "documents"), key=PII_KEY)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, links = alignment.align(read(spark, sf_dir, "documents"))
+    scores = alignment.score_links(links, alignment.pair_counts(links))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return texts.join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialise(trie.turns(read(spark, sf_dir, "conversations")), "turns")
+    c = F.col("conv_id")
+    rows, convs = trie.with_heads(own, c - c % 100, F.crc32(c.cast("string")) % 6, 5, c % 100 == 0)
+    nodes = trie.prefix_trie(materialise(rows, "turns"), materialise(convs, "conversations"))
+    return nodes.drop("path", "parent")
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(read(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_language_model": op3_language_model, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    found = [op1_decontaminate, op2_line_dedup, op3_language_model, op4_bpe, op5_chat, op6_toxicity, op7_simhash, op8_warc, op9_quality, op10_pii, op11_align, op12_trie, op13_shards]
+    return {f.__name__: f for f in found}
