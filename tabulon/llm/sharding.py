@@ -105,4 +105,4 @@ def write_shards(docs: DataFrame, path: str, n_shards: int, seed: int = 0, sourc
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = whole.repartitionByRange(max(n, n_shards), "shard", "slot").sortWithinPartitions("shard", "slot")
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(whole.schema).parquet(path)
+    return docs.sparkSession.read.schema(whole.schema).parquet(path).select(whole.columns)
