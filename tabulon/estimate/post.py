@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import distributions as D
+from ..operators.rows import lagged as lagged_rows
 from ..operators.rows import number_rows
 from .design import Term, design, products, sums
 from .fit import Fit
@@ -123,10 +124,11 @@ def sample_summary(df: DataFrame, fit: Fit) -> DataFrame:
 
 def xtserial(df: DataFrame, y: str, xs: list[str], panel: str, time: str) -> DataFrame:
     """Wooldridge's test: residuals of the differenced model on their lag, H0 -0.5."""
-    w = Window.partitionBy(panel).orderBy(time)
-    diff = df.select(panel, time, *((F.col(c) - F.lag(c).over(w)).alias(c) for c in (y, *xs)))
+    own = df.select(*dict.fromkeys([panel, time, y, *xs]))
+    lag = lagged_rows(own, {f"_earlier_{c}": c for c in (y, *xs)}, [panel], [time])
+    diff = lag.select(panel, time, *((F.col(c) - F.col(f"_earlier_{c}")).alias(c) for c in (y, *xs)))
     first = ols(diff, y, xs, constant=False)
-    own = with_residuals(diff, first).withColumn("_before", F.lag("_res").over(w))
+    own = lagged_rows(with_residuals(diff, first), {"_before": "_res"}, [panel], [time])
     fit = ols(own, "_res", ["_before"], vcov=("cluster", panel), constant=False)
     t = (fit["_before"] + 0.5) / fit.se("_before")
     groups = own.filter("_before IS NOT NULL").select(panel).distinct().count()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .summary import statistic
+from .quantiles import quantiles, wide
+from .summary import group_statistics
 
 
 def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
@@ -64,15 +65,14 @@ def linear_fit(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def bar(df: DataFrame, col: str, over: list[str], stat: str = "mean") -> DataFrame:
-    return df.dropna(subset=over).groupBy(*over).agg(statistic(stat, F.col(col)).alias(stat))
+def bar(df: DataFrame, col: str, over: list[str], stat: str = "mean", weight: Column | None = None, wtype: str = "aweight") -> DataFrame:
+    return group_statistics(df.dropna(subset=over), {stat: (stat, col)}, over, weight, wtype)
 
 
 def box(df: DataFrame, col: str, over: list[str] = ()) -> DataFrame:
     """(over, q1, median, q3, low, high, n_outside): whiskers at the last values
     within 1.5 interquartile ranges."""
-    q = df.groupBy(*over).agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*over, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q3"))
+    q = wide(quantiles(df, [col], [0.25, 0.5, 0.75], over), list(over), {"q1": (col, 0.25), "median": (col, 0.5), "q3": (col, 0.75)})
     from .windows import _joined
 
     rows = _joined(df.select(*over, F.col(col).cast("double").alias("_v")), q, list(over))

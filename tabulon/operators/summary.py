@@ -2,7 +2,9 @@
 
 Weights: ``fweight`` counts copies, ``aweight`` and ``pweight`` are scaled to
 sum to the number of rows, ``iweight`` is used as it is.  Rows with a weight that
-is null or not positive are left out.
+is null or not positive are left out, and so are NaN values.  Percentiles with a
+weight are those of the midpoint grid, without one they are linear; weighted
+variances are taken about the means of the groups, in a second pass.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import distributions as D
-from .quantiles import quantile7
-from .rows import running_total
+from .quantiles import beside, quantiles
+from .rows import _null_safe, running_total
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
@@ -24,6 +26,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() in NUMERIC]
 
 
+def _value(x: Column) -> Column:
+    """Numbers with NaN as missing."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def _weighted(x: Column, w: Column | None) -> tuple[Column, Column]:
     """(value, weight) of rows that count, null elsewhere."""
     if w is None:
@@ -37,11 +44,12 @@ def wmean(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(v * k), F.sum(k))
 
 
-def wvar(x: Column, w: Column, wtype: str) -> Column:
-    """One-pass variance; values are centred at the mean algebraically, so scale
-    and centre columns with large means first."""
+def wvar(x: Column, w: Column, wtype: str, about: Column | float = 0.0) -> Column:
+    """Variance from sums of deviations from ``about``, which should be near the mean:
+    the closer it is, the less is lost.  ``weighted_moments`` gives it the mean."""
     v, k = _weighted(x, w)
-    s0, s1, s2, n = F.sum(k), F.sum(v * k), F.sum(v * v * k), F.count(k)
+    d = v - about
+    s0, s1, s2, n = F.sum(k), F.sum(d * k), F.sum(d * d * k), F.count(k)
     ss = s2 - s1 * s1 / s0
     if wtype == "fweight":
         out = ss / (s0 - 1)
@@ -49,7 +57,23 @@ def wvar(x: Column, w: Column, wtype: str) -> Column:
         out = ss / s0
     else:
         out = ss * n / s0 / (n - 1)
-    return F.when(n >= 2, out)
+    return F.when(n >= 2, F.greatest(out, F.lit(0.0)))
+
+
+def weighted_moments(df: DataFrame, cols: list[str], weight: Column, wtypes: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, var__<wtype>__<column> …): variances about the weighted means of the groups.
+
+    The means are aggregated first and meet the rows again, so that nothing cancels
+    whatever the size of the values; both passes combine before they shuffle.
+    """
+    by = list(by)
+    keys = [F.col(f"`{b}`") for b in by]
+    own = df.select(*keys, *(_value(F.col(f"`{c}`")).alias(f"_x{i}") for i, c in enumerate(cols)), weight.cast("double").alias("_w"))
+    x, w = [F.col(f"_x{i}") for i in range(len(cols))], F.col("_w")
+    means = own.groupBy(*keys).agg(*(wmean(v, w).alias(f"_m{i}") for i, v in enumerate(x)))
+    rows = _null_safe(own, means, by) if by else own.join(F.broadcast(means))  # one row
+    each = [wvar(v, w, t, F.col(f"_m{i}")).alias(f"var__{t}__{c}") for i, (v, c) in enumerate(zip(x, cols, strict=True)) for t in wtypes]
+    return rows.groupBy(*keys).agg(*each)
 
 
 def effective_n(w: Column) -> Column:
@@ -57,19 +81,22 @@ def effective_n(w: Column) -> Column:
     return F.try_divide(F.sum(k) * F.sum(k), F.sum(k * k))
 
 
+def _percentile(stat: str) -> list[float]:
+    """The percentiles that a statistic needs; none for others."""
+    if stat == "iqr":
+        return [0.25, 0.75]
+    if stat == "median":
+        return [0.5]
+    return [int(stat[1:]) / 100] if stat[0] == "p" and stat[1:].isdigit() else []
+
+
 def statistic(stat: str, x: Column, w: Column | None = None, wtype: str = "aweight", order_by: Column | None = None) -> Column:
-    """An aggregate by name; ``pN`` is the N-th percentile."""
+    """An aggregate by name, of those that one pass can give."""
     v, k = _weighted(x, w)
     if stat in ("first", "last"):
         return (F.min_by if stat == "first" else F.max_by)(x, order_by)
-    if stat == "iqr":
-        return statistic("p75", x) - statistic("p25", x)
     if stat == "range":
         return F.max(v) - F.min(v)
-    if stat in ("median",):
-        return F.percentile(v, F.lit(0.5))
-    if stat[0] == "p" and stat[1:].isdigit():
-        return F.percentile(v, F.lit(int(stat[1:]) / 100))
     if stat in ("n", "count"):
         return F.count(v) if w is None else F.sum(k) if wtype == "fweight" else F.count(k)
     if stat in ("min", "max"):
@@ -77,43 +104,77 @@ def statistic(stat: str, x: Column, w: Column | None = None, wtype: str = "aweig
     if w is None:
         plain = {"mean": F.avg(v), "sum": F.coalesce(F.sum(v), F.lit(0)), "total": F.coalesce(F.sum(v), F.lit(0)), "sd": F.stddev_samp(v), "var": F.var_samp(v)}
         return plain[stat]
-    weighted = {"mean": wmean(x, w), "sum": F.coalesce(F.sum(v * k), F.lit(0.0)), "sd": F.sqrt(wvar(x, w, wtype)), "var": wvar(x, w, wtype)}
+    weighted = {"mean": wmean(x, w), "sum": F.coalesce(F.sum(v * k), F.lit(0.0))}
     return weighted["sum" if stat == "total" else stat]
 
 
-def _long(df: DataFrame, keys: list[str], rows: dict[str, dict[str, str]]) -> DataFrame:
-    """One row a variable from one wide row: variable -> {column: source}."""
-    names = list(next(iter(rows.values())))
-    each = F.array(*(F.struct(F.lit(v).alias("variable"), *(F.col(src[n]).alias(n) for n in names)) for v, src in rows.items()))
-    return df.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.variable", *(f"_x.{n}" for n in names))
+def group_statistics(
+    df: DataFrame,
+    specs: dict[str, tuple[str, str]],
+    by: list[str] = (),
+    weight: Column | None = None,
+    wtype: str = "aweight",
+    order_by: Column | None = None,
+) -> DataFrame:
+    """(by, new columns): new name -> (statistic, column), a row a group.
+
+    What one aggregate can give comes from one; weighted variances take a second
+    pass about the means, percentiles the plans of ``quantiles``; all meet by group.
+    """
+    by = list(by)
+    keys = [F.col(f"`{b}`") for b in by]
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+
+    def source(col: str) -> Column:
+        x = F.col(f"`{col}`")
+        return _value(x).cast(kinds[col]) if kinds[col] in ("float", "double") else x
+
+    late = {n: sv for n, sv in specs.items() if _percentile(sv[0]) or (weight is not None and sv[0] in ("sd", "var"))}
+    plain = [statistic(s, source(v), weight, wtype, order_by).alias(n) for n, (s, v) in specs.items() if n not in late]
+    out = df.groupBy(*keys).agg(*(plain or [F.count("*").alias("_rows")]))
+    spread = {n: sv for n, sv in late.items() if not _percentile(sv[0])}
+    if spread:
+        found = weighted_moments(df, list(dict.fromkeys(v for _, v in spread.values())), weight, [wtype], by)
+        var = lambda v: F.col(f"`var__{wtype}__{v}`")
+        table = found.select(*keys, *((F.sqrt(var(v)) if s == "sd" else var(v)).alias(n) for n, (s, v) in spread.items()))
+        out = _null_safe(out, table, by, "left") if by else out.join(F.broadcast(table))  # one row
+    ranks = {n: sv for n, sv in late.items() if _percentile(sv[0])}
+    if ranks:
+        ps = sorted({p for s, _ in ranks.values() for p in _percentile(s)})
+        q = quantiles(df, list(dict.fromkeys(v for _, v in ranks.values())), ps, by, weight, midpoint=weight is not None)
+        named = {f"_q{i}_{k}": (v, p) for i, (s, v) in enumerate(ranks.values()) for k, p in enumerate(_percentile(s))}
+        out = beside(out, q, by, named)
+        got = {n: F.col(f"_q{i}_1") - F.col(f"_q{i}_0") if s == "iqr" else F.col(f"_q{i}_0") for i, (n, (s, _)) in enumerate(ranks.items())}
+        out = out.withColumns(got).drop(*named)
+    return out.select(*keys, *(F.col(f"`{n}`") for n in specs))
 
 
 def summarize(df: DataFrame, *cols: str, weight: Column | None = None, wtype: str = "aweight", by: list[str] = (), detail: bool = False) -> DataFrame:
-    """(by, variable, n, mean, sd, min, max[, p1 … p99]), one pass over all columns."""
-    cols = list(cols) or [c for c in numeric_columns(df) if c not in by]
-    stats = ["n", "mean", "sd", "min", "max"]
-    aggs = [statistic(s, F.col(c).cast("double"), weight, wtype).alias(f"{s}__{c}") for c in cols for s in stats]
-    rows = {c: {s: f"{s}__{c}" for s in stats} for c in cols}
-    out = _long(df.groupBy(*by).agg(*aggs), list(by), rows)
-    return _with_percentiles(df, out, cols, list(by), PERCENTILES) if detail else out
-
-
-def _with_percentiles(df: DataFrame, out: DataFrame, cols: list[str], by: list[str], percentiles) -> DataFrame:
-    """``out`` (by, variable, …) with a column p<N> for each percentile."""
-    q = quantile7(df, cols, [p / 100 for p in percentiles], by)
-    at = lambda p: F.max(F.when(F.col("p") == p / 100, F.col("q"))).alias(f"p{p}")
-    wide = q.groupBy(*by, "variable").agg(*(at(p) for p in percentiles))
-    keys = [*by, "variable"]
-    named = wide.select(*(F.col(k).alias(f"_q_{k}") for k in keys), *(f"p{p}" for p in percentiles))
-    return out.join(named, [out[k].eqNullSafe(named[f"_q_{k}"]) for k in keys], "left").drop(*(f"_q_{k}" for k in keys))
+    """(by, variable, n, mean, sd, min, max[, p1 … p99]).  NaN counts as missing."""
+    cols, by = list(cols) or [c for c in numeric_columns(df) if c not in by], list(by)
+    stats = ["n", "mean", "sd", "min", "max", *(f"p{p}" for p in PERCENTILES if detail)]
+    return _many(df, cols, stats, by, weight, wtype, "variable")
+
+
+def _many(df: DataFrame, cols: list[str], stats: list[str], by: list[str], weight: Column | None, wtype: str, rows: str) -> DataFrame:
+    """Statistics of several columns: (by, variable, one column a statistic) or (by,
+    stat, one column a variable)."""
+    w = [] if weight is None else [weight.alias("_w")]
+    keys = [F.col(f"`{b}`") for b in by]
+    own = df.select(*keys, *(_value(F.col(f"`{c}`")).alias(f"_x{i}") for i, c in enumerate(cols)), *w)
+    specs = {f"{s}__{i}": (s, f"_x{i}") for s in stats for i in range(len(cols))}
+    wide = group_statistics(own, specs, by, F.col("_w") if w else None, wtype)
+    if rows == "variable":
+        each = [F.struct(F.lit(c).alias("variable"), *(F.col(f"{s}__{i}").alias(s) for s in stats)) for i, c in enumerate(cols)]
+    else:
+        each = [F.struct(F.lit(s).alias("stat"), *(F.col(f"{s}__{i}").cast("double").alias(c) for i, c in enumerate(cols))) for s in stats]
+    return wide.select(*keys, F.explode(F.array(*each)).alias("_x")).select(*keys, "_x.*")
 
 
 def tabstat(df: DataFrame, cols: list[str], stats: list[str], by: list[str] = (), weight: Column | None = None, wtype: str = "aweight") -> DataFrame:
     """(by, stat, one column a variable); null groups are dropped."""
-    df = df.dropna(subset=list(by)) if by else df
-    aggs = [statistic(s, F.col(c).cast("double"), weight, wtype).cast("double").alias(f"{s}__{c}") for s in stats for c in cols]
-    each = F.array(*(F.struct(F.lit(s).alias("stat"), *(F.col(f"{s}__{c}").alias(c) for c in cols)) for s in stats))
-    return df.groupBy(*by).agg(*aggs).select(*by, F.explode(each).alias("_x")).select(*by, "_x.stat", *(f"_x.{c}" for c in cols))
+    df = df.dropna(subset=[f"`{b}`" for b in by]) if by else df
+    return _many(df, list(cols), list(stats), list(by), weight, wtype, "stat")
 
 
 def tab1(df: DataFrame, col: str, weight: Column | None = None, missing: bool = False, sort: bool = False) -> DataFrame:
@@ -150,8 +211,8 @@ def collapse(
     keep_missing: bool = False,
 ) -> DataFrame:
     """Group statistics: new name -> (statistic, column)."""
-    df = df.dropna(subset=list(by)) if by and not keep_missing else df
-    return df.groupBy(*by).agg(*(statistic(s, F.col(v), weight, wtype, order_by).alias(n) for n, (s, v) in specs.items()))
+    df = df.dropna(subset=[f"`{b}`" for b in by]) if by and not keep_missing else df
+    return group_statistics(df, specs, by, weight, wtype, order_by)
 
 
 def contract(df: DataFrame, *cols: str, freq: str = "freq", nomiss: bool = False) -> DataFrame:
@@ -201,7 +262,9 @@ def codebook(df: DataFrame, *cols: str, top: int = 3) -> DataFrame:
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if not numeric:
         return out.withColumns({f"p{p}": F.lit(None).cast("double") for p in (25, 50, 75)})
-    return _with_percentiles(df, out, numeric, [], (25, 50, 75))
+    q = quantiles(df, numeric, [0.25, 0.5, 0.75])
+    at = lambda p: F.max(F.when(F.col("p") == p / 100, F.col("q"))).alias(f"p{p}")
+    return _null_safe(out, q.groupBy("variable").agg(at(25), at(50), at(75)), ["variable"], "left")
 
 
 def levelsof(df: DataFrame, col: str) -> DataFrame:

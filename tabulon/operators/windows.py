@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import quantile7
-from .rows import _ordered, number_rows, running_total
+from .rows import lagged, number_rows, running_total
 
 
-def number(df: DataFrame, order_by, by: list[str] = (), n: str = "_n", size: str = "_N") -> DataFrame:
-    """The row number and the size of the group, or of the whole table."""
-    if by:
-        w = Window.partitionBy(*by)
-        return df.withColumns({n: F.row_number().over(w.orderBy(*_ordered(order_by))).cast("bigint"), size: F.count("*").over(w)})
-    return number_rows(df, order_by, n).withColumn(size, F.lit(df.count()))
+def number(df: DataFrame, order_by, by: list[str] = (), n: str = "_n", size: str = "_n_all") -> DataFrame:
+    """The row number and the size of the group, or of the whole table.  Names ignore
+    case, so that ``_N`` cannot stand beside ``_n``."""
+    return number_rows(df, order_by, n, by, size)
 
 
 def egen(df: DataFrame, new: str, fn: str, col: str, by: list[str] = (), where: Column | None = None) -> DataFrame:
@@ -59,11 +57,7 @@ def rank(df: DataFrame, new: str, col: str, by: list[str] = ()) -> DataFrame:
     ranked before they are joined back, over all rows by range."""
     by = list(by)
     ties = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_k"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        ties = ties.withColumn("_cum", F.sum("_k").over(w))
-    else:
-        ties = running_total(ties, [col], F.col("_k"), "_cum")
+    ties = running_total(ties, [col], F.col("_k"), "_cum", by)
     return _joined(df, ties.select(*by, col, (F.col("_cum") - (F.col("_k") - 1) / 2).alias(new)), [*by, col])
 
 
@@ -74,14 +68,12 @@ def group_id(df: DataFrame, new: str, *cols: str) -> DataFrame:
 
 
 def tag(df: DataFrame, new: str, keys: list[str], order_by) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*_ordered(order_by))
-    return df.withColumn(new, (F.row_number().over(w) == 1).cast("int"))
+    """1 for the first row of each group, else 0."""
+    return number_rows(df, order_by, "_tag_n", keys).withColumn(new, (F.col("_tag_n") == 1).cast("int")).drop("_tag_n")
 
 
 def seq(df: DataFrame, new: str, order_by, by: list[str] = ()) -> DataFrame:
-    if by:
-        return df.withColumn(new, F.row_number().over(Window.partitionBy(*by).orderBy(*_ordered(order_by))).cast("bigint"))
-    return number_rows(df, order_by, new)
+    return number_rows(df, order_by, new, by)
 
 
 def rowwise(df: DataFrame, new: str, fn: str, *cols: str) -> DataFrame:
@@ -106,5 +98,6 @@ def concat(df: DataFrame, new: str, *cols: str, na: str = "nan") -> DataFrame:
 
 
 def difference(df: DataFrame, new: str, col: str, panel: str, time: str, lag: int = 1) -> DataFrame:
-    w = Window.partitionBy(panel).orderBy(time)
-    return df.withColumn(new, F.col(col) - F.lag(col, lag).over(w))
+    """The change of ``col`` since ``lag`` rows before in the panel."""
+    out = lagged(df, {"_lagged": col}, [panel], [time], lag)
+    return out.withColumn(new, F.col(col) - F.col("_lagged")).drop("_lagged")

@@ -25,14 +25,23 @@ def _(t):
     return R.head(t.orders, 25, ["-o_totalprice", "o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-@query("f4_sample_percent")
+# which rows are drawn is chance; how many, and that all are rows of the table, is not
+@query("f4_sample_percent", "SELECT CAST(round(count(*) * 0.1) AS BIGINT) AS n, CAST(round(count(*) * 0.1) AS BIGINT) AS of_the_table FROM lineitem")
 def _(t):
-    return R.sample_percent(t.customer, 10)
+    drawn = R.sample_percent(t.lineitem, 10)
+    rows = t.lineitem.groupBy(*t.lineitem.columns).agg(F.count("*").alias("k"))
+    got = drawn.groupBy(*drawn.columns).agg(F.count("*").alias("m")).join(rows, drawn.columns)
+    return got.agg(F.sum("m").alias("n"), F.sum(F.least("m", "k")).alias("of_the_table"))
 
 
-@query("f5_sample_rows")
+@query("f5_sample_rows", "SELECT CAST(2000 AS BIGINT) AS n, CAST(1 AS INTEGER) AS statuses_in_proportion")
 def _(t):
-    return R.sample_rows(t.orders, 100)
+    drawn = R.sample_rows(t.orders.select("o_orderstatus", "o_orderpriority"), 2000)
+    # five standard errors of a share
+    share = lambda rows: rows.groupBy("o_orderstatus").agg(F.count("*").alias("k")).withColumn("s", F.col("k") / rows.count())
+    a, b = share(drawn), share(t.orders).select("o_orderstatus", F.col("s").alias("p"))
+    off = F.max(F.abs(F.coalesce("s", F.lit(0)) - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / 2000 + 1e-12))
+    return b.join(a, "o_orderstatus", "left").agg(F.sum("k").alias("n"), (off < 5).cast("int").alias("statuses_in_proportion"))
 
 
 @query("g1_append", "SELECT c_custkey AS key, c_acctbal AS bal, c_mktsegment AS seg, 0 AS source FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, 1 FROM supplier")

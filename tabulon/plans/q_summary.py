@@ -31,9 +31,10 @@ def _(t):
 
 @query("d3_weighted", "SELECT l_returnflag, round(sum(l_tax * l_quantity) / sum(l_quantity), 6) AS mean, round((sum(l_tax * l_tax * l_quantity) - power(sum(l_tax * l_quantity), 2) / sum(l_quantity)) / (sum(l_quantity) - 1), 8) AS fvar, round((sum(l_tax * l_tax * l_quantity) - power(sum(l_tax * l_quantity), 2) / sum(l_quantity)) * count(*) / sum(l_quantity) / (count(*) - 1), 8) AS avar, round((sum(l_tax * l_tax * l_quantity) - power(sum(l_tax * l_quantity), 2) / sum(l_quantity)) / sum(l_quantity), 8) AS ivar FROM lineitem GROUP BY 1")
 def _(t):
-    x, w = c("l_tax"), c("l_quantity")
-    var = {f"{k[0]}var": rnd(S.wvar(x, w, k), 8) for k in ("fweight", "aweight", "iweight")}
-    return t.lineitem.groupBy("l_returnflag").agg(rnd(S.wmean(x, w), 6).alias("mean"), *(v.alias(k) for k, v in var.items()))
+    kinds, w = ("fweight", "aweight", "iweight"), c("l_quantity")
+    var = S.weighted_moments(t.lineitem, ["l_tax"], w, list(kinds), ["l_returnflag"])
+    mean = S.collapse(t.lineitem, {"mean": ("mean", "l_tax")}, ["l_returnflag"], weight=w)
+    return mean.join(var, "l_returnflag").select("l_returnflag", rnd("mean", 6).alias("mean"), *(rnd(f"var__{k}__l_tax", 8).alias(f"{k[0]}var") for k in kinds))
 
 
 _MID = """(SELECT {by}x, (cw - w / 2) / tw AS g FROM (SELECT {by}{col} AS x, CAST({w} AS DOUBLE) AS w, sum({w}) OVER ({part}ORDER BY {col}, {w} ROWS UNBOUNDED PRECEDING) AS cw, sum({w}) OVER ({over}) AS tw FROM {table}))"""
@@ -70,11 +71,47 @@ def _(t):
     return _round(S.tabstat(t.customer, ["c_acctbal"], ["n", "mean", "sd", "median", "iqr", "range"], ["c_mktsegment"]), "c_acctbal")
 
 
-@query("d9_collapse", "SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean_price, round(stddev_samp(l_extendedprice), 4) AS sd_price, round(median(l_quantity), 4) AS med_qty, round(sum(l_quantity), 2) AS sum_qty, count(l_quantity) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+@query("d9_collapse", "SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean_price, round(stddev_samp(l_extendedprice), 4) AS sd_price, round(median(l_quantity), 4) AS med_qty, round(sum(l_quantity), 2) AS sum_qty, count(l_quantity) AS n FROM lineitem GROUP BY ALL")
 def _(t):
-    lines = t.lineitem.filter(c("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     specs = {"mean_price": ("mean", "l_extendedprice"), "sd_price": ("sd", "l_extendedprice"), "med_qty": ("median", "l_quantity"), "sum_qty": ("sum", "l_quantity"), "n": ("count", "l_quantity")}
-    return _round(_round(S.collapse(lines, specs, ["l_returnflag", "l_linestatus"]), "mean_price", "sd_price", "med_qty"), "sum_qty", digits=2)
+    return _round(_round(S.collapse(t.lineitem, specs, ["l_returnflag", "l_linestatus"]), "mean_price", "sd_price", "med_qty"), "sum_qty", digits=2)
+
+
+def _mid_by(table, by, col, ps, w):
+    """SQL of (by, p, q) on the midpoint grid, by groups."""
+    grid = f"SELECT {by}, {col} AS x, (sum({w}) OVER (PARTITION BY {by} ORDER BY {col}, {w} ROWS UNBOUNDED PRECEDING) - {w} / 2) / sum({w}) OVER (PARTITION BY {by}) AS g FROM {table}"
+    near = "max(g) FILTER (g <= p) AS g0, arg_max(x, g) FILTER (g <= p) AS x0, min(g) FILTER (g >= p) AS g1, arg_min(x, g) FILTER (g >= p) AS x1"
+    between = "CASE WHEN g0 IS NULL THEN x1 WHEN g1 IS NULL OR g1 = g0 THEN x0 ELSE x0 + (x1 - x0) * (p - g0) / (g1 - g0) END"
+    return f"(SELECT {by}, p, {between} AS q FROM (SELECT {by}, p, {near} FROM ({grid}), (SELECT CAST(unnest({list(ps)}) AS DOUBLE) AS p) GROUP BY {by}, p))"
+
+
+# about the mean, since a sum of squares loses the digits that matter
+def _var_by(table, by, col, w, denominator):
+    return f"(SELECT {by}, sum({w} * power({col} - m, 2)) / ({denominator}) AS v FROM {table} JOIN (SELECT {by}, sum({col} * {w}) / sum({w}) AS m FROM {table} GROUP BY 1) USING ({by}) GROUP BY {by})"
+
+
+_LW = "(SELECT 1 AS one, l_extendedprice, l_quantity FROM lineitem)"
+
+
+@query("d2_weighted_detail", f"WITH q AS {_mid_by(_LW, 'one', 'l_extendedprice', [p / 100 for p in S.PERCENTILES], 'l_quantity')} SELECT 'l_extendedprice' AS variable, n, round(mean, 4) AS mean, round(sqrt(v), 4) AS sd, min, max, {', '.join(f'(SELECT round(q, 4) FROM q WHERE p = {p / 100}) AS p{p}' for p in S.PERCENTILES)} FROM (SELECT sum(l_quantity) AS n, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS mean, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem), {_var_by(_LW, 'one', 'l_extendedprice', 'l_quantity', 'sum(l_quantity) - 1')}")
+def _(t):
+    out = S.summarize(t.lineitem, "l_extendedprice", weight=c("l_quantity"), wtype="fweight", detail=True)
+    return _round(out, "mean", "sd", *(f"p{p}" for p in S.PERCENTILES))
+
+
+_CW = "(SELECT *, 1.0 + c_nationkey AS w FROM customer)"
+
+
+@query("d8_tabstat_weighted", f"WITH q AS {_mid_by(_CW, 'c_mktsegment', 'c_acctbal', [0.1, 0.25, 0.5, 0.75], 'w')}, v AS {_var_by(_CW, 'c_mktsegment', 'c_acctbal', 'w', 'sum(w) / count(*) * (count(*) - 1)')} SELECT c_mktsegment, 'sd' AS stat, round(sqrt(v), 4) AS c_acctbal FROM v UNION ALL SELECT c_mktsegment, 'median', round(q, 4) FROM q WHERE p = 0.5 UNION ALL SELECT c_mktsegment, 'p10', round(q, 4) FROM q WHERE p = 0.1 UNION ALL SELECT c_mktsegment, 'iqr', round(max(q) FILTER (p = 0.75) - max(q) FILTER (p = 0.25), 4) FROM q GROUP BY 1")
+def _(t):
+    rows = t.customer.withColumn("w", F.lit(1.0) + c("c_nationkey"))
+    return _round(S.tabstat(rows, ["c_acctbal"], ["sd", "median", "p10", "iqr"], ["c_mktsegment"], weight=c("w")), "c_acctbal")
+
+
+@query("d9_collapse_weighted", f"WITH q AS {_mid_by('lineitem', 'l_suppkey', 'l_extendedprice', [0.5, 0.9], 'l_quantity')}, v AS {_var_by('lineitem', 'l_suppkey', 'l_extendedprice', 'l_quantity', 'sum(l_quantity) / count(*) * (count(*) - 1)')} SELECT l_suppkey, round(mean, 4) AS mean, round(sqrt(v), 4) AS sd, (SELECT round(any_value(q), 4) FROM q WHERE q.l_suppkey = m.l_suppkey AND p = 0.5) AS med, (SELECT round(any_value(q), 4) FROM q WHERE q.l_suppkey = m.l_suppkey AND p = 0.9) AS p90 FROM (SELECT l_suppkey, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS mean FROM lineitem GROUP BY 1) m JOIN v USING (l_suppkey)")
+def _(t):
+    specs = {"mean": ("mean", "l_extendedprice"), "sd": ("sd", "l_extendedprice"), "med": ("median", "l_extendedprice"), "p90": ("p90", "l_extendedprice")}
+    return _round(S.collapse(t.lineitem, specs, ["l_suppkey"], weight=c("l_quantity")), *specs)
 
 
 @query("d10_contract", "SELECT user_id, event_type, freq, CAST(sum(freq) OVER (ORDER BY freq DESC, user_id, event_type ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cfreq, round(freq * 100.0 / sum(freq) OVER (), 4) AS percent FROM (SELECT user_id, event_type, count(*) AS freq FROM events GROUP BY ALL)")
