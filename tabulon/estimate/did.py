@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from ..operators.quantiles import quantile7
 from ..operators.windows import _joined
 from ..storage import stable
 from .design import Term
@@ -38,7 +39,10 @@ def post_indicator(df: DataFrame, time: str, post_periods: list | None = None, r
     """Given periods, else later than the reference, else later than the median."""
     if post_periods is not None:
         return F.col(time).isin(post_periods).cast("int")
-    cut = reference if reference is not None else df.agg(F.percentile(time, F.lit(0.5))).first()[0]
+    if reference is None:
+        middle = quantile7(df, [time], [0.5]).first()
+        reference = middle["q"] if middle else None
+    cut = reference
     return (F.col(time) > F.lit(cut)).cast("int")
 
 
@@ -50,11 +54,13 @@ def did2x2(df: DataFrame, y: str, treated: str, post: Column, covariates: list[s
         fit = ols(own, y, [treated, "_post", "_inter", *covariates])
         return fit.coefficients(df.sparkSession).filter("name = '_inter'").select(F.lit("did").alias("name"), "b", "se", "stat", "p", "low", "high")
     cells = own.dropna(subset=[y, treated]).groupBy(treated, "_post").agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.var_samp(y).alias("v"))
-    c = {(int(r[0]), int(r[1])): r for r in cells.collect()}
+    c = {(int(r[0]), int(r[1])): r for r in cells.collect() if r[1] is not None}
+    if missing := [f"{treated} = {i}, post = {j}" for i in (0, 1) for j in (0, 1) if (i, j) not in c]:
+        raise ValueError(f"no rows with {'; '.join(missing)}")
     b = (c[1, 1]["m"] - c[1, 0]["m"]) - (c[0, 1]["m"] - c[0, 0]["m"])
     rss = sum((r["n"] - 1) * (r["v"] or 0) for r in c.values())
     n = sum(r["n"] for r in c.values())
-    var = rss / (n - 4) * sum(1 / r["n"] for r in c.values())
+    var = rss / (n - 4) * sum(1 / r["n"] for r in c.values()) if n > 4 else math.nan
     fit = Fit("did", y, [], np.array([b]), np.array([[var]]), n, n - 4)
     return df.sparkSession.createDataFrame([fit._row("did", b, var, 95)], COEF)
 
@@ -82,10 +88,29 @@ def _panel(df: DataFrame, y: str, unit: str, time: str, first: str, covariates:
     return own.dropna()
 
 
-def _differences(own: DataFrame, k: int) -> DataFrame:
-    """(u, cohort, t, g, d, x0 …): long differences from the period before treatment,
-    of each cohort and of the never treated; ``x`` are the covariates before it."""
-    bases = own.sparkSession.createDataFrame([(g, g - 1) for g in _cohorts(own, "g")] or [(0, 0)], "cohort int, base int")
+def _bases(own: DataFrame, always: str) -> list[tuple]:
+    """(cohort, base): the last period before treatment in which both the cohort and
+    the never treated are observed, so that periods need not follow each other.
+
+    Cohorts without one, treated from the start, are an error or, with ``always``
+    "drop", left out.
+    """
+    seen: dict = {}
+    for r in _small(own.select("g", "t").distinct()):
+        seen.setdefault(r["g"], set()).add(r["t"])
+    never, bases, without = seen.get(0, set()), [], []
+    for g in sorted(g for g in seen if g):
+        before = [t for t in seen[g] & never if t < g]
+        bases.append((g, max(before))) if before else without.append(g)
+    if without and never and always != "drop":
+        raise ValueError(f"cohorts {without} are not observed before their treatment beside never-treated units")
+    return bases
+
+
+def _differences(own: DataFrame, k: int, always: str = "raise") -> DataFrame:
+    """(u, cohort, t, g, d, x0 …): long differences from the last period observed before
+    treatment, of each cohort and of the never treated; ``x`` are the covariates then."""
+    bases = own.sparkSession.createDataFrame(_bases(own, always) or [(0, 0)], "cohort int, base int")
     # each unit's base outcome, for its own cohort or, if never treated, for all
     pre = own.join(F.broadcast(bases), own["t"] == F.col("base")).filter((F.col("g") == F.col("cohort")) | (F.col("g") == 0))
     pre = pre.select("u", "cohort", F.col("y").alias("y0"), *(f"x{j}" for j in range(k)))
@@ -143,11 +168,12 @@ def _effect_row(key: int, att: float, se: float | None, n: int, level: float = 9
     return (int(key), *row[1:], int(n))
 
 
-def att_gt(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str] = ()) -> DataFrame:
-    """(g, t, att, se, n): differences from the period before treatment, against
-    never-treated units (Callaway and Sant'Anna), with covariates by regression."""
+def att_gt(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str] = (), always: str = "raise") -> DataFrame:
+    """(g, t, att, se, n): differences from the last period observed before treatment,
+    against never-treated units (Callaway and Sant'Anna), with covariates by
+    regression.  ``always`` is "raise" or "drop" for cohorts never seen untreated."""
     k = len(covariates)
-    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k))
+    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k, always))
     cells = _cells(d, k)
     order = sorted(cells)
     ses = _influence(d, cells, {c: [(i, 1.0)] for i, c in enumerate(order)}, k)
@@ -155,11 +181,11 @@ def att_gt(df: DataFrame, y: str, unit: str, time: str, first: str, covariates:
     return df.sparkSession.createDataFrame(rows, "g int, t int, att double, se double, n bigint")
 
 
-def callaway_santanna(df: DataFrame, y: str, unit: str, time: str, first: str, aggregate: str = "simple", covariates: list[str] = (), level: float = 95) -> DataFrame:
+def callaway_santanna(df: DataFrame, y: str, unit: str, time: str, first: str, aggregate: str = "simple", covariates: list[str] = (), level: float = 95, always: str = "raise") -> DataFrame:
     """(key, att, se, stat, p, low, high, n): simple, group or event_study aggregates
     of ATT(g, t), by the numbers of treated units."""
     k = len(covariates)
-    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k))
+    d = stable(_differences(_panel(df, y, unit, time, first, list(covariates)), k, always))
     cells = _cells(d, k)
     name = {"simple": lambda g, t: 0, "group": lambda g, t: g, "event_study": lambda g, t: t - g}[aggregate]
     used = {c: name(*c) for c in cells if aggregate == "event_study" or c[1] >= c[0]}

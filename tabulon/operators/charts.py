@@ -27,27 +27,47 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     return out.select("bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n", (F.col("n") / (n * width)).alias("density"))
 
 
-def kdensity(df: DataFrame, col: str, factor: float | None = None, points: int = 300, bins: int | None = None) -> DataFrame:
+#: Bins to a bandwidth of the binned estimate, and bandwidths beyond which a kernel is nothing.
+FINE, REACH = 64, 9
+
+
+def kdensity(df: DataFrame, col: str, factor: float | None = None, points: int = 300, bins: int | None = None, exact: bool = False) -> DataFrame:
     """(x, density): a Gaussian kernel estimate from min - sd to max + sd.
 
-    ``factor`` times the standard deviation is the bandwidth, by default
-    n^(-1/5).  Values are first added up a distinct value, or with ``bins`` a bin
-    of a fine grid (fast, approximate), and each then meets every point.
+    ``factor`` times the standard deviation is the bandwidth h, by default n^(-1/5).
+    Each value is shared between the two grid points around it (linear binning), the
+    grid has ``bins`` steps or ``FINE`` to a bandwidth, and what the points gather is
+    convolved with the kernel where it is within ``REACH`` bandwidths.  The density is
+    off by d^2 / (8 h^3 sqrt(2 pi)) at most, d being a step: 1 / 32,768 of a kernel's
+    peak.  The convolution's work depends on ``points`` and ``FINE`` alone, not on
+    how many values there are.  ``exact`` takes the distinct values as they are.
+
+    Null and NaN values do not count.  Without two different values there is no
+    bandwidth, and no row.
     """
-    r = df.agg(F.count(col), F.min(col), F.max(col), F.stddev_samp(col)).first()
+    v = F.nanvl(F.col(f"`{col}`").cast("double"), F.lit(None).cast("double"))
+    own = df.select(v.alias("v")).filter("v IS NOT NULL")
+    r = own.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v")).first()
+    if r[0] < 2 or not r[3]:
+        return df.sparkSession.createDataFrame([], "x double, density double")
     n, low, high, sd = r[0], float(r[1]), float(r[2]), float(r[3])
     h = (factor or n ** (-1 / 5)) * sd
     a, step = low - sd, (high - low + 2 * sd) / (points - 1)
-    v = F.col(col).cast("double")
-    if bins:
-        w = (high - low) / bins
-        v = low + (F.least(F.floor((v - low) / w), F.lit(bins - 1)) + 0.5) * w
-    values = df.filter(F.col(col).isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("k"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i)
+    if exact:
+        values = own.groupBy("v").agg(F.count("*").cast("double").alias("k"))
+    else:
+        d = (high - low) / (bins or math.ceil(FINE * (high - low) / h))
+        at = (F.col("v") - low) / d
+        cell = F.floor(at)
+        shares = F.array(F.struct(cell.alias("b"), (1 - (at - cell)).alias("s")), F.struct((cell + 1).alias("b"), (at - cell).alias("s")))
+        values = own.select(F.inline(shares)).groupBy("b").agg(F.sum("s").alias("k")).filter("k > 0").select((low + F.col("b") * d).alias("v"), "k")
+    first = F.greatest(F.ceil((F.col("v") - REACH * h - a) / step), F.lit(0))
+    last = F.least(F.floor((F.col("v") + REACH * h - a) / step), F.lit(points - 1))
+    each = values.select("v", "k", F.explode(F.when(first <= last, F.sequence(first, last))).alias("i"))
     z = (F.col("v") - (a + F.col("i") * step)) / h
-    each = values.select("v", "k", F.explode(grid).alias("i"))
-    dens = each.groupBy("i").agg((F.sum(F.col("k") * F.exp(-z * z / 2)) / (n * h * math.sqrt(2 * math.pi))).alias("density"))
-    return dens.select((a + F.col("i") * step).alias("x"), "density")
+    dens = each.groupBy("i").agg((F.sum(F.col("k") * F.exp(-z * z / 2)) / (n * h * math.sqrt(2 * math.pi))).alias("d"))
+    grid = df.sparkSession.range(points).select(F.col("id").alias("i"))
+    return grid.join(dens, "i", "left").select((a + F.col("i") * step).alias("x"), F.coalesce("d", F.lit(0.0)).alias("density"))
 
 
 def scatter(df: DataFrame, y: str, x: str, by: list[str] = (), cells: int = 50) -> DataFrame:

@@ -10,7 +10,8 @@ from ..storage import stable
 
 def _ordered(keys) -> list[Column]:
     """Ascending keys; ``-key`` descends; missing last both ways."""
-    return [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in ([keys] if isinstance(keys, str) else keys)]
+    name = lambda k: F.col(f"`{k}`")
+    return [F.desc_nulls_last(name(k[1:])) if k.startswith("-") else F.asc_nulls_last(name(k)) for k in ([keys] if isinstance(keys, str) else keys)]
 
 
 def sort(df: DataFrame, *keys: str) -> DataFrame:
@@ -43,10 +44,10 @@ def _segments(parts: DataFrame, by: list[str], value: Column) -> DataFrame:
     partitions, and in the whole segment.  A segment is a run of partitions, so this
     table has a row a segment and a row a partition at most, and no window of it has
     more rows than there are partitions."""
-    sums = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
-    w = Window.partitionBy(*by)
+    sums = parts.groupBy(*_named(by), "_part").agg(F.sum(value).alias("_s"))
+    w = Window.partitionBy(*_named(by))
     before = F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    return sums.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_shift"), F.sum("_s").over(w).alias("_all"))
+    return sums.select(*_named(by), "_part", F.coalesce(before, F.lit(0)).alias("_shift"), F.sum("_s").over(w).alias("_all"))
 
 
 def running_total(df: DataFrame, order_by, value: Column, new: str, by: list[str] = (), total: str | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def running_total(df: DataFrame, order_by, value: Column, new: str, by: list[str
     """
     by, keys = list(by), [order_by] if isinstance(order_by, str) else list(order_by)
     parts = dealt(df.withColumn("_value", value), [*by, *keys])
-    own = F.sum("_value").over(Window.partitionBy(*by, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    own = F.sum("_value").over(Window.partitionBy(*_named(by), "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
     if by:
         out = _null_safe(parts.withColumn("_own", own), _segments(parts, by, F.col("_value")), [*by, "_part"])
     else:
@@ -85,10 +86,10 @@ def number_rows(df: DataFrame, order_by, new: str = "_n", by: list[str] = (), si
     parts = dealt(df, [*by, *keys])
     if by:
         # where the segment begins in each of its partitions
-        sums = parts.groupBy(*by, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_s"))
-        w = Window.partitionBy(*by)
+        sums = parts.groupBy(*_named(by), "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_s"))
+        w = Window.partitionBy(*_named(by))
         before = F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        shifts = sums.select(*by, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_s").over(w).alias("_all"))
+        shifts = sums.select(*_named(by), "_part", (before - F.col("_first")).alias("_shift"), F.sum("_s").over(w).alias("_all"))
         out = _null_safe(parts, shifts, [*by, "_part"])
     else:
         sums = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
@@ -113,7 +114,7 @@ def lagged(df: DataFrame, cols: dict[str, str], by: list[str], order_by, lag: in
     """
     by = list(by)
     rows = stable(number_rows(df, order_by, "_row_of_segment", by))
-    before = rows.select(*by, (F.col("_row_of_segment") + lag).alias("_row_of_segment"), *(F.col(f"`{c}`").alias(new) for new, c in cols.items()))
+    before = rows.select(*_named(by), (F.col("_row_of_segment") + lag).alias("_row_of_segment"), *(F.col(f"`{c}`").alias(new) for new, c in cols.items()))
     return _null_safe(rows, before, [*by, "_row_of_segment"], "left").drop("_row_of_segment")
 
 
@@ -217,9 +218,13 @@ def append(a: DataFrame, b: DataFrame, flag: str | None = None, force: bool = Fa
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _named(keys) -> list[Column]:
+    return [F.col(f"`{k}`") for k in keys]
+
+
 def duplicates_report(df: DataFrame, *keys: str) -> DataFrame:
     """(copies, groups, observations, surplus)."""
-    per = df.groupBy(*(keys or df.columns)).agg(F.count("*").alias("copies"))
+    per = df.groupBy(*_named(keys or df.columns)).agg(F.count("*").alias("copies"))
     n = per.groupBy("copies").agg(F.count("*").alias("n_groups"))
     return n.select("copies", "n_groups", (F.col("copies") * F.col("n_groups")).alias("observations"), ((F.col("copies") - 1) * F.col("n_groups")).alias("surplus"))
 
@@ -227,15 +232,14 @@ def duplicates_report(df: DataFrame, *keys: str) -> DataFrame:
 def duplicates_drop(df: DataFrame, keys: list[str], order_by) -> DataFrame:
     """The first row of each key by ``order_by``; Spark keeps one row a key in each
     task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*_ordered(order_by))
+    w = Window.partitionBy(*_named(keys)).orderBy(*_ordered(order_by))
     return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
 def duplicates_tag(df: DataFrame, keys: list[str], new: str) -> DataFrame:
     """Copies less one, counted a key before they are joined back."""
-    n = df.groupBy(*keys).agg((F.count("*") - 1).alias(new)).select(*(F.col(k).alias(f"_d_{k}") for k in keys), new)
-    on = [df[k].eqNullSafe(n[f"_d_{k}"]) for k in keys]
-    return df.join(n, on, "left").drop(*(f"_d_{k}" for k in keys))
+    n = df.groupBy(*_named(keys)).agg((F.count("*") - 1).alias(new))
+    return _null_safe(df, n, list(keys), "left")
 
 
 def duplicates_list(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import udf
 from ..sources import files, html
+from ..storage import shared_dir
 from . import query
 
 c = F.col
@@ -16,11 +17,7 @@ c = F.col
 
 def _place(t, name: str) -> str:
     """A new path in the shared folder."""
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark.sparkContext).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("a1_use", "SELECT * FROM part")

@@ -8,13 +8,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# option words that users type (fixed values)
 SEPARATORS = {"tab": "\t", "comma": ",", "semicolon": ";", "space": " "}
 
 
-def use(spark: SparkSession, path: str, rows: int | None = None, schema: str | None = None) -> DataFrame:
-    """Parquet, lazily; ``rows`` keeps the first so many."""
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of floating columns made missing; other columns are passed on as they are,
+    so that conditions on them still reach the scan."""
+    floating = [f.name for f in df.schema if f.dataType.typeName() in ("float", "double")]
+    if not floating:
+        return df
+    kept = {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating}
+    return df.select(*((kept[f.name].alias(f.name, metadata=f.metadata) if f.name in kept else F.col(f"`{f.name}`")) for f in df.schema))
+
+
+def use(spark: SparkSession, path: str, rows: int | None = None, schema: str | None = None, nan_missing: bool = True) -> DataFrame:
+    """Parquet, lazily; ``rows`` keeps the first so many.  NaN is missing unless
+    ``nan_missing`` is off, with which conditions on floating columns reach the scan too."""
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.parquet(path)
+    df = nan_to_null(df) if nan_missing else df
     return df if rows is None else df.limit(rows)
 
 

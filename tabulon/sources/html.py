@@ -18,9 +18,12 @@ class _Tables(HTMLParser):
         self.done: list[list[list[str]]] = []
         self.open: list[list[list[str]]] = []
         self.cell: list[str] | None = None
+        self.outer: list[list[str] | None] = []  # the cells that hold the open tables
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
+            self.outer.append(self.cell)
+            self.cell = None
             self.open.append([])
         elif self.open and tag == "tr":
             self.open[-1].append([])
@@ -32,7 +35,18 @@ class _Tables(HTMLParser):
         if tag in ("td", "th", "tr", "table"):
             self._close_cell()
         if tag == "table" and self.open:
-            self.done.append([r for r in self.open.pop() if r])
+            self._close_table()
+
+    def close(self) -> None:
+        """The end of the page ends what is open, the innermost first."""
+        super().close()
+        while self.open:
+            self._close_cell()
+            self._close_table()
+
+    def _close_table(self) -> None:
+        self.done.append([r for r in self.open.pop() if r])
+        self.cell = self.outer.pop()
 
     def handle_data(self, data: str) -> None:
         if self.cell is not None:
@@ -47,8 +61,9 @@ class _Tables(HTMLParser):
 
 
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, table_idx, row_idx, cells) of every table; null pages have none."""
-    source = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").contains("<table") | F.col("html").contains("<TABLE"))
+    """(id, table_idx, row_idx, cells) of every table, in any letter case and also where
+    its end is missing; null pages have none."""
+    source = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)<table"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
