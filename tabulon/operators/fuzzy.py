@@ -1,7 +1,10 @@
 """Fuzzy merging of string columns, blocked by n-grams.
 
 Only distinct strings that share an n-gram are compared, by an equi-join on the
-n-gram.  By TF-IDF others have similarity 0.  By edit distance the length of the
+n-gram.  By TF-IDF others have similarity 0; of each string's n-grams, the rarest
+first, only those are joined without which the rest cannot reach the threshold (a
+prefix filter on the norm of the rest), so common n-grams pair no strings.  By edit
+distance the length of the
 n-gram follows from the threshold: at most d edits leave one of d + 1 pieces of
 the longer string whole, so every pair at or over the threshold shares an n-gram
 of the least length of such a piece.  Strings made of one common pattern share
@@ -10,7 +13,7 @@ their n-grams with all others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,19 +29,43 @@ def _grams(df: DataFrame, col: str, n: int) -> DataFrame:
     return own.select("s", F.explode(ngrams(F.col("s"), n)).alias("g"))
 
 
-def tfidf_pairs(left: DataFrame, right: DataFrame, col: str, n: int = 3) -> DataFrame:
-    """(a, b, similarity) of strings that share an n-gram; cosine of TF-IDF
-    weights with idf = ln((1 + N) / (1 + df)) + 1 over both sides."""
-    a, b = _grams(left, col, n), _grams(right, col, n)
-    both = a.unionByName(b).distinct()
+def _vectors(left: DataFrame, right: DataFrame, col: str, n: int) -> DataFrame:
+    """(s, g, u, before, in_a, in_b): unit TF-IDF vectors of the strings of both sides,
+    idf = ln((1 + N) / (1 + df)) + 1, and the squared weights of a string's rarer
+    n-grams."""
+    a, b = (_grams(df, col, n).withColumn(side, F.lit(True)) for df, side in ((left, "in_a"), (right, "in_b")))
+    both = a.unionByName(b, allowMissingColumns=True).groupBy("s", "g").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     size = both.agg(F.count_distinct("s").alias("N"))
-    idf = both.groupBy("g").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("g", (F.ln((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("w"))
-    weighted = both.join(idf, "g")
-    norm = weighted.groupBy("s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "s").select("s", "g", (F.col("w") / F.col("norm")).alias("u"))
-    ua = unit.join(a, ["s", "g"], "left_semi").select(F.col("s").alias("a"), "g", F.col("u").alias("ua"))
-    ub = unit.join(b, ["s", "g"], "left_semi").select(F.col("s").alias("b"), "g", F.col("u").alias("ub"))
-    return ua.join(ub, "g").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
+    idf = both.groupBy("g").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("g", "df", (F.ln((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("w"))
+    own = Window.partitionBy("s")  # the n-grams of a string
+    unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))
+    weighted = both.join(idf, "g").withColumn("u", unit)
+    rarer = own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+    return weighted.withColumn("before", F.coalesce(F.sum(F.col("u") * F.col("u")).over(rarer), F.lit(0.0)))
+
+
+def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs whose similarity may reach the threshold.
+
+    Let g be the rarest n-gram that two strings share.  Their similarity is at most
+    the norm of what follows g in either string, g counted; so g lies in both
+    prefixes, which end where that norm falls below the threshold.
+    """
+    prefix = vectors.filter((1 - F.col("before")) >= max(threshold - 1e-8, 0.0) ** 2 - 1e-12)
+    a, b = (prefix.filter(side).select(F.col("s").alias(side[-1]), "g") for side in ("in_a", "in_b"))
+    return a.join(b, "g").select("a", "b").distinct()
+
+
+def tfidf_pairs(left: DataFrame, right: DataFrame, col: str, n: int = 3, threshold: float = 0.0) -> DataFrame:
+    """(a, b, similarity) of all pairs that share an n-gram and whose cosine of TF-IDF
+    weights is at or over the threshold (to 8 places), and of some below."""
+    vectors = _vectors(left, right, col, n)
+    whole = vectors.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("g", "u"))).alias("v"))  # of one string
+    pairs = _candidates(vectors, threshold)
+    near = pairs.join(whole.select(F.col("s").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b")
+    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda t, g: t + F.element_at("va", g) * F.element_at("vb", g))
+    return near.select("a", "b", dot.alias("similarity"))
 
 
 def _pieces(s: Column, threshold: float) -> Column:
@@ -80,7 +107,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, col: str, threshold: float = 0
 def fuzzy_match(left: DataFrame, right: DataFrame, col: str, threshold: float = 0.8, method: str = "tfidf") -> DataFrame:
     """(a, matched, similarity): the best partner of each left string at or over
     the threshold; ties go to the lesser string."""
-    pairs = tfidf_pairs(left, right, col) if method == "tfidf" else edit_pairs(left, right, col, threshold)
+    pairs = tfidf_pairs(left, right, col, threshold=threshold) if method == "tfidf" else edit_pairs(left, right, col, threshold)
     best = pairs.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= threshold)
     found = best.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("k"), F.col("b"))).alias("m"))
     return found.select("a", F.col("m.b").alias("matched"), (-F.col("m.k")).alias("similarity"))
