@@ -14,8 +14,12 @@ secret are passed through.
 
 Defined results: a null text stays null and has no findings; of candidates that do
 not validate whole the longest runs of their groups that do are replaced, the rest
-stays as it is; a value named as a password, token or key is replaced whether or
-not it validates; repeated rows give repeated results; texts of any length are
+stays as it is; a value named as a password, token, secret or key (in any case, with
+what may stand before such a name, in quotes or not, from four characters on) is
+replaced whether or not it validates, its letters and digits that is, but for a plain
+lower-case word after a colon and a blank, which is prose; a date that can be read
+day first is read so, month first where that is no date; dates before the year 101,
+and 29 February month first outside 1900-2099, stay; repeated rows give repeated results; texts of any length are
 read whole, in memory that follows the text; an empty table gives an empty result;
 ``pseudonymise`` keeps all columns of its input, ``find_and_replace`` reads two.
 """
@@ -30,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 8
-#: Dates are permuted among so many days from 1900-01-01: 250 x 292.
+#: Dates are permuted among so many days: 250 x 292 from 1900-01-01, as many before
+#: and after in blocks of their own.
 DAYS = (250, 292)
+#: Blocks before 1900 that lie after the year 100.
+BLOCKS_BEFORE = 9
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
 
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -51,24 +58,35 @@ def _of_length(n: int, lands: str) -> str:
 
 # The length of the country first; what has another length or country, as far as it goes.
 _IBAN = "|".join([*(_of_length(*x) for x in sorted(_LANDS.items(), reverse=True)), r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"])
+#: The same in lower case, of a known country and length only.
+_IBAN_LOWER = "|".join(_of_length(*x).replace(x[1].replace(" ", "|"), x[1].replace(" ", "|").lower()).replace("[A-Z0-9]", "[a-z0-9]") for x in sorted(_LANDS.items(), reverse=True))
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around two colons, with a digit.
+_IP6 = rf"(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,30}}[0-9])(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?"
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-_PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
-_CARD = r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}"
+_PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{6,8}"
+_CARD = r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}"
 #: Marks that vendors put before their keys; they stay.
 _VENDOR = r"AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk-"
 _SECRET = r"(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36,251}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}"
-_NAMES = r"\b(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
-_NAMED = rf"(?<={_NAMES})[A-Za-z0-9_/+-]{{12,128}}|(?<=\bBearer )[A-Za-z0-9._~+/-]{{16,512}}"
+#: Names of secrets, whatever stands before them; then a quote, a sign, a quote.
+_WORDS = r"(?i:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
+_NAMES = rf"{_WORDS}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
+# a value begins after a sign, blank or quote, which is cheap to see; a plain word after ": " is prose
+_NAMED = (
+    rf"(?<=[=:\s\"'])(?<={_NAMES})(?![\"'])(?!(?<=:\s{{1,3}})[a-z]{{1,11}}(?![^\s.,;!?)]))[^\s\"'&<>]{{4,512}}"
+    r"|(?<=\bBearer )[A-Za-z0-9._~+/-]{16,512}"
+)
 _PEM = r"(?<=-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----)[A-Za-z0-9+/=\s]{32,8192}"
 _EDGE = r"(?<![A-Za-z0-9])(?:{})(?![A-Za-z0-9])"
 CANDIDATE = "|".join(
-    [_PEM, _EMAIL, _NAMED, _EDGE.format(_IBAN), r"(?<![0-9.])" + _IP + r"(?![0-9]|\.[0-9])", _EDGE.format("|".join((_DATE, _SSN, _CARD)))]
+    [_PEM, _EMAIL, _NAMED, _EDGE.format(_IBAN), _EDGE.format(_IBAN_LOWER), rf"(?<![A-Za-z0-9:])(?:{_IP6})(?![A-Za-z0-9:])", r"(?<![0-9.])" + _IP + r"(?![0-9]|\.[0-9])", _EDGE.format("|".join((_DATE, _SSN, _CARD)))]
     + [r"(?<![A-Za-z0-9])(?:" + _PHONE + r")(?![A-Za-z0-9])", _EDGE.format(_SECRET)]
 )
 #: What a text without any candidate does not hold.
-GATE = r"[0-9]{2}|[0-9]\.[0-9]|@|\b(?:" + _VENDOR + r")|Bearer |PRIVATE KEY-----|(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]"
+GATE = r"[0-9]{2}|[0-9]\.[0-9]|@|::|\b(?:" + _VENDOR + r")|Bearer |PRIVATE KEY-----|" + _WORDS + r"[\"']?\s{0,3}[=:]"
 
 
 def _full(pattern: str) -> str:
@@ -186,8 +204,8 @@ def _mod97(s: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     def new(s: Column) -> Column:
         land, body = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5), F.char_length(s))
-        moved = _refill(body, permute(_digits(body), 10, key, F.concat(F.lit("iban"), land)))
-        check = lambda b: F.lpad((F.lit(98) - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0")
+        moved = _refill(body, permute(_digits(body), 10, key, F.concat(F.lit("iban"), F.upper(land))))
+        check = lambda b: F.lpad((F.lit(98) - _mod97(F.upper(F.concat(b, land, F.lit("00"))))).cast("string"), 2, "0")
         return let(moved, lambda b: F.concat(land, check(b), b))
 
     def spaced(s: Column, done: Column) -> Column:
@@ -195,7 +213,7 @@ def _iban(m: Column, key: str) -> Column:
         return F.array_join(F.transform(_chars(m), lambda c, i: F.when(c == " ", c).otherwise(F.substr(done, k(i), F.lit(1)))), "")
 
     def valid(s: Column) -> Column:
-        return _mod97(F.concat(F.substr(s, F.lit(5), F.char_length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1
+        return _mod97(F.upper(F.concat(F.substr(s, F.lit(5), F.char_length(s)), F.substr(s, F.lit(1), F.lit(4))))) == 1
 
     return let(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.when(valid(s), let(new(s), lambda done: spaced(s, done))))
 
@@ -211,24 +229,93 @@ def _ip(m: Column, key: str) -> Column:
     return let(octets, lambda o: F.when(F.forall(o, lambda x: x <= 255), new(o)))
 
 
+def _ip6(m: Column, key: str) -> Column:
+    """All spellings of an address get one, of eight groups."""
+    half = F.lit(1 << 32)
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(side, ":"), lambda x: x != "")
+
+    def new(left: Column, right: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+        whole = F.transform(F.concat(left, zeros, right), lambda x: F.conv(x, 16, 10).cast("bigint"))
+        word = lambda o, i: o[i] * 65536 + o[i + 1]
+        text = lambda x: F.concat_ws(":", F.lower(F.hex(F.floor(x / 65536))), F.lower(F.hex(x % 65536)))
+
+        def mixed(o: Column) -> Column:
+            high = feistel(word(o, 0), word(o, 2), half, half, key, F.lit("ip6"))
+            tweak = F.concat_ws("/", F.lit("ip6"), word(o, 0).cast("string"), word(o, 2).cast("string"))
+            low = feistel(word(o, 4), word(o, 6), half, half, key, tweak)
+            return let(F.struct(high.alias("h"), low.alias("l")), lambda s: F.concat_ws(":", text(s["h"]["a"]), text(s["h"]["b"]), text(s["l"]["a"]), text(s["l"]["b"])))
+
+        return let(whole, mixed)
+
+    short = F.instr(m, "::") > 0
+    left = groups(F.substring_index(m, "::", 1))
+    right = F.when(short, groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>"))
+    sides = F.struct(left.alias("l"), right.alias("r"))
+    fits = lambda s: F.when(short, F.size(s["l"]) + F.size(s["r"]) < 8).otherwise(F.size(s["l"]) == 8)
+    return let(sides, lambda s: F.when(fits(s), new(s["l"], s["r"])))
+
+
 def _date(m: Column, key: str) -> Column:
-    iso = m.rlike(r"^[0-9]{4}-")
-    mark = F.substr(m, F.lit(3), F.lit(1))
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.replace(m, F.lit("/"), F.lit(".")), "dd.MM.yyyy"))
+    year_first = m.rlike(r"^[0-9]{4}")
+    mark = F.when(year_first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.lit(3), F.lit(1)))
+    plain = F.translate(m, "/.", "--")
+    day = F.when(year_first, F.try_to_date(plain, "yyyy-MM-dd")).otherwise(F.try_to_date(plain, "dd-MM-yyyy"))
     first = F.lit("1900-01-01").cast("date")
+    a, b = DAYS
 
     def new(k: Column) -> Column:
-        a, b = DAYS
-        mixed = feistel(F.floor(k / b), k % b, F.lit(a), F.lit(b), key, F.lit("date"))
-        moved = let(mixed, lambda s: F.date_add(first, (s["a"] * b + s["b"]).cast("int")))
-        return let(
-            moved,
-            lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
-                F.concat_ws("", F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))
-            ),
-        )
+        block, rest = F.floor(k / (a * b)), F.pmod(k, F.lit(a * b))
+        mixed = feistel(F.floor(rest / b), rest % b, F.lit(a), F.lit(b), key, F.concat(F.lit("date"), F.when(block != 0, block.cast("string")).otherwise("")))
+        moved = let(mixed, lambda s: F.date_add(first, (block * (a * b) + s["a"] * b + s["b"]).cast("int")))
+
+        def text(d: Column) -> Column:
+            y, mon, dd = (F.date_format(d, f) for f in ("yyyy", "MM", "dd"))
+            return F.when(year_first, F.concat(y, mark, mon, mark, dd)).otherwise(F.concat(dd, mark, mon, mark, y))
+
+        return let(moved, text)
+
+    # the last block that ends before the year 10000
+    last = (2_958_465 - 2) // (a * b) * (a * b)
+    ordinary = let(F.date_diff(day, first), lambda k: F.when((k >= -BLOCKS_BEFORE * a * b) & (k < last - a * b), new(k)))
+    return F.coalesce(ordinary, F.when(~year_first, _month_first(m, mark, key)))
+
+
+#: Days from the 13th on, of which no date can be read day first, in months of common years.
+_LATE = (19, 16, 19, 18, 19, 18, 19, 19, 18, 19, 18, 19)
+
+
+def _month_first(m: Column, mark: Column, key: str) -> Column:
+    """A date with a day from the 13th on, among such dates of its 200 years; 29
+    February among those of 1900-2099."""
+    before = F.array(*(F.lit(sum(_LATE[:k])) for k in range(12)))
+    part = lambda i, n: F.substr(m, F.lit(i), F.lit(n)).cast("int")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+
+    def common(x: Column) -> Column:
+        block = F.floor((x["y"] - 1900) / 200) * 200 + 1900
+        at = (x["y"] - block) * sum(_LATE) + F.get(before, x["m"] - 1) + x["d"] - 13
+        tweak = F.concat_ws("/", F.lit("month first"), block.cast("string"))
+        mixed = feistel(F.floor(at / sum(_LATE)), at % sum(_LATE), F.lit(200), F.lit(sum(_LATE)), key, tweak)
+
+        def text(s: Column) -> Column:
+            month = F.size(F.filter(before, lambda n: n <= s["b"]))
+            return F.concat(two(month), mark, two(s["b"] - F.get(before, month - 1) + 13), mark, F.lpad((block + s["a"]).cast("string"), 4, "0"))
+
+        return let(mixed, text)
+
+    def leap(x: Column) -> Column:
+        j = F.floor((x["y"] - 1904) / 4)
+        mixed = feistel(F.floor(j / 7), j % 7, F.lit(7), F.lit(7), key, F.lit("29 February"))
+        return let(mixed, lambda s: F.concat(F.lit("02"), mark, F.lit("29"), mark, (F.lit(1904) + 4 * (s["a"] * 7 + s["b"])).cast("string")))
 
-    return let(F.date_diff(day, first), lambda k: F.when((k >= 0) & (k < DAYS[0] * DAYS[1]), new(k)))
+    late = F.array(*(F.lit(n + 12) for n in _LATE))
+    parts = F.struct(part(1, 2).alias("m"), part(4, 2).alias("d"), part(7, 4).alias("y"))
+    is_common = lambda x: x["m"].between(1, 12) & (x["d"] >= 13) & (x["d"] <= F.get(late, x["m"] - 1)) & x["y"].between(101, 9899)
+    is_leap = lambda x: (x["m"] == 2) & (x["d"] == 29) & (x["y"] % 4 == 0) & x["y"].between(1904, 2096)
+    return let(parts, lambda x: F.when(is_common(x), common(x)).when(is_leap(x), leap(x)))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -251,11 +338,11 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted."""
+    """The country code, or the 0 before an area, stays; all other digits are permuted."""
     code = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1)
 
     def new(d: Column) -> Column:
-        keep = F.when(code != "", F.char_length(code)).when(m.startswith("+"), 2).otherwise(0)
+        keep = F.when(code != "", F.char_length(code)).when(m.startswith("+"), 2).when(m.startswith("0"), 1).otherwise(0)
         rest = F.substr(d, keep + 1, F.char_length(d))
         return _refill(m, F.concat(F.substr(d, F.lit(1), keep), permute(rest, 10, key, F.concat(F.lit("phone"), F.substr(d, F.lit(1), keep)))))
 
@@ -279,8 +366,8 @@ def _secret(m: Column, key: str) -> Column:
 
 def _form(m: Column, key: str) -> Column:
     """struct(kind, new) of a value with a format of its own; null where none validates."""
-    forms = (("email", _EMAIL, _email), ("ip", _IP, _ip), ("date", _DATE, _date), ("ssn", _SSN, _ssn))
-    forms += (("iban", _IBAN, _iban), ("card", _CARD, _card), ("phone", _PHONE, _phone))
+    forms = (("email", _EMAIL, _email), ("ip", _IP, _ip), ("ip", _IP6, _ip6), ("date", _DATE, _date), ("ssn", _SSN, _ssn))
+    forms += (("iban", f"{_IBAN}|{_IBAN_LOWER}", _iban), ("card", _CARD, _card), ("phone", _PHONE, _phone))
     out = None
     for kind, pattern, make in forms:
         body = F.struct(F.lit(kind).alias("kind"), make(m, key).alias("new"))
@@ -321,7 +408,7 @@ def _replacement(m: Column, named: Column, key: str) -> Column:
 
     A value with the shape of a number that does not validate is a secret where a
     name for one stands before it (``named``)."""
-    shaped = m.rlike(_full("|".join((_EMAIL, _IP, _DATE, _SSN, _IBAN, _CARD, _PHONE))))
+    shaped = m.rlike(_full("|".join((_EMAIL, _IP, _IP6, _DATE, _SSN, _IBAN, _IBAN_LOWER, _CARD, _PHONE))))
     secret = F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))
     whole = lambda x: F.struct(F.array(x["kind"]).alias("kinds"), x["new"].alias("text"))
     same = F.struct(F.array().cast("array<string>").alias("kinds"), m.alias("text"))
