@@ -224,13 +224,20 @@ def to_long(df: DataFrame, stubs: list[str], ids: list[str], j: str) -> DataFram
     return df.select(*rest, F.explode(rows).alias("_x")).select(*rest, f"_x.{j}", *(f"_x.{s}" for s in stubs))
 
 
+#: Columns that a wide table may have.
+MAX_WIDE = 10_000
+
+
 def to_wide(df: DataFrame, stubs: list[str], ids: list[str], j: str, values: list | None = None, check: bool = True) -> DataFrame:
-    """Rows to columns ``stub<j>``; a repeated (ids, j) is an error."""
+    """Rows to columns ``stub<j>``; a repeated (ids, j) is an error, and so are more than
+    ``MAX_WIDE`` columns, before the values of ``j`` come to the driver."""
     if check and not df.groupBy(*ids, j).count().filter("count > 1").isEmpty():
         raise ValueError(f"{ids} and {j} do not identify rows")
     others = [c for c in df.columns if c not in (*stubs, *ids, j)]
     if values is None:
-        values = [r[0] for r in df.select(j).distinct().orderBy(j).collect()]
+        values = [r[0] for r in df.select(j).distinct().orderBy(j).limit(MAX_WIDE + 1).collect()]
+    if len(values) * len(stubs) > MAX_WIDE:
+        raise ValueError(f"{j} makes more than {MAX_WIDE} columns; keep it long, or name some values")
     cells = [F.first(F.when(F.col(j) == v, F.col(s)), ignorenulls=True).alias(f"{s}{v}") for v in values for s in stubs]
     first = [F.min_by(c, j).alias(c) for c in others]
     return df.groupBy(*ids).agg(*first, *cells)

@@ -8,16 +8,15 @@ not grow with the square of a document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import PCA, HashingTF, IDF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Stop words by language.
 STOP_WORDS = {
@@ -287,10 +286,80 @@ def entities(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame, mo
     return df.select(id_col).join(hit, id_col, "left").select(id_col, F.coalesce(text, F.lit("")).alias("entities"), F.greatest(F.size("x"), F.lit(0)).cast("bigint").alias("n"))
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, stub: str = "emb", dims: int = 16, features: int = 1024) -> DataFrame:
-    """stub_1 … stub_N: hashed TF-IDF, reduced by principal components."""
-    toks = df.select(F.col(id_col), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), 0).alias("_w"))
-    tf = HashingTF(numFeatures=features, inputCol="_w", outputCol="_tf").transform(toks)
-    x = IDF(inputCol="_tf", outputCol="_x").fit(tf).transform(tf)
-    v = PCA(k=dims, inputCol="_x", outputCol="_p").fit(x).transform(x).select(id_col, vector_to_array("_p").alias("_v"))
-    return v.select(id_col, *(F.get("_v", F.lit(k)).alias(f"{stub}_{k + 1}") for k in range(dims)))
+#: Directions beyond those asked for, and passes that sharpen them.
+OVERSAMPLE, PASSES = 10, 4
+
+
+def _products(rows: Iterator[pa.RecordBatch], idf: np.ndarray, q: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For batches of (id, hashed words): row numbers, features and TF-IDF weights of
+    the distinct words of each row, and the rows times ``q``."""
+    for b in rows:
+        lists = b.column(1)
+        size = np.diff(np.asarray(lists.offsets))
+        flat = np.asarray(lists.flatten(), np.int64)
+        cells, tf = np.unique(np.repeat(np.arange(len(size)), size) * len(idf) + flat, return_counts=True)
+        at, feature = cells // len(idf), cells % len(idf)
+        x = tf * idf[feature]
+        y = np.stack([np.bincount(at, x * q[feature, j], len(size)) for j in range(q.shape[1])], axis=1)
+        yield b, at, feature, x, y
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, stub: str = "emb", dims: int = 16, features: int = 1024, seed: int = 1) -> DataFrame:
+    """stub_1 … stub_N: hashed TF-IDF along its principal directions.
+
+    The directions come from a randomised range finder: a seeded Gaussian sketch of
+    the covariance, sharpened by ``PASSES`` passes over the texts, each of which adds
+    up a matrix of features x (dims + ``OVERSAMPLE``) only; the last gives a small
+    matrix whose eigenvectors turn the sketch into directions.  The entry of most
+    weight in each direction is positive, so that signs do not change between runs.
+    Null texts are empty and lie at the origin.
+    """
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(WORD), 0)
+    hashed = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(features)))
+    own = df.select(F.col(f"`{id_col}`"), hashed.alias("_f"))
+    n = own.count()
+    many = own.select(F.explode(F.array_distinct("_f")).alias("f")).groupBy("f").count().collect()  # a row a feature at most
+    idf = np.zeros(features)
+    for r in many:
+        idf[r["f"]] = math.log((n + 1) / (r["count"] + 1))  # as Spark's IDF has it
+    width = min(dims + OVERSAMPLE, features)
+
+    def gathered(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X'Xq, and the sums of the rows of X."""
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z, total = np.zeros((features, q.shape[1])), np.zeros(features)
+            for _, at, feature, x, y in _products(rows, idf, q):
+                total += np.bincount(feature, x, features)
+                for j in range(q.shape[1]):
+                    z[:, j] += np.bincount(feature, x * y[at, j], features)
+            flat = np.concatenate([z.ravel(), total])
+            there = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(flat[there], pa.float64())], names=["k", "v"])
+
+        out = np.zeros(features * q.shape[1] + features)
+        for r in own.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # features x (width + 1) at most
+            out[r["k"]] = r["v"]
+        return out[: features * q.shape[1]].reshape(features, -1), out[features * q.shape[1] :]
+
+    def covariance(q: np.ndarray) -> np.ndarray:
+        z, total = gathered(q)
+        return z - np.outer(total, total @ q) / max(n, 1)
+
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
+    for _ in range(PASSES):
+        q = np.linalg.qr(covariance(q))[0]
+    small = q.T @ covariance(q)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    v = q @ vectors[:, np.argsort(-values, kind="stable")[:dims]]
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    v = np.pad(v, ((0, 0), (0, dims - v.shape[1])))
+    names = [f"{stub}_{k + 1}" for k in range(dims)]
+
+    def project(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, _, _, y in _products(rows, idf, v):
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(y[:, k]) for k in range(dims))], names=[id_col, *names])
+
+    kind = own.schema[0].dataType
+    schema = StructType([StructField(id_col, kind), *(StructField(c, DoubleType()) for c in names)])
+    return own.mapInArrow(project, schema)

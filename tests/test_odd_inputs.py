@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.estimate import did
-from tabulon.operators import charts, rows, summary
+from tabulon.operators import charts, columns, rows, summary, text
 from tabulon.sources import files, html
 
 
@@ -95,3 +95,35 @@ def test_two_by_two_with_an_empty_cell(spark):
     df = spark.createDataFrame([(1.0, 0, 0), (2.0, 0, 1), (3.0, 1, 1)], "y double, d int, p int")
     with pytest.raises(ValueError, match="d = 1, post = 0"):
         did.did2x2(df, "y", "d", F.col("p"))
+
+
+def test_too_many_columns(spark, monkeypatch):
+    df = spark.range(40).select((F.col("id") % 2).alias("i"), F.col("id").alias("j"), F.lit(1).alias("v"))
+    assert len(columns.to_wide(df, ["v"], ["i"], "j").columns) == 41
+    monkeypatch.setattr(columns, "MAX_WIDE", 39)
+    with pytest.raises(ValueError, match="39 columns"):
+        columns.to_wide(df, ["v"], ["i"], "j")
+
+
+def test_embeddings_are_principal_directions(spark):
+    r = np.random.default_rng(7)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(4)]
+    texts = [" ".join(r.choice(topics[k % 4], 30)) + f" own{k}" for k in range(80)] + [None, "", "t0wone more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = text.embed(df, "i", "t", dims=3, features=64)
+    assert got.columns == ["i", "emb_1", "emb_2", "emb_3"]
+    y = np.array([x[1:] for x in sorted(got.collect())])
+    again = np.array([x[1:] for x in sorted(text.embed(df.repartition(5), "i", "t", dims=3, features=64).collect())])
+    assert np.allclose(y, again, atol=1e-9)
+    # a dense decomposition of the same features
+    hashed = df.select("i", F.transform(F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(text.WORD), 0), lambda w: F.pmod(F.xxhash64(w), F.lit(64))).alias("f"))
+    x = np.zeros((len(texts), 64))
+    for row in hashed.collect():
+        for f in row["f"]:
+            x[row["i"], f] += 1
+    x *= np.array([math.log((len(texts) + 1) / ((x[:, f] > 0).sum() + 1)) if (x[:, f] > 0).any() else 0.0 for f in range(64)])
+    c = (x - x.mean(0)).T @ (x - x.mean(0))
+    v = np.linalg.eigh(c)[1][:, ::-1][:, :3]
+    v *= np.sign(v[np.abs(v).argmax(0), np.arange(3)])
+    assert np.allclose(np.abs(y), np.abs(x @ v), atol=0.02 * np.abs(y).max())
+    assert np.allclose(y[80], 0) and np.allclose(y[81], 0)
