@@ -27,7 +27,7 @@ from .rows import _null_safe, running_total
 
 #: Rows of a group that one task may sort; groups whose sketches go to the driver;
 #: values inside the brackets that do; ranks a sketch may be wrong by, as a share.
-GROUP_ROWS, MAX_GROUPS, NEAR_VALUES, SKETCH = 100_000, 5_000, 200_000, 10_000
+GROUP_ROWS, MAX_GROUPS, NEAR_VALUES, SKETCH = 1_000_000, 5_000, 200_000, 10_000
 ROUNDS = 8
 
 
@@ -41,12 +41,20 @@ def long_form(df: DataFrame, cols: list[str], by: list[str], weight: Column | No
     return own.filter("x IS NOT NULL AND NOT isnan(x) AND w > 0")
 
 
-def _in_order(long: DataFrame, ps: list[float], keys: list[str], midpoint: bool) -> DataFrame:
-    """Groups of a bounded size, sorted.  Ties are taken in the order of the weights."""
+def _in_order(long: DataFrame, ps: list[float], keys: list[str], midpoint: bool, weighted: bool, few: bool) -> DataFrame:
+    """Groups of a bounded size, sorted; where there are ``few`` different values and no
+    weights, equal ones are counted before.  Ties are taken in the order of the weights."""
     part = Window.partitionBy(*keys)
+    before = Window.unboundedPreceding
+    if few and not weighted:
+        ties = long.groupBy(*keys, "x").agg(F.count("*").alias("k"))
+        run = ties.select(*keys, "x", "k", F.sum("k").over(part.orderBy("x").rowsBetween(before, 0)).alias("cum"), F.sum("k").over(part).alias("n"))
+        if not midpoint:
+            return _pick7(run, ps, keys)
+        return _pick(run.withColumns({"first": (F.col("cum") - F.col("k") + 0.5) / F.col("n"), "last": (F.col("cum") - 0.5) / F.col("n")}), ps, keys)
     order = part.orderBy("x", "w")
     if midpoint:
-        grid = (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(part)
+        grid = (F.sum("w").over(order.rowsBetween(before, 0)) - F.col("w") / 2) / F.sum("w").over(part)
         pts = long.select(*keys, "x", grid.alias("first")).withColumn("last", F.col("first"))
         return _pick(pts, ps, keys)
     ranked = long.select(*keys, "x", F.row_number().over(order).alias("cum"), F.count("*").over(part).alias("n"))
@@ -201,11 +209,17 @@ def quantiles(df: DataFrame, cols: list[str], ps: list[float], by: list[str] = (
     positive.  Groups without a value have no rows.
     """
     by = list(by)
-    sizes = df.groupBy(*(F.col(f"`{b}`") for b in by)).agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()
+    if by:
+        kinds = [F.approx_count_distinct(F.col(f"`{c}`"), 0.1) for c in cols]
+        sizes = df.groupBy(*(F.col(f"`{b}`") for b in by)).agg(F.count("*").alias("n"), sum(kinds, F.lit(0)).alias("d"))
+        most, total, distinct = (x or 0 for x in sizes.agg(F.max("n"), F.sum("n"), F.sum("d")).first())
+        few = 4 * distinct < total * len(cols)
+    else:
+        most, few = df.count(), False  # from the footers of Parquet files
     long = long_form(df, cols, by, weight)
     keys = [*(f"_by{i}" for i in range(len(by))), "variable"]
-    if (sizes["most"] or 0) <= GROUP_ROWS:
-        out = _in_order(long, ps, keys, midpoint)
+    if most <= GROUP_ROWS:
+        out = _in_order(long, ps, keys, midpoint, weight is not None, few)
     else:
         out = selected(long, ps, keys, midpoint) if weight is None else None
         out = _by_range(long, ps, keys, midpoint) if out is None else out

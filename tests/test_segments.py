@@ -136,3 +136,15 @@ def test_samples_of_single_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(rows, "COPIES", 7)
     assert Counter(r["k"] for r in rows.sample_rows(df, 150, 2).collect()) == got
     assert rows.sample_rows(df, 300).count() == 300 and rows.sample_rows(df, 1).count() == 1 and rows.sample_rows(df, 299).count() == 299
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_few_values_are_counted_first(spark, grid):
+    data = [("a" if k % 3 else "b", float(k * k % 11)) for k in range(600)] + [("c", None), ("a", math.nan)]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(df, ["x"], PS, ["g"], midpoint=grid).collect()}
+    for g in "ab":
+        own = [x for h, x in data if h == g and not math.isnan(x)]
+        for p in PS:
+            assert got[g, p] == pytest.approx(midpoint(own, [1] * len(own), p) if grid else float(np.quantile(own, p)))
+    assert len(got) == 2 * len(PS)
