@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_arrays import json_records, schema_of
+
 # option words that users type (fixed values)
 SEPARATORS = {"tab": "\t", "comma": ",", "semicolon": ";", "space": " "}
 
@@ -51,9 +53,11 @@ def import_tsv(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def import_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Files that hold an array of records each, or one record a line."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """Files that hold an array of records each, or one record after the other; one
+    file is read by as many tasks as it has splits.  Without a schema one more pass
+    infers it.  A record that does not parse is a row of nulls."""
+    records = json_records(spark, path)
+    return records.select(F.from_json("record", schema or schema_of(records)).alias("r")).select("r.*")
 
 
 def convert(df: DataFrame, path: str, replace: bool = False) -> None:
