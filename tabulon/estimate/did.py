@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import quantile7
 from ..operators.windows import _joined
 from ..storage import stable
+from .cells import cell_regression
 from .design import Term
 from .fit import COEF, Fit
 from .linear import ols
@@ -203,40 +204,31 @@ def simple_att_se(df: DataFrame, y: str, unit: str, time: str, first: str) -> fl
     return callaway_santanna(df, y, unit, time, first).first()["se"]
 
 
-def _relative(df: DataFrame, time: str, first: str) -> Column:
-    """Periods since treatment, null for the never treated."""
-    g = F.coalesce(F.col(first), F.lit(0))
-    return F.when(g != 0, F.col(time) - g)
-
-
-def _weighted_effects(spark, fit: Fit, shares: dict[str, tuple[int, int]], level: float = 95) -> DataFrame:
-    """(key, att, …): coefficients mixed within a key by their numbers of rows."""
-    groups: dict[int, list[tuple[str, int]]] = {}
-    for c, (e, n) in shares.items():
-        groups.setdefault(e, []).append((c, n))
-    rows = []
-    for e, parts in sorted(groups.items()):
-        n = sum(m for _, m in parts)
-        w = np.zeros(len(fit.b))
-        for c, m in parts:
-            w[fit.names.index(c)] = m / n
-        rows.append(_effect_row(e, float(w @ fit.b), float(np.sqrt(max(w @ fit.v @ w, 0.0))), n, level))
-    return spark.createDataFrame(rows, EFFECT)
-
-
 def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str, covariates: list[str] = (), vcov="cluster", level: float = 95) -> DataFrame:
     """(e, att, se, stat, p, low, high, n): cohort x relative-time effects of one
-    two-way regression, mixed with cohort shares; relative time -1 is the base.
-    Errors are clustered by unit unless ``vcov`` is "classical"."""
-    own = df.withColumn("_g", F.coalesce(F.col(first), F.lit(0)))
-    cells = _small(own.filter("_g <> 0").select("_g", (F.col(time) - F.col("_g")).alias("e")).groupBy("_g", "e").count().orderBy("_g", "e"))
-    names = {}
-    for r in cells:
-        if r["e"] != -1:
-            names[f"_c{len(names)}"] = (r["_g"], r["e"], r["count"])
-    own = own.withColumns({c: ((F.col("_g") == g) & (F.col(time) - F.col("_g") == e)).cast("double") for c, (g, e, _) in names.items()})
-    fit = twoway(own, y, [*names, *covariates], unit, time, vcov)
-    return _weighted_effects(df.sparkSession, fit, {c: (int(e), int(n)) for c, (_, e, n) in names.items()}, level).withColumnRenamed("key", "e")
+    two-way regression, mixed with the cohorts' numbers of rows; relative time -1 is
+    the base.  Errors are clustered by unit or, with ``vcov`` "classical", not.
+
+    The equations are solved a cohort at a time (``cells``), so some ten thousand
+    cells are no matrix of that width; ``first`` must not vary within a unit.
+    """
+    if vcov not in ("cluster", "classical"):
+        raise ValueError(f"no errors of kind {vcov}")
+    own = _panel(df, y, unit, time, first, list(covariates))
+    keys: list[int] = []
+    rows: list[int] = []
+
+    def combine(cells: list[tuple[int, int, int]]) -> np.ndarray:
+        keys.extend(sorted({t - g for g, t, _ in cells}))
+        w = np.zeros((len(keys), len(cells)))
+        for j, (g, t, n) in enumerate(cells):
+            w[keys.index(t - g), j] = n
+        rows.extend(int(n) for n in w.sum(axis=1))
+        return w / w.sum(axis=1, keepdims=True)
+
+    fit = cell_regression(own, len(covariates), combine, vcov == "cluster", MAX_CELLS)
+    out = [_effect_row(e, float(b), float(np.sqrt(max(v, 0.0))), n, level) for e, b, v, n in zip(keys, fit.estimates, fit.variances, rows, strict=True)]
+    return df.sparkSession.createDataFrame(out, EFFECT).withColumnRenamed("key", "e")
 
 
 def _untreated_effects(own: DataFrame) -> DataFrame:
