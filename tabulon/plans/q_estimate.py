@@ -65,10 +65,13 @@ def _(t):
     return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov=("cluster", "l_suppkey")), 3)
 
 
-@query("j4_wls", "SELECT round((sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)), 4) AS slope FROM (SELECT l_quantity AS w, l_discount AS x, l_extendedprice AS y FROM lineitem)")
+# rows over the root of their weight: analytic weights by plain least squares
+_WEIGHTED = "SELECT l_extendedprice * sqrt(l_quantity) AS y, [l_discount * sqrt(l_quantity), sqrt(l_quantity)]::DOUBLE[] AS x FROM lineitem"
+
+
+@query("j4_wls", M.regression(_WEIGHTED, ["l_discount", "_cons"], 3))
 def _(t):
-    fit = linear.ols(t.lineitem, "l_extendedprice", ["l_discount"], weight="l_quantity", wtype="aweight")
-    return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 4).alias("slope"))
+    return _coef(t, linear.ols(t.lineitem, "l_extendedprice", ["l_discount"], weight="l_quantity", wtype="aweight"), 3)
 
 
 @query("j5_logit", M.likelihood(_RETURNED, 4, "[0, 0, 0, 0]::DOUBLE[]", _LOGIT, *_SCORES) + " " + M.inference(M.effects("o", M.units(*_NAMES)), 6, exponentiate=True))
@@ -98,13 +101,22 @@ def _(t):
     return _coef(t, mle.logit(_signed(t), "returned", ["l_discount", "l_tax"], weight="l_quantity", wtype="fweight"))
 
 
-# the numbers of lines vary less than Poisson counts, so alpha goes to zero and the rest to Poisson estimates
-_FEW = _COUNTS.replace("[ln(o_totalprice), disc, 1]", "[ln(o_totalprice), 1]").replace("ln(o_totalprice) AS o", "0.0 AS o")
+# lines a customer vary more than Poisson counts
+_BUSY = "SELECT n_lines AS y, [c_acctbal / 10000, 1]::DOUBLE[] AS x FROM customer JOIN (SELECT o_custkey, count(*) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey"
+# a row's score s by the linear predictor, its information h, their cross c with ln(alpha), and the first two derivatives by it
+_NB = "SELECT x, (y - mu) / den AS s, mu * (1 + a * y) / den ** 2 AS h, (y - mu) * a * mu / den ** 2 AS c, up + rate - (1 + a * y) * mu / den AS gl, up2 + mu / den - rate - a * mu * (y - mu) / den ** 2 AS hl FROM (SELECT *, ln(den) / a AS rate, coalesce(list_sum(list_transform(range(0, y), lambda q: a * q / (1 + a * q))), 0) AS up, coalesce(list_sum(list_transform(range(0, y), lambda q: a * q / (1 + a * q) ** 2)), 0) AS up2 FROM (SELECT *, 1 + a * mu AS den FROM (SELECT x, y, exp(b[3]) AS a, exp(list_dot_product(x, b[1:2])) AS mu FROM {r})))"
+_NB_G = "CASE WHEN i < 3 THEN x[i] * s ELSE gl END"
+_NB_H = "CASE WHEN i < 3 AND j < 3 THEN x[i] * x[j] * h WHEN i = 3 AND j = 3 THEN -hl ELSE x[least(i, j)] * c END"
 
 
-@query("j9_nbreg", M.likelihood(_FEW, 2, "[0, ln(avg(y))]::DOUBLE[]", _POISSON, *_SCORES) + " " + M.inference(M.effects("o", M.units("lprice", "_cons")), 4))
+@query("j9_nbreg", M.likelihood(_BUSY, 3, "[0, ln(avg(y)), ln((var_samp(y) - avg(y)) / avg(y) ** 2)]::DOUBLE[]", _NB, _NB_G, _NB_H) + " " + M.inference(M.effects("o", M.units("balance", "_cons", "ln_alpha")), 5))
 def _(t):
-    return _coef(t, mle.nbreg(_counts(t), "n_lines", ["lprice"]), 4)
+    lines = t.orders.join(t.lineitem.select("l_orderkey"), c("o_orderkey") == c("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("n_lines"))
+    df = t.customer.join(lines, c("o_custkey") == c("c_custkey")).select("n_lines", (c("c_acctbal") / 10000).alias("balance"))
+    fit = mle.nbreg(df, "n_lines", ["balance"])
+    alpha = fit._row("ln_alpha", fit.stats["ln_alpha"], fit.stats["ln_alpha_se"] ** 2, 95)
+    both = fit.coefficients(t.spark)
+    return rounded(both.unionByName(t.spark.createDataFrame([alpha], both.schema)), 5)
 
 
 # a row's residual over sigma r, its score g by the mean and its curvature h; m: not censored
@@ -118,10 +130,14 @@ def _(t):
     return _coef(t, mle.tobit(t.customer.select(F.greatest("c_acctbal", F.lit(0.0)).alias("bal"), "c_nationkey"), "bal", ["c_nationkey"], ll=0.0), 4)
 
 
-@query("j11_iv2sls", "SELECT round(covar_samp(l_tax, l_extendedprice) / covar_samp(l_tax, l_discount), 2) AS slope FROM lineitem")
+# one instrument: covariances give the slope and its error; the mean residual is zero
+_IV = "SELECT z, x, y, sum(z * y) OVER () / sum(z * x) OVER () AS b FROM (SELECT l_tax - avg(l_tax) OVER () AS z, l_discount - avg(l_discount) OVER () AS x, l_extendedprice - avg(l_extendedprice) OVER () AS y FROM lineitem)"
+
+
+@query("j11_iv2sls", f"SELECT round(any_value(b), 2) AS b, round(sqrt(sum((y - b * x) ** 2) / count(*) * sum(z * z)) / abs(sum(z * x)), 2) AS se FROM ({_IV})")
 def _(t):
     fit = linear.iv2sls(t.lineitem, "l_extendedprice", [], ["l_discount"], ["l_tax"])
-    return t.spark.createDataFrame([(fit["l_discount"],)], "slope double").select(rnd("slope", 2).alias("slope"))
+    return rounded(fit.coefficients(t.spark).filter("name = 'l_discount'").select("b", "se"), 2)
 
 
 _E = f"SELECT *, l_extendedprice - a - b * l_quantity AS e, l_quantity - avg(l_quantity) OVER () AS dx FROM lineitem, ({_SIMPLE})"
@@ -146,25 +162,29 @@ def _(t):
     return _slope_se(t, linear.ols(t.lineitem, "l_extendedprice", ["l_quantity"], vcov=("cluster", "l_suppkey")))
 
 
-def _score(t, df, fit, y, mean):
-    """Whether the score equations hold at the estimate, by term."""
-    from functools import reduce
+def _score(df, fit, y, mean):
+    """Sums of each term over the counted and over the fitted values, which the score
+    equations make equal."""
+    sums = df.agg(*(F.sum(v * x.value()).alias(f"{n}{j}") for j, x in enumerate(fit.terms) for n, v in (("seen", c(y)), ("fitted", mean(fit.xb())))))
+    each = [F.struct(F.lit(x.name).alias("term"), rnd(f"seen{j}", 3).alias("seen"), rnd(f"fitted{j}", 3).alias("fitted")) for j, x in enumerate(fit.terms)]
+    return sums.select(F.inline(F.array(*each)))
+
 
-    r = c(y) - mean(fit.xb())
-    each = [df.agg((F.abs(F.sum(r * x.value())) / F.sum(F.abs(r * x.value())) < 1e-6).alias("settled")).select(F.lit(x.name).alias("term"), "settled") for x in fit.terms]
-    return reduce(lambda a, b: a.unionByName(b), each)
+def _score_sql(rows, names):
+    each = ", ".join(f"('{n}', {j + 1})" for j, n in enumerate(names))
+    return f"SELECT term, round(sum(x[i] * y), 3) AS seen, round(sum(x[i] * y), 3) AS fitted FROM ({rows}), (VALUES {each}) v(term, i) GROUP BY term"
 
 
-@query("j5_logit_score", " UNION ALL ".join(f"SELECT '{x}' AS term, count(*) > 0 AS settled FROM lineitem" for x in [*XS, "_cons"]))
+@query("j5_logit_score", _score_sql(_RETURNED, _NAMES))
 def _(t):
     df = _signed(t)
-    return _score(t, df, mle.logit(df, "returned", XS), "returned", lambda xb: 1 / (1 + F.exp(-xb)))
+    return _score(df, mle.logit(df, "returned", XS), "returned", lambda xb: 1 / (1 + F.exp(-xb)))
 
 
-@query("j7_poisson_score", " UNION ALL ".join(f"SELECT '{x}' AS term, count(*) > 0 AS settled FROM orders" for x in ["lprice", "disc", "_cons"]))
+@query("j7_poisson_score", _score_sql(_COUNTS, ["lprice", "disc", "_cons"]))
 def _(t):
     df = _counts(t)
-    return _score(t, df, mle.poisson(df, "n_lines", ["lprice", "disc"]), "n_lines", F.exp)
+    return _score(df, mle.poisson(df, "n_lines", ["lprice", "disc"]), "n_lines", F.exp)
 
 
 @query("j12_design", "SELECT c_mktsegment || '.c_mktsegment' AS term, CAST(count(*) AS DOUBLE) AS total FROM customer WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer) GROUP BY 1 UNION ALL SELECT 'c_acctbal', round(sum(c_acctbal), 2) FROM customer UNION ALL SELECT '_cons', count(*) FROM customer")

@@ -40,10 +40,12 @@ def _(t):
     return panel.xtset(cust_year(t), "cust", "year").withColumn("t_mean", rnd("t_mean", 6))
 
 
-@query("l2_xtreg_fe", f"SELECT round(sum((n - mn) * (spent - ms)) / sum((n - mn) * (n - mn)), 2) AS slope FROM (SELECT *, avg(n) OVER (PARTITION BY cust) AS mn, avg(spent) OVER (PARTITION BY cust) AS ms FROM {_CY})")
+_WITHIN = f"cy AS MATERIALIZED (SELECT cust, n - avg(n) OVER w AS n, spent - avg(spent) OVER w AS y FROM {_CY} WINDOW w AS (PARTITION BY cust)), "
+
+
+@query("l2_xtreg_fe", M.regression("SELECT y, [n]::DOUBLE[] AS x FROM cy", ["n"], 2, df_used="(SELECT count(DISTINCT cust) FROM cy)", before=_WITHIN))
 def _(t):
-    fit = panel.xtreg_fe(cust_year(t), "spent", ["n"], "cust")
-    return t.spark.createDataFrame([(fit["n"],)], "slope double").select(rnd("slope", 2).alias("slope"))
+    return rounded(panel.xtreg_fe(cust_year(t), "spent", ["n"], "cust").coefficients(t.spark), 2)
 
 
 _RE = f"""cy AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cust) AS size, avg(n) OVER (PARTITION BY cust) AS mn, avg(spent) OVER (PARTITION BY cust) AS ms FROM {_CY}),
@@ -57,16 +59,18 @@ def _(t):
     return rounded(panel.xtreg_re(cust_year(t), "spent", ["n"], "cust").coefficients(t.spark), 2)
 
 
-@query("l4_twfe", f"SELECT round(sum(dd * yy) / sum(dd * dd), 7) AS att FROM {_DD}")
+@query("l4_twfe", M.regression(f"SELECT yy AS y, [dd]::DOUBLE[] AS x FROM {_DD}", ["treated"], 6, df_used="30"))
 def _(t):
-    fit = did.twfe(staggered(t), "y", "treated", "unit", "year")
-    return t.spark.createDataFrame([(fit["treated"],)], "att double").select(rnd("att", 7).alias("att"))
+    return rounded(did.twfe(staggered(t), "y", "treated", "unit", "year").coefficients(t.spark), 6)
+
+
+_FOUR = f"SELECT y, [ever, CAST(year >= 1998 AS INTEGER), ever * CAST(year >= 1998 AS INTEGER), 1]::DOUBLE[] AS x FROM {_ST}"
 
 
-@query("l5_did2x2", f"SELECT round((avg(y) FILTER (ever = 1 AND year >= 1998) - avg(y) FILTER (ever = 1 AND year < 1998)) - (avg(y) FILTER (ever = 0 AND year >= 1998) - avg(y) FILTER (ever = 0 AND year < 1998)), 7) AS b FROM {_ST}")
+@query("l5_did2x2", f"WITH RECURSIVE {M.least_squares('o', _FOUR, 4)}, {M.covariance('o', 4)} {M.inference(M.effects('o', {'did': [0, 0, 1, 0]}), 6)}")
 def _(t):
     df = staggered(t)
-    return did.did2x2(df, "y", "ever", did.post_indicator(df, "year", [1998, 1999, 2000])).select(rnd("b", 7).alias("b"))
+    return rounded(did.did2x2(df, "y", "ever", did.post_indicator(df, "year", [1998, 1999, 2000])), 6)
 
 
 @query("l6_first_treatment", f"SELECT unit, year, CAST(coalesce(min(CASE WHEN treated = 1 THEN year END) OVER (PARTITION BY unit), 0) AS INTEGER) AS first_treat, CAST(max(treated) OVER (PARTITION BY unit) AS INTEGER) AS ever_treated FROM {_ST}")
@@ -145,15 +149,26 @@ def _(t):
     return rounded(did.stacked(staggered(t), "y", "unit", "year", "first_treat", (-2, 1)).coefficients(t.spark), 6)
 
 
-@query("l12_event_study", f"SELECT CAST(year AS INTEGER) AS period, round(gap - max(gap) FILTER (year = 1996) OVER (), 7) AS effect FROM (SELECT year, avg(y) FILTER (ever = 1) - avg(y) FILTER (ever = 0) AS gap FROM {_ST} GROUP BY year)")
+_GAPS = f"SELECT year, avg(y) FILTER (ever = 1) - avg(y) FILTER (ever = 0) AS gap, var_samp(y) FILTER (ever = 1) / count(*) FILTER (ever = 1) + var_samp(y) FILTER (ever = 0) / count(*) FILTER (ever = 0) AS var FROM {_ST} GROUP BY year"
+
+
+@query("l12_event_study", f"SELECT CAST(g.year AS INTEGER) AS period, round(g.gap - r.gap, 7) AS effect, CASE WHEN g.year = 1996 THEN 0 ELSE round(sqrt(g.var + r.var), 7) END AS se FROM ({_GAPS}) g, ({_GAPS}) r WHERE r.year = 1996")
 def _(t):
-    return did.event_study(staggered(t), "y", "ever", "year", 1996).select(c("period").cast("int").alias("period"), rnd("effect", 7).alias("effect"))
+    out = did.event_study(staggered(t), "y", "ever", "year", 1996)
+    return out.select(c("period").cast("int").alias("period"), rnd("effect", 7).alias("effect"), rnd("se", 7).alias("se"))
+
+
+# pairs of cohorts, the years before and after in which they are compared, and their weights
+_BACON = f"""WITH st AS MATERIALIZED (SELECT * FROM {_ST}), n AS (SELECT first_treat AS g, count(*) * 1.0 / (SELECT count(*) FROM st) AS s, avg(treated) AS d FROM st GROUP BY 1),
+p AS (SELECT k.g AS k, c.g AS c, k.s + c.s AS n, k.s / (k.s + c.s) AS f, k.d AS dk, c.d AS dc FROM n k JOIN n c ON k.g <> c.g AND k.g > 0),
+m AS (SELECT k, c, avg(y) FILTER (first_treat = k AND post) - avg(y) FILTER (first_treat = k AND NOT post) - avg(y) FILTER (first_treat = c AND post) + avg(y) FILTER (first_treat = c AND NOT post) AS e FROM (SELECT *, year >= k AS post FROM p JOIN st ON first_treat IN (k, c) AND (c = 0 OR (k < c AND year < c) OR (k > c AND year >= c))) GROUP BY k, c),
+w AS (SELECT k, c, CASE WHEN c = 0 THEN 'treated vs never' WHEN k < c THEN 'earlier vs later' ELSE 'later vs earlier' END AS kind, f * (1 - f) * n * n * CASE WHEN c = 0 THEN dk * (1 - dk) WHEN k < c THEN (dk - dc) * (1 - dk) ELSE dk * (dc - dk) END AS w FROM p)
+SELECT kind, CAST(k AS INTEGER) AS treated, CAST(c AS INTEGER) AS control, round(e, 7) AS estimate, round(w / sum(w) OVER (), 7) AS weight FROM m JOIN w USING (k, c)"""
 
 
-@query("l13_bacon", f"SELECT round(sum(dd * yy) / sum(dd * dd), 7) AS total, 1.0 AS weights FROM {_DD}")
+@query("l13_bacon", _BACON)
 def _(t):
-    out = did.bacon(staggered(t), "y", "unit", "year", "first_treat")
-    return out.agg(rnd(F.sum(c("estimate") * c("weight")), 7).alias("total"), rnd(F.sum("weight"), 9).alias("weights"))
+    return rounded(did.bacon(staggered(t), "y", "unit", "year", "first_treat"), 7)
 
 
 _DIFF = f"""df AS MATERIALIZED (SELECT cust, year, spent - lag(spent) OVER w AS y, n - lag(n) OVER w AS n FROM {_CY} WINDOW w AS (PARTITION BY cust ORDER BY year)),
