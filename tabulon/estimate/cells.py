@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stable
-from .panel import demean
+from .design import demean
 
 #: Entries (cohort, period, period) that are read: 9 million of 24 bytes.
 MAX_ENTRIES = 9_000_000

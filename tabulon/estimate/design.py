@@ -14,12 +14,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import _joined
+
+#: Levels of a factor up to which each is a column.
 MAX_LEVELS = 1000
 #: Up to so many columns, products are summed by built-in aggregates; beyond, the
 #: generated code gets too large and partitions sum matrices from Arrow batches.
 MAX_NATIVE = 24
 
 
+class ManyLevels(ValueError):
+    """A factor has more than MAX_LEVELS levels."""
+
+    def __init__(self, factor: str):
+        super().__init__(f"{factor} has more than {MAX_LEVELS} levels")
+        self.factor = factor
+
+
 @dataclass(frozen=True)
 class Term:
     """A column, a level of a factor, or the constant."""
@@ -57,7 +68,7 @@ def terms_of(df: DataFrame, xs: list[str], factors: list[str] = (), constant: bo
     for f in factors:
         levels = [r[0] for r in df.select(f).dropna().distinct().orderBy(f).limit(MAX_LEVELS + 1).collect()]
         if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
+            raise ManyLevels(f)
         out += [Term(f"{v}.{f}", f, v) for v in levels[1:]]
     return [*out, Term("_cons")] if constant else out
 
@@ -105,6 +116,13 @@ def design(
     return Design(rows, terms, back, n, weight is not None, sds, list(extras))
 
 
+def demean(df: DataFrame, cols: list[str], by: str, weight: str | None = None) -> DataFrame:
+    """Columns less their group means, which are aggregated before the join."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    means = df.groupBy(by).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w))).alias(f"_m_{c}") for c in cols))
+    return _joined(df, means, [by]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*(f"_m_{c}" for c in cols))
+
+
 def _tri(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i + 1)]
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import distributions as D
-from .design import Design, cluster_meat, design, linear, products
+from .design import Design, ManyLevels, cluster_meat, demean, design, linear, products, terms_of
 from .fit import Fit
 
 
@@ -37,16 +37,60 @@ def ols(
     """``vcov`` is "classical", "hc1" or ("cluster", column); pweights are robust.
 
     One pass standardises, one sums products; robust covariance takes another.
+    A factor of more than ``design.MAX_LEVELS`` levels is swept out (``absorb``).
     """
     if wtype == "pweight" and weight and vcov == "classical":
         vcov = "hc1"
     extras = [vcov[1]] if isinstance(vcov, tuple) else []
-    d = design(df, y, xs, factors, constant, weight, wtype, extras, terms=terms)
+    try:
+        d = design(df, y, xs, factors, constant, weight, wtype, extras, terms=terms)
+    except ManyLevels as large:
+        if not constant:
+            raise
+        return absorb(df, y, xs, large.factor, [f for f in factors if f != large.factor], weight, wtype, vcov)
     fit = ols_of(d, y, vcov, wtype, df_used)
     d.rows.unpersist()
     return fit
 
 
+def absorb(df: DataFrame, y: str, xs: list[str], factor: str, factors: list[str] = (), weight: str | None = None, wtype: str = "aweight", vcov="classical") -> Fit:
+    """Least squares with an intercept for each level of ``factor``, of any number.
+
+    Columns are taken about their means by level, which gives the same coefficients,
+    errors and residuals as a dummy a level; levels count as parameters.  The fit has
+    neither levels nor a constant: ``level_effects`` has the intercepts.  Rows with a
+    null are left out; a column that does not vary within levels gets 0.
+    """
+    if wtype == "pweight" and weight and vcov == "classical":
+        vcov = "hc1"
+    group = vcov[1] if isinstance(vcov, tuple) else None
+    own = df.dropna(subset=list(dict.fromkeys(c for c in (y, *xs, factor, *factors, weight, group) if c)))
+    own = own.filter(F.col(weight) > 0) if weight else own
+    terms = terms_of(own, list(xs), list(factors), constant=False)
+    names = [f"x{j}" for j in range(len(terms))]
+    rows = own.select(
+        F.col(factor).alias("_f"), F.col(y).cast("double").alias("_v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+        *([F.col(group).alias("_cl")] if group else []), *(t.value().alias(n) for t, n in zip(terms, names, strict=True)),
+    )
+    n, sw, mean, levels = rows.agg(F.count("*"), F.sum("_w"), F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")), F.count_distinct("_f")).first()
+    tss = rows.agg(F.sum(F.col("_w") * (F.col("_v") - float(mean or 0.0)) ** 2)).first()[0] or 0.0
+    flat = demean(rows, ["_v", *names], "_f", "_w")
+    fit = ols(flat, "_v", names, weight="_w" if weight else None, wtype=wtype, vcov=("cluster", "_cl") if group else vcov, constant=False, df_used=levels)
+    tss *= 1.0 if not weight or wtype == "fweight" else n / sw  # as the weights of the fit
+    r2 = 1 - fit.stats["rss"] / tss if tss > 0 else float("nan")
+    used = sw if weight and wtype == "fweight" else n
+    fit.stats |= {"r2_within": fit.stats["r2"], "r2": r2, "adj_r2": 1 - (1 - r2) * (used - 1) / fit.stats["df_resid"], "n_levels": levels}
+    fit.kind, fit.y, fit.terms = "absorb", y, terms
+    return fit
+
+
+def level_effects(df: DataFrame, fit: Fit, factor: str, weight: str | None = None) -> DataFrame:
+    """(level, effect, n): the intercept of each level of an absorbed factor."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rest = df.select(F.col(factor).alias("level"), w.alias("_w"), (F.col(fit.y) - fit.xb()).alias("_r")).dropna().filter("_w > 0")
+    return rest.groupBy("level").agg((F.sum(F.col("_w") * F.col("_r")) / F.sum("_w")).alias("effect"), F.count("*").alias("n"))
+
+
 def ols_of(d: Design, y: str, vcov="classical", wtype: str = "aweight", df_used: int = 0) -> Fit:
     k = len(d.terms)
     mean = d.rows.agg(F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")), F.sum("_w")).first()

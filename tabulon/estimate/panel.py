@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import _joined
 from ..storage import stable
 
+from .design import demean
 from .fit import Fit
 from .linear import ols
 
@@ -23,13 +24,6 @@ def xtset(df: DataFrame, panel: str, time: str) -> DataFrame:
     return joined.select("n_panels", "n_rows", "t_min", "t_max", "t_mean", ((F.col("_d") == F.col("periods")) & (F.col("t_max") == F.col("periods"))).alias("balanced"))
 
 
-def demean(df: DataFrame, cols: list[str], by: str, weight: str | None = None) -> DataFrame:
-    """Columns less their group means, which are aggregated before the join."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    means = df.groupBy(by).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w))).alias(f"_m_{c}") for c in cols))
-    return _joined(df, means, [by]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*(f"_m_{c}" for c in cols))
-
-
 def xtreg_fe(df: DataFrame, y: str, xs: list[str], panel: str, vcov="classical") -> Fit:
     """Within estimates; degrees of freedom n - N - k."""
     own = df.dropna(subset=[panel, y, *xs]).select(panel, *(F.col(c).cast("double").alias(c) for c in (y, *xs)), *([F.col(vcov[1]).alias("_cl")] if isinstance(vcov, tuple) else []))

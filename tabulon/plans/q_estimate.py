@@ -55,6 +55,16 @@ def _(t):
     return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, factors=["l_returnflag"]), 3)
 
 
+_WITHIN = "la AS MATERIALIZED (SELECT l_partkey, l_extendedprice - avg(l_extendedprice) OVER p AS y, [l_quantity - avg(l_quantity) OVER p, l_discount - avg(l_discount) OVER p, l_tax - avg(l_tax) OVER p]::DOUBLE[] AS x, l_suppkey AS cl FROM lineitem WINDOW p AS (PARTITION BY l_partkey)), "
+
+
+@query("j1_ols_levels", M.regression("SELECT y, x, cl FROM la", XS, 2, "cluster", df_used="(SELECT count(DISTINCT l_partkey) FROM la)", before=_WITHIN))
+def _(t):
+    """A dummy a part."""
+    fit = linear.ols(t.lineitem, "l_extendedprice", XS, factors=["l_partkey"], vcov=("cluster", "l_suppkey"))
+    return _coef(t, fit, 2).filter(c("name").isin(XS))
+
+
 @query("j2_ols_hc1", M.regression(_LINES, _NAMES, 3, "hc1"))
 def _(t):
     return _coef(t, linear.ols(t.lineitem, "l_extendedprice", XS, vcov="hc1"), 3)
