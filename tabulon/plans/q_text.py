@@ -35,13 +35,23 @@ def _(t):
     return N.rank_summary(t.documents, "doc_id", "text", 2, "textrank")
 
 
-@query("n3_classify")
-def _(t):
-    labels = t.benchmark.select(c("item_id").cast("string").alias("label"), c("text").alias("description"))
-    return N.classify(t.documents, "doc_id", "text", labels)
+_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents"
 
 
-_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents"
+_COSINE = f"""WITH tf AS (SELECT doc_id, w, count(*) AS tf FROM ({_WORDS}) GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+idf AS (SELECT w, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM tf, n GROUP BY w),
+x AS (SELECT doc_id, w, tf * idf AS x FROM tf JOIN idf USING (w)), nx AS (SELECT doc_id, sqrt(sum(x * x)) AS nx FROM x GROUP BY 1),
+z AS (SELECT label, w, count(*) * coalesce(any_value(idf), 1) AS z FROM (SELECT CAST(item_id AS VARCHAR) AS label, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM benchmark) LEFT JOIN idf USING (w) GROUP BY ALL),
+nz AS (SELECT label, sqrt(sum(z * z)) AS nz FROM z GROUP BY 1),
+s AS (SELECT doc_id, label, round(any_value(d) / any_value(nx) / any_value(nz), 9) AS score FROM (SELECT doc_id, label, sum(x * z) AS d FROM x JOIN z USING (w) GROUP BY ALL) JOIN nx USING (doc_id) JOIN nz USING (label) GROUP BY ALL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1)
+SELECT doc_id, label AS v_class, round(score, 6) AS v_score FROM documents LEFT JOIN b USING (doc_id)"""
+
+
+@query("n3_classify", _COSINE)
+def _(t):
+    labels = t.benchmark.select(c("item_id").cast("string").alias("label"), c("text").alias("description"))
+    return N.classify(t.documents, "doc_id", "text", labels).withColumn("v_score", rnd("v_score", 6))
 
 
 @query("n4_sentiment", f"WITH w AS ({_WORDS}), s AS (SELECT doc_id, avg(CASE w WHEN 'the' THEN 1.0 WHEN 'that' THEN 0.5 WHEN 'of' THEN -1.0 END) AS score FROM w WHERE w IN ('the', 'that', 'of') GROUP BY 1) SELECT doc_id, CASE WHEN round(coalesce(score, 0), 9) > 0.05 THEN 'positive' WHEN round(coalesce(score, 0), 9) < -0.05 THEN 'negative' ELSE 'neutral' END AS label, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN s USING (doc_id)")
