@@ -244,20 +244,46 @@ def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method:
     return _summaries(df, id_col, text_col, n, language, pick, maxlen)
 
 
+#: Commonest words whose weights are broadcast, and (label, word) rows that may be.
+COMMON_WORDS, MAX_LABEL_WORDS = 100_000, 1_000_000
+
+
+def _word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, w, tf): each text's words and their numbers, counted in the row; k = 0 once a text."""
+    ws = df.select(F.col(id_col), F.sort_array(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0)).alias("s")).filter(F.size("s") > 0)
+    last = F.size("s") - 1
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get("s", i) != F.get("s", i + 1)))
+    tf = F.transform("e", lambda e, k: F.struct(F.get("s", e).alias("w"), (e - F.coalesce(F.get("e", k - 1), F.lit(-1))).alias("tf")))
+    return ws.select(id_col, "s", ends.alias("e")).select(id_col, F.posexplode(tf).alias("k", "p")).select(id_col, "k", "p.w", "p.tf")
+
+
 def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(id, v_class, v_score): the label (label, description) with the greatest
-    TF-IDF cosine; label tables are small and broadcast by their size."""
-    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
-    docs = df.select(F.col(id_col), F.explode(toks(text_col)).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf"))
-    n = df.select(id_col).distinct().count()
-    idf = docs.groupBy("w").agg((F.ln((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf"))
-    x = docs.join(idf, "w").select(id_col, "w", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
-    lab = labels.select("label", F.explode(toks("description")).alias("w")).groupBy("label", "w").agg(F.count("*").alias("tf")).join(idf, "w", "left")
-    z = lab.select("label", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("z"))
+    TF-IDF cosine, the least of equals; none where no word is shared.
+
+    The weights of the commonest words are broadcast and only rarer words are joined,
+    so a text's words are added up where it is read.  Rows count as documents; rows of
+    one id share a score, that of one of them where they are equal.  More than
+    MAX_LABEL_WORDS words of labels are an error.
+    """
+    pairs = _word_counts(df, id_col, text_col)
+    n = df.count()
+    idf = pairs.groupBy("w").agg(F.count("*").alias("docs")).withColumn("idf", F.ln((1.0 + n) / (1.0 + F.col("docs"))) + 1)
+    common = idf.orderBy(F.desc("docs"), "w").limit(COMMON_WORDS).select("w", "idf")
+    lab = labels.select("label", F.explode(F.regexp_extract_all(F.lower("description"), F.lit(WORD), 0)).alias("w")).groupBy("label", "w").agg(F.count("*").alias("tf"))
+    if lab.limit(MAX_LABEL_WORDS + 1).count() > MAX_LABEL_WORDS:
+        raise ValueError(f"the labels have more than {MAX_LABEL_WORDS} words")
+    z = lab.join(idf, "w", "left").select("label", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("z"))
     nz = z.groupBy("label").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("nz"))
-    cos = x.join(z, "w").groupBy(id_col, "label").agg(F.sum(F.col("x") * F.col("z")).alias("d")).join(norm, id_col).join(nz, "label")
-    best = cos.select(id_col, "label", F.round(F.col("d") / F.col("nx") / F.col("nz"), 9).alias("score")).filter(F.col("score") >= threshold)
+    z = z.join(nz, "label").select("label", "w", (F.col("z") / F.col("nz")).alias("z"))
+
+    near = pairs.join(F.broadcast(common), "w", "left")  # COMMON_WORDS rows
+    rare = near.filter("idf IS NULL").drop("idf").join(idf.join(F.broadcast(common), "w", "left_anti").select("w", "idf"), "w")
+    x = near.filter("idf IS NOT NULL").unionByName(rare).select(id_col, "k", "w", (F.col("tf") * F.col("idf")).alias("x"))
+    x = x.join(F.broadcast(lab.select("w").distinct().withColumn("told", F.lit(True))), "w", "left")  # MAX_LABEL_WORDS at most
+    per = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.count_if(F.col("k") == 0)).alias("nx"), F.collect_list(F.when(F.col("told"), F.struct("w", "x"))).alias("hits"))
+    cos = per.select(id_col, "nx", F.inline("hits")).join(F.broadcast(z), "w").groupBy(id_col, "label").agg((F.sum(F.col("x") * F.col("z")) / F.first("nx")).alias("d"))
+    best = cos.select(id_col, "label", F.round("d", 9).alias("score")).filter(F.col("score") >= threshold)
     pick = best.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label"))).alias("b"))
     return df.select(id_col).join(pick, id_col, "left").select(id_col, F.col("b.label").alias("v_class"), (-F.col("b.s")).alias("v_score"))
 
