@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from ..storage import stable
 
 # Stop words by language.
 STOP_WORDS = {
@@ -244,47 +246,118 @@ def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method:
     return _summaries(df, id_col, text_col, n, language, pick, maxlen)
 
 
-#: Commonest words whose weights are broadcast, and (label, word) rows that may be.
-COMMON_WORDS, MAX_LABEL_WORDS = 100_000, 1_000_000
+#: Commonest words whose weights are sent to all tasks, (label, word) rows that may be, and words that a task counts at once.
+COMMON_WORDS, MAX_LABEL_WORDS, WORDS_AT_ONCE = 100_000, 1_000_000, 1 << 18
+
+
+def _cuts(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Row ranges of at most ``most`` elements, or of one row."""
+    cuts = [0]
+    while cuts[-1] < len(offsets) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + most, "right")) - 1))
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _counted(lists: pa.ListArray) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a few rows at a time: their range, the distinct words, and (row in the range, word, count) of the distinct pairs in this order."""
+    at = lists.offsets.to_numpy()
+    for lo, hi in _cuts(at, WORDS_AT_ONCE):
+        coded = pc.dictionary_encode(lists.values.slice(int(at[lo]), int(at[hi] - at[lo])))
+        row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        yield lo, hi, coded.dictionary, *_cells(row, coded.indices.to_numpy(), len(coded.dictionary))
 
 
-def _word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, w, tf): each text's words and their numbers, counted in the row; k = 0 once a text."""
-    ws = df.select(F.col(id_col), F.sort_array(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0)).alias("s")).filter(F.size("s") > 0)
-    last = F.size("s") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get("s", i) != F.get("s", i + 1)))
-    tf = F.transform("e", lambda e, k: F.struct(F.get("s", e).alias("w"), (e - F.coalesce(F.get("e", k - 1), F.lit(-1))).alias("tf")))
-    return ws.select(id_col, "s", ends.alias("e")).select(id_col, F.posexplode(tf).alias("k", "p")).select(id_col, "k", "p.w", "p.tf")
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, found, _, w, _ in _counted(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([found, pa.array(np.bincount(w, minlength=len(found)), pa.int64())], names=["w", "docs"])
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(id, v_class, v_score): the label (label, description) with the greatest
     TF-IDF cosine, the least of equals; none where no word is shared.
 
-    The weights of the commonest words are broadcast and only rarer words are joined,
-    so a text's words are added up where it is read.  Rows count as documents; rows of
-    one id share a score, that of one of them where they are equal.  More than
-    MAX_LABEL_WORDS words of labels are an error.
+    The tasks get the weights of the commonest words and of the labels' words, and
+    compare a text with all labels where it is read; the rarer words are joined with
+    their weights, which only the text's norm needs.  A text takes the labels along
+    that can be its best or equal to it when rounded.  Rows count as documents; rows
+    of one id share a score, that of one of them where they are equal, and take all
+    labels along.  More than MAX_LABEL_WORDS words of labels are an error.
     """
-    pairs = _word_counts(df, id_col, text_col)
+    words_of = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0).alias("ws")
     n = df.count()
-    idf = pairs.groupBy("w").agg(F.count("*").alias("docs")).withColumn("idf", F.ln((1.0 + n) / (1.0 + F.col("docs"))) + 1)
-    common = idf.orderBy(F.desc("docs"), "w").limit(COMMON_WORDS).select("w", "idf")
-    lab = labels.select("label", F.explode(F.regexp_extract_all(F.lower("description"), F.lit(WORD), 0)).alias("w")).groupBy("label", "w").agg(F.count("*").alias("tf"))
+    docs = stable(df.select(words_of).mapInArrow(_document_counts, "w string, docs bigint").groupBy("w").agg(F.sum("docs").alias("docs")))
+    lab = labels.filter("label IS NOT NULL").select("label", F.explode(F.regexp_extract_all(F.lower("description"), F.lit(WORD), 0)).alias("w")).groupBy("label", "w").agg(F.count("*").alias("tf"))
     if lab.limit(MAX_LABEL_WORDS + 1).count() > MAX_LABEL_WORDS:
         raise ValueError(f"the labels have more than {MAX_LABEL_WORDS} words")
-    z = lab.join(idf, "w", "left").select("label", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("z"))
-    nz = z.groupBy("label").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("nz"))
-    z = z.join(nz, "label").select("label", "w", (F.col("z") / F.col("nz")).alias("z"))
-
-    near = pairs.join(F.broadcast(common), "w", "left")  # COMMON_WORDS rows
-    rare = near.filter("idf IS NULL").drop("idf").join(idf.join(F.broadcast(common), "w", "left_anti").select("w", "idf"), "w")
-    x = near.filter("idf IS NOT NULL").unionByName(rare).select(id_col, "k", "w", (F.col("tf") * F.col("idf")).alias("x"))
-    x = x.join(F.broadcast(lab.select("w").distinct().withColumn("told", F.lit(True))), "w", "left")  # MAX_LABEL_WORDS at most
-    per = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.count_if(F.col("k") == 0)).alias("nx"), F.collect_list(F.when(F.col("told"), F.struct("w", "x"))).alias("hits"))
-    cos = per.select(id_col, "nx", F.inline("hits")).join(F.broadcast(z), "w").groupBy(id_col, "label").agg((F.sum(F.col("x") * F.col("z")) / F.first("nx")).alias("d"))
-    best = cos.select(id_col, "label", F.round("d", 9).alias("score")).filter(F.col("score") >= threshold)
-    pick = best.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label"))).alias("b"))
+    z = lab.join(docs, "w", "left").select("label", "w", "tf", "docs").orderBy("label", "w").toArrow()  # MAX_LABEL_WORDS rows
+    common = docs.orderBy(F.desc("docs"), "w").limit(COMMON_WORDS).toArrow()  # COMMON_WORDS rows
+    weight = lambda docs: np.log((1.0 + n) / (1.0 + docs)) + 1
+
+    # a row of ``known`` words each: its weight, and its labels from start[w] to start[w + 1]
+    z_docs = pc.fill_null(z["docs"], -1).to_numpy()
+    z_idf = np.where(z_docs < 0, 1.0, weight(np.maximum(z_docs, 0)))
+    names = pa.array([], z["label"].type) if not len(z) else pc.unique(z["label"].combine_chunks())
+    z_label = pc.index_in(z["label"], names).to_numpy().astype(np.int64)
+    z_x = z["tf"].to_numpy() * z_idf
+    z_x = z_x / np.sqrt(np.bincount(z_label, z_x * z_x, len(names)))[z_label]
+    known = pc.unique(pa.concat_arrays([x.cast(pa.string()) for t in (common, z) for x in t["w"].chunks] or [pa.array([], pa.string())]))
+    z_w = pc.index_in(z["w"], known).to_numpy().astype(np.int64)
+    idf = np.ones(len(known))
+    idf[z_w] = z_idf
+    idf[pc.index_in(common["w"], known).to_numpy().astype(np.int64)] = weight(common["docs"].to_numpy())
+    order = np.argsort(z_w, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(z_w, minlength=len(known)))])
+    z_label, z_x, rarest = z_label[order], z_x[order], float(weight(1))
+
+    best = pa.list_(pa.struct([("label", names.type), ("d", pa.float64())]))
+    kind = df.select(id_col).schema[0].dataType
+    out = StructType([StructField(id_col, kind), StructField("w", StringType()), StructField("tf", DoubleType()), StructField("sq", DoubleType()), StructField("best", ArrayType(StructType([StructField("label", labels.schema["label"].dataType), StructField("d", DoubleType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, alone = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi, found, row, w, tf in _counted(batch.column(1)):
+                place = pc.fill_null(pc.index_in(found, known), -1).to_numpy()[w]
+                rare = place < 0
+                x = tf * np.where(rare, rarest, idf[place] if len(idf) else rarest)
+                sq = np.bincount(row[~rare], x[~rare] ** 2, hi - lo)
+                most = np.sqrt(np.bincount(row, x * x, hi - lo))  # of the text's norm
+                cells = np.searchsorted(row, np.arange(hi - lo + 1))
+                size, took, score = [], [], []
+                there = np.flatnonzero(np.diff(cells))
+                for r in there:
+                    own = slice(cells[r], cells[r + 1])
+                    mine, weights = place[own][~rare[own]], x[own][~rare[own]]
+                    many = start[mine + 1] - start[mine]
+                    i = np.repeat(start[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    d = np.bincount(z_label[i], np.repeat(weights, many) * z_x[i], len(names))
+                    least = d.max(initial=0) * (1 - 1e-12) - 1.1e-9 * most[r] if alone[lo + r] else 0
+                    keep = np.flatnonzero((d > 0) & (d >= least))
+                    if alone[lo + r]:  # a label that is no better than one before it is never taken
+                        keep = keep[d[keep] > np.concatenate([[0], np.maximum.accumulate(d[keep])])[:-1]]
+                    size.append(len(keep))
+                    took.append(keep)
+                    score.append(d[keep])
+                if not len(there):
+                    continue
+                pairs = pa.StructArray.from_arrays([names.take(pa.array(np.concatenate(took))), pa.array(np.concatenate(score))], names=["label", "d"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                whole = [ids.take(pa.array(lo + there)), pa.array([str(lo + r) for r in there], pa.string()), pa.nulls(len(there), pa.float64()), pa.array(sq[there]), pa.ListArray.from_arrays(offsets, pairs)]
+                part = [ids.take(pa.array(lo + row[rare])), found.take(pa.array(w[rare])), pa.array(tf[rare].astype(float)), pa.nulls(int(rare.sum()), pa.float64()), pa.nulls(int(rare.sum()), best)]
+                for arrays in (whole, part):
+                    yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    # a text's own row has digits for a word, which no word has: it passes the join as it is
+    twice = df.groupBy(id_col).count().filter("count > 1").select(id_col, F.lit(False).alias("alone"))
+    rows = df.select(id_col, text_col).withColumn("alone", F.lit(True)) if twice.isEmpty() else df.select(id_col, text_col).join(twice, id_col, "left").fillna(True, ["alone"])
+    rows = rows.select(id_col, words_of, "alone").mapInArrow(run, out)
+    idf_of = F.ln((1.0 + n) / (1.0 + F.col("docs"))) + 1
+    x = rows.join(docs, "w", "left").select(id_col, F.coalesce("sq", (F.col("tf") * idf_of) ** 2).alias("sq"), "best")
+    per = x.groupBy(id_col).agg(F.sum("sq").alias("sq"), F.collect_list("best").alias("best"))
+    cos = per.select(id_col, F.sqrt(F.col("sq") * F.size("best")).alias("nx"), F.inline(F.flatten("best"))).groupBy(id_col, "nx", "label").agg(F.sum("d").alias("d"))
+    score = cos.select(id_col, "label", F.round(F.col("d") / F.col("nx"), 9).alias("score")).filter(F.col("score") >= threshold)
+    pick = score.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label"))).alias("b"))
     return df.select(id_col).join(pick, id_col, "left").select(id_col, F.col("b.label").alias("v_class"), (-F.col("b.s")).alias("v_score"))
 
 

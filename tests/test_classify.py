@@ -48,3 +48,30 @@ def test_classify_equals_dictionaries(spark):
             assert (got[i][1] is None) == (want[i][1] is None) and math.isclose(got[i][1] or 0, want[i][1] or 0, abs_tol=1e-8), i
     assert want[96][0] == got[96][0] == "a" and got[90] == (None, None)
     assert text.classify(df.limit(0), "id", "t", lab).count() == 0
+
+
+def _most_rows(plan):
+    """The most rows that a node of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _most_rows(plan.executedPlan())
+    own = plan.metrics().get("numOutputRows")
+    below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_texts_are_not_paired_with_all_labels(spark):
+    docs = [(i, f"shared also here {'abcdefgh'[i % 8]}x") for i in range(300)]
+    labels = [(f"l{k:03d}", f"shared also here {'abcdefgh'[k % 8]}x " + "pad " * (k // 8)) for k in range(200)]
+    df, lab = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(labels, "label string, description string")
+    got = text.classify(df, "id", "t", lab)
+    assert {r["id"]: r["v_class"] for r in got.collect()} == {i: name for i, (name, _) in _plain(docs, labels, 0.0).items()}
+    assert _most_rows(got._jdf.queryExecution().executedPlan()) <= 20 * len(docs)  # 300 x 200 pairs share words
+
+
+def test_rows_of_one_id_share_a_score(spark):
+    lab = spark.createDataFrame([("a", "sun rain"), ("b", "ice fog"), ("c", "wind")], "label string, description string")
+    rows = [(1, "sun rain sun"), (1, "sun rain sun"), (2, "sun ice"), (2, "ice fog fog"), (3, "sun rain sun"), (4, None), (4, "wind"), (None, "wind")]
+    got = sorted((r["id"] or 0, r["v_class"], r["v_score"]) for r in text.classify(spark.createDataFrame(rows, "id long, t string"), "id", "t", lab).collect())
+    assert [x[:2] for x in got] == [(0, None), (1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "a"), (4, "c"), (4, "c")]
+    assert got[1][2] == got[2][2] == got[5][2]
