@@ -66,38 +66,53 @@ def words(rows: DataFrame, text_col: str, language: str | None = "english") -> D
     return out.filter(~F.col("w").isin(STOP_WORDS[language].split())) if language else out
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, k, …), cut anew before a k of 0, so that none divides a document."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = np.flatnonzero(batch.column(1).to_numpy() == 0)
+        if len(first):
+            at = int(first[-1])
+            held.append(batch.slice(0, at))
+            if any(b.num_rows for b in held):
+                yield pa.concat_batches(held)
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _summaries(df: DataFrame, id_col: str, text_col: str, n: int, language: str, pick: Callable, maxlen: int | None = None) -> DataFrame:
     """(id, summary) of every row that has a sentence: ``pick(k, w, at, size, n)``
     gets for each word that is no stop word the number of its sentence, its code and
     its place in the sentence, then the number of sentences and how many to take.
     ``maxlen`` asks for about so many characters, 40 a sentence.  One row never needs
-    another, so nothing is shuffled."""
+    another, so nothing is shuffled; sentences are sent to Python as rows, so that a
+    batch holds so many sentences and not so many documents."""
     n = n if maxlen is None else max(1, round(maxlen / 40))
     stop = STOP_WORDS[language].split()
-    found = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(WORD), 0), lambda w: F.when(w.isin(stop), "").otherwise(w))
-    rows = df.select(F.col(id_col), _split(text_col).alias("_s")).select(F.col(id_col), "_s", F.transform("_s", found).alias("_w"))
+    found = F.transform(F.regexp_extract_all(F.lower("_s"), F.lit(WORD), 0), lambda w: F.when(w.isin(stop), "").otherwise(w))
+    rows = sentences(df, id_col, text_col).select(F.col(id_col), "k", F.col("sentence").alias("_s")).withColumn("_w", found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sents, toks = batch.column(1), batch.column(2)
-            at = sents.offsets.to_numpy()
-            flat = toks.values.values
+        for batch in _whole_documents(batches):
+            sents, toks = batch.column(2), batch.column(3)
+            at = np.append(np.flatnonzero(batch.column(1).to_numpy() == 0), batch.num_rows)
+            start = toks.offsets.to_numpy()
+            flat = toks.values
             code = pc.dictionary_encode(flat).indices.to_numpy()
             real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-            row, start = toks.offsets.to_numpy(), toks.values.offsets.to_numpy()
-            keep, out = [], []
-            for r in range(batch.num_rows):
-                size = int(at[r + 1] - at[r])
-                if not size:
-                    continue
-                here = start[row[r] : row[r] + size + 1]
+            out = []
+            for lo, hi in zip(at, at[1:], strict=False):
+                size = int(hi - lo)
+                here = start[lo : hi + 1]
                 own = real[here[0] : here[-1]]
                 k = np.repeat(np.arange(size), np.diff(here))
                 place = (np.arange(here[0], here[-1]) - here[k])[own]
                 best = range(size) if size <= n else sorted(pick(k[own], code[here[0] : here[-1]][own], place, size, n))
-                keep.append(r)
-                out.append(" ".join(sents.values[int(at[r] + i)].as_py() for i in best))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string())], names=[id_col, "summary"])
+                out.append(" ".join(sents[int(lo + i)].as_py() for i in best))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[:-1], pa.int64())), pa.array(out, pa.string())], names=[id_col, "summary"])
 
     kind = StructType([df.select(id_col).schema[0], StructField("summary", StringType())])
     return rows.mapInArrow(run, kind)

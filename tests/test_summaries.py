@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import sys
 from collections import Counter
 
 import pytest
@@ -106,3 +107,31 @@ def test_strips_give_the_same_ranks(spark, monkeypatch):
         assert text.rank_summary(df, "id", "t", 5, m).first()["summary"] == whole
         monkeypatch.setattr(text, "HELD", held)
         monkeypatch.setattr(text, "STRIP", strip)
+
+
+def test_python_holds_few_sentences_at_once(spark):
+    body = " ".join(f"Word{chr(97 + i % 23)}{'abcdefgh' * 5} other{chr(97 + i % 7)}{'ijkl' * 5}." for i in range(40))
+    df = spark.range(6000, numPartitions=1).selectExpr("id", f"concat('Begin', repeat('x', int(id % 7)), ' here. {body}') AS t")
+
+    def pick(k, w, at, size, n):
+        assert sys._getframe(1).f_locals["batch"].nbytes < 12 << 20
+        return [0, size - 1]
+
+    got = text._summaries(df, "id", "t", 2, "english", pick).collect()
+    last = body.split(". ")[-1]
+    assert sorted(r["id"] for r in got) == list(range(6000))
+    assert {r["id"] % 7: r["summary"] for r in got} == {k: f"Begin{'x' * k} here. {last}" for k in range(7)}
+
+
+def test_a_document_over_many_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(1, "Sun. Rain."), (2, " ".join(f"Sun w{chr(97 + i % 26)}." for i in range(50))), (2, "Snow. Ice. Snow fell."), (3, None), (4, "Fog.")], "id int, t string").coalesce(1)
+    f = lambda: [tuple(r) for r in text.luhn(df, "id", "t", 2).collect()]
+    want, was = f(), spark.conf.get(key)
+    try:
+        for size in (1, 3, 7):
+            spark.conf.set(key, str(size))
+            assert f() == want
+    finally:
+        spark.conf.set(key, was)
+    assert [x[0] for x in want] == [1, 2, 2, 4]
