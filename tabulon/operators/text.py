@@ -195,7 +195,7 @@ def _cells(k: np.ndarray, w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.n
 
 
 #: Numbers of a similarity matrix held at once; a longer document's matrix is made anew, by strips, in each round.
-HELD, STRIP = 1 << 22, 1 << 20
+HELD, STRIP = 1 << 22, 1 << 18
 
 
 def rank_summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str = "lexrank", language: str = "english", rounds: int = 20, threshold: float = 0.1, damping: float = 0.85, maxlen: int | None = None) -> DataFrame:
